@@ -85,8 +85,7 @@ def clean_name(raw: Column) -> tuple[Column, Column]:
     s = F.regexp_replace(s, r"^Based on.*$", "")
     brand, product = split_name(s)
     short = F.length(s) < 100
-    return (F.when(short, brand).otherwise(F.when(s.isNotNull(), F.lit("Unknown"))),
-            F.when(short, product))
+    return F.when(short, brand).otherwise(F.lit("Unknown")), F.when(short, product)
 
 
 def _lookup(key: Column, table: dict[str, str]) -> Column:
