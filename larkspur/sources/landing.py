@@ -37,15 +37,10 @@ def prepare_metadata(spark: SparkSession, path: str, out: str,
                      drop: tuple[str, ...] = tuple(vocab.METADATA_DROP)) -> DataFrame:
     """Rewrite metadata JSON lines without the bulky fields, gzip-compressed.
     Returns one row: products written and lines that failed to parse."""
-    lines = spark.read.text(path)
-    doc = F.from_json("value", "map<string,string>")
-    raw = lines.select("value", F.try_parse_json("value").isNotNull().alias("ok"))
-    kept = raw.where("ok").select(doc.alias("m"))
-    keep = F.map_filter("m", lambda k, _: ~k.isin(*drop))
-    # values stay JSON: nested text is embedded as is, scalars as strings
-    kept.select(F.to_json(keep).alias("value")).write.mode("overwrite").option(
-        "compression", "gzip").text(out)
-    return raw.agg(F.count_if("ok").alias("products"), F.count_if(~F.col("ok")).alias("errors"))
+    products = spark.read.option("mode", "DROPMALFORMED").json(path).drop(*drop)
+    products.write.mode("overwrite").option("compression", "gzip").json(out)
+    return input_profile(spark.read.text(path)).withColumnsRenamed(
+        {"valid_lines": "products", "invalid_lines": "errors"})
 
 
 def pack_json(df: DataFrame, columns: list[str], category: Column | str,
