@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .. import vocab
 from ..functions import rules, text
@@ -103,7 +104,7 @@ def pick_sentences(body: str, keep: int = 3) -> str:
     return " ".join(sentences[i] for i in sorted(best))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def summarise(bodies: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in bodies:
         yield batch.map(pick_sentences, na_action="ignore")

@@ -10,8 +10,13 @@ from ..functions.numeric import mean_of, percent_of, ratio, share_of, steady_rou
 from .dedup import dedup_metadata, top_n
 from .skew import spread_join
 
-NEGATIVE = F.col("rating") <= 2
-POSITIVE = F.col("rating") >= 4
+
+def negative() -> Column:
+    return F.col("rating") <= 2
+
+
+def positive() -> Column:
+    return F.col("rating") >= 4
 
 
 def month_of(ts: str = "review_ts") -> Column:
@@ -53,7 +58,7 @@ def category_summary(fact: DataFrame) -> DataFrame:
                  .groupBy("derived_category", "sentiment_score").agg(
                      F.count(F.lit(1)).alias("_n"),
                      F.count("rating").alias("_rated"), F.sum("rating").alias("_stars"),
-                     F.count_if(NEGATIVE).alias("_neg"), F.count_if(POSITIVE).alias("_pos"),
+                     F.count_if(negative()).alias("_neg"), F.count_if(positive()).alias("_pos"),
                      F.count_if("verified_purchase").alias("_ver"),
                      F.count("helpful_vote").alias("_voted"), F.sum("helpful_vote").alias("_votes")))
     score = F.col("sentiment_score")
@@ -77,8 +82,8 @@ def monthly_trends(fact: DataFrame, min_reviews: int = 5) -> DataFrame:
                 F.count(F.lit(1)).alias("review_count"),
                 mean_of(F.col("rating"), 2).alias("avg_rating"),
                 mean_of(F.col("sentiment_score"), 4).alias("avg_sentiment"),
-                F.count_if(NEGATIVE).alias("negative_review_count"),
-                share_of(NEGATIVE, 4).alias("negative_rate"))
+                F.count_if(negative()).alias("negative_review_count"),
+                share_of(negative(), 4).alias("negative_rate"))
             .where(F.col("review_count") >= min_reviews))
 
 
@@ -93,7 +98,7 @@ def product_summary(fact: DataFrame, min_reviews: int = 20) -> DataFrame:
     per_theme = fact.groupBy(*keys, "review_theme").agg(
         F.count(F.lit(1)).alias("_n"), F.count("rating").alias("_rated"),
         F.sum("rating").alias("_stars"), F.count("sentiment_score").alias("_scored"),
-        F.sum("sentiment_score").alias("_score"), F.count_if(NEGATIVE).alias("_neg"),
+        F.sum("sentiment_score").alias("_score"), F.count_if(negative()).alias("_neg"),
         F.count_if("verified_purchase").alias("_ver"),
         F.count("helpful_vote").alias("_voted"), F.sum("helpful_vote").alias("_votes"))
     # smallest (-count, label) = highest count, then first label
@@ -116,16 +121,16 @@ def theme_category(fact: DataFrame, min_reviews: int = 10) -> DataFrame:
                 F.count(F.lit(1)).alias("review_count"),
                 mean_of(F.col("rating"), 2).alias("avg_rating"),
                 mean_of(F.col("sentiment_score"), 4).alias("avg_sentiment"),
-                F.count_if(NEGATIVE).alias("negative_review_count"),
-                share_of(NEGATIVE, 4).alias("negative_rate"),
-                mean_of(F.when(NEGATIVE, F.col("sentiment_score")), 4)
+                F.count_if(negative()).alias("negative_review_count"),
+                share_of(negative(), 4).alias("negative_rate"),
+                mean_of(F.when(negative(), F.col("sentiment_score")), 4)
                 .alias("negative_avg_sentiment"))
             .where(F.col("review_count") >= min_reviews))
 
 
 def complaint_analysis(fact: DataFrame, min_reviews: int = 5) -> DataFrame:
     high = F.col("review_quality") == "high"
-    return (fact.where(NEGATIVE & F.col("derived_category").isNotNull())
+    return (fact.where(negative() & F.col("derived_category").isNotNull())
             .groupBy("derived_category", "review_theme").agg(
                 F.count(F.lit(1)).alias("complaint_count"),
                 mean_of(F.col("sentiment_score"), 4).alias("avg_sentiment"),
@@ -148,7 +153,7 @@ def label_summary(fact: DataFrame, keys: list[str], digits: int = 2) -> DataFram
 def worst_products(fact: DataFrame, min_reviews: int = 100, k: int = 10) -> DataFrame:
     return (fact.groupBy("asin").agg(
         F.count(F.lit(1)).alias("total_reviews"), mean_of(F.col("rating"), 2).alias("avg_rating"),
-        percent_of(NEGATIVE, 1).alias("negative_pct"))
+        percent_of(negative(), 1).alias("negative_pct"))
         .where(F.col("total_reviews") >= min_reviews)
         .orderBy(F.col("negative_pct").desc(), F.col("asin")).limit(k))
 
@@ -166,7 +171,7 @@ def theme_breakdown(fact: DataFrame) -> DataFrame:
     return fact.groupBy("asin", "review_theme").agg(
         F.count(F.lit(1)).alias("review_count"), mean_of(F.col("sentiment_score"), 3)
         .alias("avg_sentiment"), mean_of(F.col("rating"), 2).alias("avg_rating"),
-        F.count_if(NEGATIVE).alias("negative_count"))
+        F.count_if(negative()).alias("negative_count"))
 
 
 def overall_means(summary: DataFrame) -> DataFrame:
