@@ -24,7 +24,7 @@ def fits_broadcast(df: DataFrame) -> bool:
     if limit < 0:
         return False
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(size.toString()) <= limit
+    return int(str(size)) <= limit
 
 
 def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> DataFrame:

@@ -129,3 +129,12 @@ def eval_runs(spark: SparkSession, folder: str) -> DataFrame:
         F.col("value").cast("decimal(12,2)").alias("latency_s"), tools.alias("tools_used"),
         (F.col("event_id") % 7 == 0).alias("fallback_used"),
         (F.col("event_id") % 2 == 0).alias("has_reflection"))
+
+
+def lookup(spark: SparkSession, folder: str, fact: DataFrame) -> DataFrame:
+    """Product lookup over the fixture, whose category comes from the part."""
+    counts = fact.groupBy("asin", "derived_category").agg(
+        F.count(F.lit(1)).alias("review_count")).where("review_count >= 3")
+    meta = metadata(spark, folder).select("asin", "brand", F.col("title").alias("product_name"))
+    return counts.withColumn("derivation_confidence", rules.confidence_tier(F.col("review_count"))).join(
+        meta, "asin", "left")
