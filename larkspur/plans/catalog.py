@@ -1,6 +1,6 @@
 """Imports every query module so that the registry is complete."""
 
-from . import analytics_queries, mart_queries, monitor_queries  # noqa: F401
+from . import analytics_queries, eval_queries, mart_queries, monitor_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
