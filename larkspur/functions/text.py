@@ -81,5 +81,5 @@ def any_contains(text: Column, words: list[str]) -> Column:
 
 def claims(features: Column, min_chars: int = 10, limit: int = 5) -> Column:
     """Feature list ``a|b|c`` to an array of trimmed claims."""
-    parts = F.transform(F.split(features, r"\|"), F.trim)
+    parts = F.transform(F.split(features, r"\|"), lambda p: F.trim(p))
     return F.slice(F.filter(parts, lambda p: F.length(p) > min_chars), 1, limit)

@@ -27,7 +27,7 @@ def page_fields(pages: DataFrame, key: str, html: str = "html", patterns: dict[s
         return F.nullif(F.trim(F.regexp_extract(body, p[name], 1)), F.lit(""))
 
     def many(name: str):
-        return F.filter(F.transform(F.regexp_extract_all(body, F.lit(p[name]), F.lit(1)), F.trim), lambda x: x != "")
+        return F.filter(F.transform(F.regexp_extract_all(body, F.lit(p[name]), F.lit(1)), lambda p: F.trim(p)), lambda x: x != "")
 
     brand = F.regexp_replace(F.regexp_replace(one("brand"), r"^(Visit the |Brand: )", ""), r" Store$", "")
     whole = one("price_whole")

@@ -139,41 +139,48 @@ def query_terms(queries: DataFrame, qid: str, body: str) -> DataFrame:
         text.tokens(F.col(body), WORDS))).alias("term"))
 
 
-def bm25(postings: DataFrame, stats: DataFrame, terms: DataFrame, k: int,
-         allowed: DataFrame | None = None) -> DataFrame:
-    """Top-k documents per query by BM25.  Postings are cut to the query terms
-    first; document frequencies are counted from what is left.  ``allowed``
-    (query_id, doc_id) restricts a query to some documents."""
-    wanted = terms.select("term").distinct()
-    # materialised: read twice, and its true size lets the planner broadcast
-    hits = stash(postings.join(wanted, "term", "left_semi"), "hits")
+def matched_terms(docs: DataFrame, terms: DataFrame, doc_id: str, body: str,
+                  keep: tuple[str, ...] = ()) -> DataFrame:
+    """Postings of the wanted terms only.  Words are exploded and met with the
+    terms (a small table, hence a broadcast) inside the scan stage, so only
+    matching words are counted and shuffled."""
+    words = docs.select(F.col(doc_id).alias("doc_id"), *keep, text.tokens(F.col(body), WORDS).alias("_w"))
+    return (words.select("doc_id", *keep, F.size("_w").alias("doc_len"), F.explode("_w").alias("term"))
+            .join(terms.select("term").distinct(), "term", "left_semi")
+            .groupBy("term", "doc_id", "doc_len", *keep).agg(F.count(F.lit(1)).alias("tf")))
+
+
+def rank_hits(hits: DataFrame, stats: DataFrame, terms: DataFrame, k: int,
+              on: tuple[str, ...] = ("term",), allowed: DataFrame | None = None,
+              rank: str = "rank") -> DataFrame:
+    """BM25 score and top k per query.  ``hits`` is read twice: pass a stored
+    table.  ``allowed`` (query_id, doc_id) restricts a query to some documents."""
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n, avg = F.col("docs"), F.col("words") / F.col("docs")
+    n, avg, tf = F.col("docs"), F.col("words") / F.col("docs"), F.col("tf")
     weighted = terms.join(df, "term").crossJoin(F.broadcast(stats)).select(
-        "query_id", "term", F.ln(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), avg.alias("avg_len"))
-    tf = F.col("tf")
+        "query_id", *on, F.ln(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), avg.alias("avg_len"))
     part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len")))
-    scored = (hits.join(weighted, "term").groupBy("query_id", "doc_id")
-              # whole millionths, so that the sum does not depend on task order
-              .agg(F.sum(F.round(part * 1000000).cast("bigint")).alias("_s"))
-              .withColumn("score", F.col("_s") / 1000000.0).drop("_s"))
+    # whole millionths, so that the sum does not depend on task order
+    scored = hits.join(weighted, list(on)).groupBy("query_id", "doc_id").agg(
+        (F.sum(F.round(part * 1000000).cast("bigint")) / 1000000.0).alias("score"))
     if allowed is not None:
         scored = scored.join(allowed, ["query_id", "doc_id"], "left_semi")
-    return top_n(scored, ["query_id"], [F.col("score").desc(), F.col("doc_id")], k, "rank")
+    return top_n(scored, ["query_id"], [F.col("score").desc(), F.col("doc_id")], k, rank)
+
+
+def bm25(postings: DataFrame, stats: DataFrame, terms: DataFrame, k: int,
+         allowed: DataFrame | None = None) -> DataFrame:
+    """Top-k documents per query from a stored postings table."""
+    hits = stash(postings.join(terms.select("term").distinct(), "term", "left_semi"), "hits")
+    return rank_hits(hits, stats, terms, k, allowed=allowed)
 
 
 def keyword_search(docs: DataFrame, queries: DataFrame, k: int, doc_id: str = "review_id",
                    body: str = "review_text", qid: str = "query_id", query: str = "query") -> DataFrame:
-    """BM25 without a stored index.  Documents are reduced to query terms
-    inside their own row before anything is exploded or shuffled."""
+    """BM25 straight from documents, without a stored index."""
     terms = stash(query_terms(queries, qid, query), "terms")
-    vocabulary = F.broadcast(terms.agg(F.collect_set("term").alias("_vocab")))
-    words = docs.select(F.col(doc_id).alias("doc_id"), text.tokens(F.col(body), WORDS).alias("_w"))
-    sized = words.withColumn("doc_len", F.size("_w"))
-    hit = (sized.crossJoin(vocabulary)
-           .select("doc_id", "doc_len", F.explode(F.filter("_w", lambda w: F.array_contains("_vocab", w))).alias("term")))
-    postings = hit.groupBy("term", "doc_id", "doc_len").agg(F.count(F.lit(1)).alias("tf"))
-    return bm25(postings, corpus_stats(sized.select("doc_len")), terms, k)
+    hits = stash(matched_terms(docs, terms, doc_id, body), "hits")
+    return rank_hits(hits, corpus_stats(doc_lengths(docs, doc_id, body)), terms, k)
 
 
 def fuse(left: DataFrame, right: DataFrame, k: int, key: str = "doc_id", constant: int = RRF) -> DataFrame:
@@ -235,26 +242,13 @@ def evidence(docs: DataFrame, queries: DataFrame, group: str, k: int, chars: int
     """k quotes per (group, polarity) from documents of the same group.
     ``queries`` holds (group, polarity, query)."""
     named = queries.withColumn("query_id", F.concat_ws("|", group, "polarity"))
-    terms = stash(query_terms(named, "query_id", "query").join(
-        named.select("query_id", group, "polarity"), "query_id"), "terms")
-    sized = docs.select(F.col(doc_id).alias("doc_id"), F.col(group), text.tokens(F.col(body), WORDS).alias("_w")).withColumn(
-        "doc_len", F.size("_w"))
-    vocabulary = F.broadcast(terms.agg(F.collect_set("term").alias("_vocab")))
-    found = (sized.crossJoin(vocabulary).select("doc_id", group, "doc_len", F.explode(F.filter(
-        "_w", lambda w: F.array_contains("_vocab", w))).alias("term"))
-        .groupBy("term", "doc_id", "doc_len", group).agg(F.count(F.lit(1)).alias("tf")))
-    hits = stash(found, "hits")
-    stats = corpus_stats(sized.select("doc_len"))
-    df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n, avg, tf = F.col("docs"), F.col("words") / F.col("docs"), F.col("tf")
-    weighted = terms.join(df, "term").crossJoin(F.broadcast(stats)).withColumn(
-        "idf", F.ln(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))).withColumn("avg_len", avg)
-    part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len")))
-    scored = hits.join(weighted, ["term", group]).groupBy(group, "polarity", "doc_id").agg(
-        (F.sum(F.round(part * 1000000).cast("bigint")) / 1000000.0).alias("score"))
-    best = top_n(scored, [group, "polarity"], [F.col("score").desc(), F.col("doc_id")], k, "evidence_rank")
+    keys = named.select("query_id", group, "polarity")
+    terms = stash(query_terms(named, "query_id", "query").join(keys.select("query_id", group), "query_id"), "terms")
+    hits = stash(matched_terms(docs, terms, doc_id, body, keep=(group,)), "hits")
+    best = rank_hits(hits, corpus_stats(doc_lengths(docs, doc_id, body)), terms, k, on=("term", group),
+                     rank="evidence_rank")
     quotes = docs.select(F.col(doc_id).alias("doc_id"), "rating", F.substring(body, 1, chars).alias("quote"))
-    return best.join(quotes, "doc_id")
+    return best.join(keys, "query_id").join(quotes, "doc_id").drop("query_id")
 
 
 def average_length(stats: DataFrame) -> DataFrame:

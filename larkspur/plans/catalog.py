@@ -1,6 +1,8 @@
 """Imports every query module so that the registry is complete."""
 
-from . import analytics_queries, eval_queries, mart_queries, monitor_queries  # noqa: F401
+from . import (  # noqa: F401
+    analytics_queries, eval_queries, mart_queries, metric_queries, monitor_queries, search_queries, text_queries,
+)
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
