@@ -130,11 +130,12 @@ def enrich_reviews(staged: DataFrame, sentiment_of: Callable[[Column], Column] =
 
 
 def longest_texts(reviews: DataFrame, body: Column, n: int, min_reviews: int,
-                  chars: int, row_id: str = "review_id") -> DataFrame:
+                  chars: int | None = None, row_id: str = "review_id") -> DataFrame:
     """Per product with enough reviews: count and the n longest texts joined by
-    `` | ``.  Each text is cut to ``chars`` before it is shuffled."""
-    slim = reviews.select("asin", "text_len", F.col(row_id).alias("_id"),
-                          F.substring(body, 1, chars).alias("_text"))
+    `` | ``.  Where the caller needs only the first ``chars`` of a text, the
+    rest is left behind before the shuffle."""
+    shown = body if chars is None else F.substring(body, 1, chars)
+    slim = reviews.select("asin", "text_len", F.col(row_id).alias("_id"), shown.alias("_text"))
     longest = top_n(slim, ["asin"], [F.col("text_len").desc_nulls_last(), F.col("_id")], n, "_rn")
     counts = reviews.groupBy("asin").agg(F.count(F.lit(1)).alias("review_count")).where(
         F.col("review_count") >= min_reviews)

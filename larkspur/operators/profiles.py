@@ -224,19 +224,18 @@ def similar_products(metadata: DataFrame, lookup: DataFrame, products: DataFrame
     meta = dedup_metadata(metadata)
     source = meta.join(lookup.select("asin", F.col("derived_category").alias("source_category")), "asin", "left")
     pairs = source.select(F.col("asin").alias("source_asin"), "source_category",
-                          F.posexplode(F.slice("also_buy", 1, edges)).alias("_pos", "asin")).dropDuplicates(
-        ["source_asin", "asin"])
+                          F.explode(F.array_distinct(F.slice("also_buy", 1, edges))).alias("asin"))
     target = (lookup.select("asin", "product_name", "brand", "derived_category")
               .join(meta.select("asin", "price"), "asin", "left")
               .join(products.select("asin", "review_count", "avg_rating", "avg_sentiment"), "asin", "left"))
     related = F.col("source_category").isNotNull() & (F.col("derived_category") != F.col("source_category"))
-    j = (spread_join(pairs.drop("_pos"), target, "asin", "inner", row_id="source_asin")
+    j = (spread_join(pairs, target, "asin", "inner", row_id="source_asin")
          # without a source category every target counts as cross-category
-         .withColumn("related_category", F.col("source_category").isNull() | related)
-         .withColumn("full_title", F.col("product_name"))
-         .withColumn("product_name", text.clean_title(F.col("product_name"))))
-    return top_n(j, ["source_asin"], [F.col("related_category"), F.col("review_count").desc_nulls_last(),
+         .withColumn("related_category", F.col("source_category").isNull() | related))
+    best = top_n(j, ["source_asin"], [F.col("related_category"), F.col("review_count").desc_nulls_last(),
                                       F.col("asin")], limit, "similar_rank").drop("source_category")
+    return best.withColumn("full_title", F.col("product_name")).withColumn(
+        "product_name", text.clean_title(F.col("product_name")))
 
 
 def price_value(metadata: DataFrame, lookup: DataFrame, fact: DataFrame, cuts=tuple(vocab.PRICE_CUTS),

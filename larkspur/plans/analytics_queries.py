@@ -214,12 +214,12 @@ SELECT source_asin, asin, product_name AS full_title, product_name, brand, price
     source_category IS NULL OR t.derived_category <> source_category AS related_category
   FROM (SELECT DISTINCT m.asin AS source_asin, l.derived_category AS source_category, unnest(m.also_buy[1:20]) AS asin
         FROM metadata m LEFT JOIN lookup l ON m.asin = l.asin) e
-  JOIN lookup t ON e.asin = t.asin LEFT JOIN products p ON t.asin = p.asin)) WHERE similar_rank <= 2""",
+  JOIN lookup t ON e.asin = t.asin LEFT JOIN products p ON t.asin = p.asin)) WHERE similar_rank <= 5""",
                             "metadata", "lookup", "products"))
 def _(spark, d):
     fact = fact_of(spark, d)
     return profiles.similar_products(fx.metadata(spark, d), fx.lookup(spark, d, fact),
-                                     marts.product_summary(fact), limit=2)
+                                     marts.product_summary(fact))
 
 
 # ------------------------------------------------------------------ price, D9
@@ -383,7 +383,7 @@ FROM (SELECT l.*, regexp_replace(regexp_replace(product_name, '^Brand\\s*-\\s*',
         CASE WHEN asin % 3 = 0 THEN 'Brand - Acme - ' || product_name ELSE 'Product Name: ' || product_name END AS product_name
         FROM lookup) l) c
 JOIN metadata m0 ON c.asin = m0.asin
-LEFT JOIN (SELECT * FROM metadata_dup WHERE NOT ends_with(title, '(old)') AND asin % 2 = 0) m ON c.asin = m.asin""",
+LEFT JOIN (SELECT * FROM metadata_dup WHERE NOT ends_with(title, '(old)') AND price < 950) m ON c.asin = m.asin""",
                         "lookup", "metadata", "metadata_dup"))
 def _(spark, d):
     fact = fact_of(spark, d)
@@ -395,7 +395,7 @@ def _(spark, d):
     names = look.select("asin", F.concat(
         F.when(F.col("asin") % 3 == 0, F.lit("Brand - Acme - ")).otherwise(F.lit("Product Name: ")),
         "product_name").alias("raw_product_name"))
-    meta = fx.metadata(spark, d, duplicates=True).where("asin % 2 = 0")
+    meta = fx.metadata(spark, d, duplicates=True).where("title NOT LIKE '%(old)' AND price < 950")
     return marts.product_lookup(cats, names, meta)
 
 
@@ -433,7 +433,7 @@ def _(spark, d):
     return top_n(docs, ["asin"], [F.col("text_len").desc(), F.col("review_id")], 3, "rn")
 
 
-@query("g11_longest_text_list", sql("""SELECT asin, n AS review_count, string_agg(left(review_text, 40), ' | ' ORDER BY rn) AS sample_text
+@query("g11_longest_text_list", sql("""SELECT asin, n AS review_count, string_agg(review_text, ' | ' ORDER BY rn) AS sample_text
   FROM longest WHERE rn <= 3 AND n >= 3 GROUP BY asin, n""", "longest"))
 def _(spark, d):
-    return enrich.longest_texts(fx.documents(spark, d), F.col("review_text"), 3, 3, 40)
+    return enrich.longest_texts(fx.documents(spark, d), F.col("review_text"), 3, 3)

@@ -91,17 +91,17 @@ SELECT s.*, c.t AS complaint_texts, p.t AS strength_texts, a.t AS all_texts FROM
   count(*) FILTER (WHERE rating < 3) AS negative_reviews, {pct('rating < 3', 2)} AS negative_pct
   FROM r GROUP BY asin) s
 LEFT JOIN (SELECT asin, string_agg(review_text, ' ' ORDER BY rn) AS t FROM (SELECT *, row_number() OVER (PARTITION BY asin
-  ORDER BY helpful_vote DESC, review_ts DESC, review_id) AS rn FROM r WHERE rating < 3) WHERE rn <= 2 GROUP BY asin) c ON s.asin = c.asin
+  ORDER BY helpful_vote DESC, review_ts DESC, review_id) AS rn FROM r WHERE rating < 3) WHERE rn <= 30 GROUP BY asin) c ON s.asin = c.asin
 LEFT JOIN (SELECT asin, string_agg(review_text, ' ' ORDER BY rn) AS t FROM (SELECT *, row_number() OVER (PARTITION BY asin
-  ORDER BY helpful_vote DESC, review_ts DESC, review_id) AS rn FROM r WHERE rating >= 4) WHERE rn <= 2 GROUP BY asin) p ON s.asin = p.asin
+  ORDER BY helpful_vote DESC, review_ts DESC, review_id) AS rn FROM r WHERE rating >= 4) WHERE rn <= 30 GROUP BY asin) p ON s.asin = p.asin
 LEFT JOIN (SELECT asin, string_agg(review_text, ' ' ORDER BY rn) AS t FROM (SELECT *, row_number() OVER (PARTITION BY asin
-  ORDER BY helpful_vote DESC, review_ts DESC, review_id) AS rn FROM r) WHERE rn <= 3 GROUP BY asin) a ON s.asin = a.asin
+  ORDER BY helpful_vote DESC, review_ts DESC, review_id) AS rn FROM r) WHERE rn <= 40 GROUP BY asin) a ON s.asin = a.asin
 """.replace("FROM r ", "FROM (SELECT *, length(review_text) % 7 AS helpful_vote, review_id % 30 AS review_ts FROM docs) ").replace(
     "FROM r)", "FROM (SELECT *, length(review_text) % 7 AS helpful_vote, review_id % 30 AS review_ts FROM docs))"), "docs"))
 def _(spark, d):
     docs = fx.documents(spark, d).withColumns({
         "helpful_vote": F.length("review_text") % 7, "review_ts": F.col("review_id") % 30})
-    return marts.product_digest(docs, "review_text", k=2, k_all=3)
+    return marts.product_digest(docs, "review_text")
 
 
 # --------------------------------------------------------------------- windows
@@ -144,11 +144,11 @@ def _(spark, d):
 
 @query("k2_most_helpful", sql("""SELECT asin, review_id, rating, helpful_vote, CAST(review_ts AS VARCHAR) AS review_ts, rn FROM (
   SELECT *, row_number() OVER (PARTITION BY asin ORDER BY helpful_vote DESC NULLS LAST, review_ts DESC, review_id) AS rn
-  FROM reviews WHERE rating <= 2) WHERE rn <= 5""", "reviews"))
+  FROM reviews WHERE rating <= 2) WHERE rn <= 15""", "reviews"))
 def _(spark, d):
     neg = fx.reviews(spark, d).where("rating <= 2").select("asin", "review_id", "rating", "helpful_vote", "review_ts")
     return dedup.top_n(neg, ["asin"], [F.col("helpful_vote").desc_nulls_last(), F.col("review_ts").desc(),
-                                       F.col("review_id")], 5, "rn")
+                                       F.col("review_id")], 15, "rn")
 
 
 @query("k5_recent_months", sql("""SELECT * REPLACE (CAST(review_month AS VARCHAR) AS review_month) FROM (SELECT *, row_number() OVER (

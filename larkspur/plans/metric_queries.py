@@ -75,8 +75,8 @@ _FAMILIES = {
                            "SELECT count(*) AS n FROM products WHERE review_count > 25", "products"),
     "x4_grand_total": (lambda m: mx.grand_total(m["category_summary"], "review_count"),
                        "SELECT CAST(sum(review_count) AS BIGINT) AS total_review_count FROM summary", "summary"),
-    "x4_full_ranking": (lambda m: mx.extreme(m["product_summary"], "avg_sentiment", ["asin"], 1000, False),
-                        "SELECT asin, avg_sentiment FROM products ORDER BY avg_sentiment, asin LIMIT 1000", "products"),
+    "x4_full_ranking": (lambda m: mx.ranking(m["product_summary"], "avg_sentiment", ["asin"], False),
+                        "SELECT asin, avg_sentiment FROM products", "products"),
     "x4_recent_series": (lambda m: mx.series(m["monthly_trends"], "avg_sentiment", "PROMO", 12),
                          f"SELECT {_M}, avg_sentiment FROM trends t WHERE derived_category = 'PROMO' ORDER BY t.review_month DESC LIMIT 12", "trends"),
     "x4_peak_month": (lambda m: mx.extreme(m["monthly_trends"].where("derived_category = 'SMALL'"), "review_count", ["review_month"]),

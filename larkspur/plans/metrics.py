@@ -157,6 +157,12 @@ def extreme(mart: DataFrame, metric: str, keys: list[str], k: int = 1, highest:
     return mart.select(*keys, metric, *also).orderBy(by, *keys).limit(k)
 
 
+def ranking(mart: DataFrame, metric: str, keys: list[str], highest: bool = True) -> DataFrame:
+    """Every row of the mart in the order of a metric."""
+    by = F.col(metric).desc_nulls_last() if highest else F.col(metric).asc_nulls_last()
+    return mart.select(*keys, metric).orderBy(by, *keys)
+
+
 def point_value(mart: DataFrame, metric: str, **where) -> DataFrame:
     for column, value in where.items():
         mart = mart.where(F.col(column) == value)

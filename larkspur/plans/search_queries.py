@@ -13,29 +13,34 @@ from .text_queries import lit
 
 # ------------------------------------------------------------------ vectors, R1
 
-define("sims", [], """SELECT q.vec_id AS query_id, c.vec_id, round(list_cosine_similarity(CAST(c.embedding AS DOUBLE[]),
-  CAST(q.embedding AS DOUBLE[])), 6) AS similarity, c.label = q.label AS same_label FROM embeddings c, embeddings q WHERE q.vec_id < 10""")
+define("centroids", [], """SELECT label AS query_id, list(v ORDER BY pos) AS center FROM (SELECT label, pos, avg(v) AS v FROM (
+  SELECT label, CAST(unnest(embedding) AS DOUBLE) AS v, generate_subscripts(embedding, 1) AS pos FROM embeddings)
+  GROUP BY label, pos) GROUP BY label""")
+define("sims", ["centroids"], """SELECT query_id, vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), center), 6) AS similarity,
+  label = query_id AS same_label FROM embeddings, centroids""")
 
 
 def _queries(spark, d):
-    return fx.table(spark, d, "embeddings").where("vec_id < 10")
+    """One query vector per label: the mean of its vectors."""
+    each = fx.table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("pos", "v"))
+    means = each.groupBy("label", "pos").agg(F.avg(F.col("v").cast("double")).alias("v"))
+    return means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))),
+                                                  lambda x: x["v"]).alias("embedding"))
 
 
 @query("r1_cosine_topk", sql("""SELECT query_id, vec_id, similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id
   ORDER BY similarity DESC, vec_id) AS rank FROM sims) WHERE rank <= 5""", "sims"))
 def _(spark, d):
-    return search.cosine_topk(fx.table(spark, d, "embeddings"), _queries(spark, d), 5)
+    return search.cosine_topk(fx.table(spark, d, "embeddings"), _queries(spark, d), 5, qid="label")
 
 
 @query("r1_label_agreement", sql("""SELECT query_id, CAST(count(*) FILTER (WHERE same_label) AS BIGINT) AS agreeing FROM (SELECT *, row_number() OVER (
-  PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM sims WHERE vec_id <> query_id) WHERE rank <= 10 GROUP BY query_id""", "sims"))
+  PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM sims) WHERE rank <= 10 GROUP BY query_id""", "sims"))
 def _(spark, d):
     e = fx.table(spark, d, "embeddings")
-    top = search.cosine_topk(e, _queries(spark, d), 10, exclude_self=True)
-    label = e.select("vec_id", "label")
-    mine = label.withColumnsRenamed({"vec_id": "query_id", "label": "query_label"})
-    return top.join(label, "vec_id").join(mine, "query_id").groupBy("query_id").agg(
-        F.count_if(F.col("label") == F.col("query_label")).alias("agreeing"))
+    top = search.cosine_topk(e, _queries(spark, d), 10, qid="label")
+    return top.join(e.select("vec_id", "label"), "vec_id").groupBy("query_id").agg(
+        F.count_if(F.col("label") == F.col("query_id")).alias("agreeing"))
 
 
 @query("r1_nearest_single", """SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]),
@@ -84,7 +89,7 @@ def _(spark, d):
 def _(spark, d):
     words = search.keyword_search(fx.documents(spark, d), _asked(spark), 50)
     e = fx.table(spark, d, "embeddings")
-    near = search.cosine_topk(e, e.where("vec_id < 3"), 50).select(
+    near = search.cosine_topk(e, _queries(spark, d), 50, qid="label").where("query_id < 3").select(
         F.concat(F.lit("q"), (F.col("query_id") + 1).cast("string")).alias("query_id"),
         F.col("vec_id").alias("doc_id"), "rank")
     return search.fuse(words, near, 10)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions import rules, text
-from ..operators import enrich, pages, profiles, quality, turns
+from ..operators import enrich, marts, pages, profiles, quality, turns
 from ..session import stash
 from ..sources import fixtures as fx
 from .registry import define, mean, pct, query, rnd, share, sql
@@ -157,17 +157,17 @@ def _(spark, d):
 
 # ------------------------------------------------------------------- screening
 
-define("vocab_rows", [], """SELECT DISTINCT 'category' AS kind, lower(p_type) AS term FROM part
+define("vocab_rows", ["themes"], """SELECT DISTINCT 'category' AS kind, lower(p_type) AS term FROM part
   UNION ALL SELECT 'brand', term FROM (SELECT DISTINCT lower(p_brand) AS term FROM part ORDER BY term LIMIT 1000)
-  UNION ALL SELECT 'theme', unnest(['battery life', 'comfort', 'ease of use'])""")
+  UNION ALL SELECT DISTINCT 'theme', replace(lower(review_theme), '_', ' ') FROM themes""")
 _HIST = "turn > 3"
 
 
 def _vocabulary(spark, d):
     part = fx.table(spark, d, "part")
-    themes = spark.range(1).select(F.explode(F.array(*[F.lit(t) for t in ("battery_life", "comfort", "ease_of_use")])).alias("review_theme"))
     return turns.vocabulary(part.select(F.col("p_type").alias("derived_category")),
-                            part.select(F.col("p_brand").alias("brand")), themes)
+                            part.select(F.col("p_brand").alias("brand")),
+                            marts.theme_category(fx.reviews(spark, d)))
 
 
 @query("b24_vocabulary", sql("SELECT * FROM vocab_rows", "vocab_rows"))
@@ -175,14 +175,14 @@ def _(spark, d):
     return _vocabulary(spark, d)
 
 
-@query("b23_screening", f"""SELECT conv_id, turn, CASE WHEN length(trim(text, ' ')) < 3 OR length(text) > 1000 THEN 'input_length'
+@query("b23_screening", sql(f"""SELECT conv_id, turn, CASE WHEN length(trim(text, ' ')) < 3 OR length(text) > 1000 THEN 'input_length'
   WHEN {any_re('lower(text)', vocab.INJECTION_PATTERNS)} THEN 'prompt_injection'
   WHEN {any_re('lower(text)', vocab.ABUSE_PATTERNS)} THEN 'toxicity'
   WHEN {_HIST} OR regexp_matches(text, {lit(vocab.PRODUCT_ID_PATTERN)}) OR {any_sub('lower(text)', vocab.TOPIC_WORDS)}
-    OR {any_sub('lower(text)', ['medium', 'promo', 'economy', 'small', 'standard', 'large', 'battery life', 'comfort', 'ease of use'])}
-    OR regexp_matches(lower(text), 'brand#[0-9]') THEN 'allowed' ELSE 'off_topic' END AS verdict,
+    OR {any_sub('lower(text)', ['brand#'])}
+    OR EXISTS (SELECT 1 FROM vocab_rows WHERE kind <> 'brand' AND contains(lower(text), term)) THEN 'allowed' ELSE 'off_topic' END AS verdict,
   length(text) <= 5 OR length(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')) >= 0.6::DOUBLE * length(text) AS mostly_ascii
-  FROM conversations""")
+  FROM conversations""", "vocab_rows"))
 def _(spark, d):
     c = fx.table(spark, d, "conversations")
     return turns.screen(c, "text", _vocabulary(spark, d), F.col("turn") > 3).select(
@@ -313,11 +313,11 @@ def _(spark, d):
 
 # ------------------------------------------------------------------- contexts
 
-@query("b27_review_context", sql("""SELECT asin, count(*) AS review_count, string_agg('- Review (Rating: ' || rating || '/5): ' || left(review_text, 80),
+@query("b27_review_context", sql("""SELECT asin, count(*) AS review_count, string_agg('- Review (Rating: ' || rating || '/5): ' || review_text,
   chr(10) ORDER BY rn) AS context FROM longest WHERE rn <= 4 GROUP BY asin""", "longest"))
 def _(spark, d):
     return turns.review_context(fx.documents(spark, d), "review_text", 4, ["asin"],
-                                [F.col("text_len").desc(), F.col("review_id")], chars=80)
+                                [F.col("text_len").desc(), F.col("review_id")])
 
 
 define("ranked_turns", [], """SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations""")

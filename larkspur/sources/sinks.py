@@ -16,7 +16,7 @@ def new_rows(source: DataFrame, target: DataFrame | None, key: str,
              order: list[Column]) -> DataFrame:
     """Source rows whose key the target lacks, one row per key."""
     fresh = source if target is None else source.join(
-        target.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_anti")
+        target.select(key).where(F.col(key).isNotNull()), key, "left_anti")
     return keep_first(fresh, [key], order)
 
 

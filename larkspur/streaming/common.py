@@ -8,6 +8,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import stash
+
 
 def stream_files(spark: SparkSession, folder: str, schema, fmt: str = "parquet",
                  max_files: int | None = None) -> DataFrame:
@@ -26,6 +28,16 @@ def earlier(spark: SparkSession, target: str, batch_id: int) -> DataFrame | None
     return table.where(F.col("batch_id") < batch_id)
 
 
+def unseen(batch: DataFrame, known: DataFrame | None, key: str) -> DataFrame:
+    """Batch rows whose key is not known yet.  The known keys, which only grow,
+    are first met with the batch's own: its stored key list is small, so that
+    pass is a broadcast over the known table instead of a shuffle of it."""
+    if known is None:
+        return batch
+    mine = stash(batch.select(key).where(F.col(key).isNotNull()).distinct(), "keys")
+    return batch.join(known.select(key).join(mine, key, "left_semi"), key, "left_anti")
+
+
 def write_batch(df: DataFrame, target: str, batch_id: int) -> None:
     """A batch owns one folder: repeating it overwrites its own rows only."""
     df.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")

@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 from ..operators import alerts, search
 from ..sources.sinks import new_rows
-from .common import earlier, run_available, stream_files, write_batch
+from .common import earlier, run_available, stream_files, unseen, write_batch
 
 
 def ingest_reviews(spark: SparkSession, source: str, schema, target: str, checkpoint: str,
                    order: list[Column], key: str = "review_id", fmt: str = "parquet") -> None:
     """New files to the target, first arrival of a key wins, never an update."""
     def handle(batch: DataFrame, batch_id: int) -> None:
-        write_batch(new_rows(batch, earlier(batch.sparkSession, target, batch_id), key, order), target, batch_id)
+        fresh = unseen(batch, earlier(batch.sparkSession, target, batch_id), key)
+        write_batch(new_rows(fresh, None, key, order), target, batch_id)
 
     run_available(stream_files(spark, source, schema, fmt), handle, checkpoint)
 
@@ -36,9 +37,9 @@ def refresh_index(spark: SparkSession, source: str, schema, index: str, checkpoi
     def handle(batch: DataFrame, batch_id: int) -> None:
         # lengths go last, so a batch cut short between the two is indexed again
         known = earlier(batch.sparkSession, f"{index}/lengths", batch_id)
-        fresh = batch.dropDuplicates([doc_id])
         if known is not None:
-            fresh = fresh.join(known.select(F.col("doc_id").alias(doc_id)), doc_id, "left_anti")
+            known = known.select(F.col("doc_id").alias(doc_id))
+        fresh = unseen(batch, known, doc_id).dropDuplicates([doc_id])
         write_batch(search.build_postings(fresh, doc_id, body), f"{index}/postings", batch_id)
         write_batch(search.doc_lengths(fresh, doc_id, body), f"{index}/lengths", batch_id)
 
