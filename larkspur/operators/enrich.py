@@ -65,22 +65,20 @@ def sentiment(body: Column, positive: list[str] = POSITIVE,
               negative: list[str] = NEGATIVE) -> Column:
     """(positive - negative) / (positive + negative) words, in [-1, 1]; 0 when
     no polar word occurs or the text is NULL."""
-    words = text.tokens(body)
-    pos, neg = word_hits(words, positive), word_hits(words, negative)
-    score = (pos - neg) / F.greatest(pos + neg, F.lit(1))
+    counts = text.let(text.tokens(body), lambda words: F.struct(
+        word_hits(words, positive).alias("pos"), word_hits(words, negative).alias("neg")))
+    score = text.let(counts, lambda c: (c["pos"] - c["neg"]) / F.greatest(c["pos"] + c["neg"], F.lit(1)))
     return F.coalesce(F.round(score, 4), F.lit(0.0)).cast(SCORE)
 
 
 def label_by_words(body: Column, profiles: dict[str, list[str]], fallback: str) -> Column:
     """Label whose words occur most often; the earlier label wins a tie and no
     hit at all gives the fallback."""
-    words = text.tokens(body)
-    scored = F.array(*[
+    best = text.let(text.tokens(body), lambda words: F.array_max(F.array(*[
         F.struct(word_hits(words, vocabulary).alias("hits"), F.lit(-i).alias("rank"),
                  F.lit(label).alias("label"))
-        for i, (label, vocabulary) in enumerate(profiles.items())])
-    best = F.array_max(scored)
-    return F.when(best["hits"] > 0, best["label"]).otherwise(F.lit(fallback))
+        for i, (label, vocabulary) in enumerate(profiles.items())])))
+    return F.coalesce(text.let(best, lambda b: F.when(b["hits"] > 0, b["label"])), F.lit(fallback))
 
 
 def theme(body: Column, profiles: dict[str, list[str]] = THEME_WORDS) -> Column:

@@ -28,12 +28,18 @@ def complaints(spark, d) -> DataFrame:
     return stash(marts.complaint_analysis(fx.reviews(spark, d)), "complaints")
 
 
+def full_fact(spark, d) -> DataFrame:
+    return stash(fx.reviews(spark, d, customers=True), "fact")
+
+
 def round6(df: DataFrame, *cols: str) -> DataFrame:
     return df.withColumns({c: steady_round(F.col(c), 6) for c in cols})
 
 
-def anomalies_of(spark, d) -> DataFrame:
-    return monitor.review_anomalies(trends(spark, d), complaints(spark, d))
+def anomalies_of(spark, d, fact: DataFrame | None = None) -> DataFrame:
+    fact = full_fact(spark, d) if fact is None else fact
+    return monitor.review_anomalies(stash(marts.monthly_trends(fact), "trends"),
+                                    stash(marts.complaint_analysis(fact), "complaints"))
 
 
 # ---------------------------------------------------------------- detectors
@@ -159,9 +165,10 @@ def _(spark, d):
 
 # ----------------------------------------------------- product level, M6-M7
 
-def supplier_reviews(spark, d) -> DataFrame:
+def supplier_reviews(spark, d, fact: DataFrame | None = None) -> DataFrame:
     """Suppliers stand in for products: they pass the 100-review gate."""
-    return (fx.reviews(spark, d).where(F.col("review_ts") < F.lit(CUT).cast("timestamp_ntz"))
+    fact = fx.reviews(spark, d) if fact is None else fact
+    return (fact.where(F.col("review_ts") < F.lit(CUT).cast("timestamp_ntz"))
             .withColumn("asin", F.col("supplier")))
 
 
@@ -171,8 +178,8 @@ def supplier_lookup(spark, d) -> DataFrame:
         F.lit("supplier").alias("brand"), F.lit(None).cast("string").alias("derived_category"))
 
 
-def product_alerts(spark, d) -> DataFrame:
-    months = stash(monitor.product_months(supplier_reviews(spark, d)), "product-months")
+def product_alerts(spark, d, fact: DataFrame | None = None) -> DataFrame:
+    months = stash(monitor.product_months(supplier_reviews(spark, d, fact)), "product-months")
     return monitor.product_anomalies(months, supplier_lookup(spark, d))
 
 
@@ -260,9 +267,9 @@ def _(spark, d):
 
 # ------------------------------------------------------------- quality, Q1-8
 
-def checks_of(spark, d) -> DataFrame:
+def checks_of(spark, d, fact: DataFrame | None = None) -> DataFrame:
     landing = fx.reviews_with_duplicates(spark, d)
-    fact = stash(fx.reviews(spark, d, customers=True), "fact")
+    fact = full_fact(spark, d) if fact is None else fact
     return quality.quality_checks(landing, landing, fact, fact, marts.category_summary(fact), AS_OF)
 
 
@@ -355,10 +362,10 @@ def _(spark, d):
 # ------------------------------------------------------------- alerts, M10-13
 
 def alert_log(spark, d) -> DataFrame:
-    a = stash(anomalies_of(spark, d), "anomalies")
-    return alerts.build_alerts(a, monitor.cross_category_alerts(a),
-                               monitor.emerging_themes(fx.reviews(spark, d)),
-                               product_alerts(spark, d), checks_of(spark, d))
+    fact = full_fact(spark, d)
+    a = stash(anomalies_of(spark, d, fact), "anomalies")
+    return alerts.build_alerts(a, monitor.cross_category_alerts(a), monitor.emerging_themes(fact),
+                               product_alerts(spark, d, fact), checks_of(spark, d, fact))
 
 
 _COLS = ["alert_source", "anomaly_type", "derived_category", "review_theme", "asin", "product_name",
@@ -441,7 +448,8 @@ FROM (SELECT count(*) AS n FROM anomalies WHERE severity = 'HIGH'),
   (SELECT count(*) AS f, string_agg('  - ' || check_name || ': ' || description, chr(10)
     ORDER BY '  - ' || check_name || ': ' || description) AS q FROM dq WHERE status = 'FAIL')""", "anomalies", "dq"))
 def _(spark, d):
-    return alerts.scan_digest(anomalies_of(spark, d), checks_of(spark, d))
+    fact = full_fact(spark, d)
+    return alerts.scan_digest(stash(anomalies_of(spark, d, fact), "anomalies"), checks_of(spark, d, fact))
 
 
 @query("m13_acknowledged", sql("""SELECT anomaly_type, derived_category, review_theme, severity,
