@@ -179,7 +179,8 @@ def value_overlap(actual: DataFrame, expected: DataFrame, key: str, value: str =
 
 def stratified_sample(rows: DataFrame, stratum: str, order: str, n: int) -> DataFrame:
     """n rows keeping the strata's ratio: ``max(1, round(n * size / total))``
-    first rows of each (half to even), then trimmed or padded to n in order.
+    first rows of each (half to even), then trimmed or padded to n in order; all
+    rows in order if there are no more than n.
     ``order`` is unique.  Strata keep the order of their first row.  At most n
     rows per stratum and n rows overall are looked at after the counts."""
     sizes = rows.groupBy(stratum).agg(F.count(F.lit(1)).alias("_size"), F.min(order).alias("_first"))
@@ -188,7 +189,7 @@ def stratified_sample(rows: DataFrame, stratum: str, order: str, n: int) -> Data
         F.lit(1), F.bround(F.lit(n) * F.col("_size") / F.col("_total"), 0).cast("int")))
     head = top_n(rows, [stratum], [F.col(order)], n, "_rn").join(quota, stratum)
     # picked rows come stratum by stratum, padding follows in overall order
-    picked = F.col("_rn") <= F.col("_quota")
+    picked = (F.col("_rn") <= F.col("_quota")) & (F.col("_total") > n)
     rank = F.when(picked, F.struct(F.lit(0).alias("a"), F.col("_first").alias("b"), F.col(order).alias("c"))).otherwise(
         F.struct(F.lit(1).alias("a"), F.col(order).alias("b"), F.col(order).alias("c")))
     return head.orderBy(rank).limit(n).drop("_rn", "_size", "_first", "_total", "_quota")

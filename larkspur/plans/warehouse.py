@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 
 from ..operators import enrich, marts, monitor, quality
 from ..operators.dedup import keep_latest_reviews
-from ..sources.landing import stage_reviews
+from ..sources.landing import stage_reviews, typed_reviews
 from ..sources.sinks import incremental, materialise
 
 
@@ -44,6 +44,8 @@ def build(landing: DataFrame, metadata: DataFrame, out: str, as_of: str, previou
     write("emerging_themes", monitor.emerging_themes(fact))
     months = write("product_months", monitor.product_months(fact))
     write("product_anomalies", monitor.product_anomalies(months, lookup))
+    # the staged count is the number of distinct keys; no text is read for it
+    keys = stage_reviews(landing).select("review_id").distinct()
     write("data_quality_checks", quality.quality_checks(
-        staged, staged, enriched, fact, tables["category_summary"], as_of))
+        typed_reviews(landing), keys, enriched, fact, tables["category_summary"], as_of))
     return tables
