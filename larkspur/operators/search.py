@@ -17,6 +17,7 @@ from .dedup import top_n
 
 DIGITS = 6
 QUERY_BYTES = 32 * 2**20  # query vectors held by one task in one pass
+QUERY_CHUNK = 512  # queries multiplied with a batch at a time
 WORDS = r"[^\p{L}\p{N}]+"
 K1, B = 1.2, 0.75
 RRF = 60
@@ -51,21 +52,33 @@ def _vector_pass(corpus: DataFrame, query_rows: list, k: int, cid: str, vector:
     q = q / np.where(norm == 0, 1.0, norm)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # running k best (scores, ids) per query over the batches of this task
+        best_s = [np.empty(0) for _ in qids]
+        best_i = [np.empty(0, dtype=np.int64) for _ in qids]
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            sims = np.round(_matrix(batch.column(1)) @ q.T, DIGITS)
-            out_q, out_i, out_s = [], [], []
-            for j in range(len(qids)):
-                keep = np.flatnonzero(ids != qids[j]) if exclude_self else np.arange(len(ids))
-                best = keep[_best_rows(sims[keep, j], ids[keep], k)]
-                out_q.append(np.full(len(best), qids[j]))
-                out_i.append(ids[best])
-                out_s.append(sims[best, j])
+            m = _matrix(batch.column(1))
+            for start in range(0, len(qids), QUERY_CHUNK):
+                sims = np.round(m @ q[start:start + QUERY_CHUNK].T, DIGITS)
+                if exclude_self:
+                    sims[ids[:, None] == qids[None, start:start + QUERY_CHUNK]] = -np.inf
+                top = sims.max(axis=0)
+                for c in range(sims.shape[1]):
+                    j = start + c
+                    if len(best_s[j]) == k and top[c] < best_s[j][-1]:
+                        continue
+                    s, i = np.concatenate([best_s[j], sims[:, c]]), np.concatenate([best_i[j], ids])
+                    rows = _best_rows(s, i, k)
+                    rows = rows[s[rows] > -np.inf]
+                    best_s[j], best_i[j] = s[rows], i[rows]
+        for start in range(0, len(qids), QUERY_CHUNK):
+            part = range(start, min(start + QUERY_CHUNK, len(qids)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(out_q)), pa.array(np.concatenate(out_i)),
-                 pa.array(np.concatenate(out_s))], names=["query_id", cid, "similarity"])
+                [pa.array(np.concatenate([np.full(len(best_s[j]), qids[j]) for j in part])),
+                 pa.array(np.concatenate([best_i[j] for j in part])),
+                 pa.array(np.concatenate([best_s[j] for j in part]))], names=["query_id", cid, "similarity"])
 
     slim = corpus.where(F.col(vector).isNotNull()).select(F.col(cid).cast("bigint"), vector)
     local = slim.mapInArrow(score, f"query_id bigint, {cid} bigint, similarity double")
@@ -76,8 +89,8 @@ def cosine_topk(corpus: DataFrame, queries: DataFrame, k: int = 5, cid: str = "v
                 qid: str = "vec_id", vector: str = "embedding", exclude_self: bool = False) -> DataFrame:
     """Exact k nearest corpus rows per query by cosine similarity.
 
-    Each Arrow batch is multiplied with the query matrix and hands on only its
-    own k best rows per query, so the pairs are never written out.  Query sets
+    Each task multiplies its Arrow batches with the query matrix and hands on
+    only its own k best rows per query, so the pairs are never written out.  Query sets
     beyond ``QUERY_BYTES`` go through in several passes over the corpus.
     """
     q = queries.where(F.col(vector).isNotNull()).select(F.col(qid).cast("bigint").alias("_q"), F.col(vector).alias("_v"))
@@ -157,8 +170,10 @@ def rank_hits(hits: DataFrame, stats: DataFrame, terms: DataFrame, k: int,
     table.  ``allowed`` (query_id, doc_id) restricts a query to some documents."""
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n, avg, tf = F.col("docs"), F.col("words") / F.col("docs"), F.col("tf")
-    weighted = terms.join(df, "term").crossJoin(F.broadcast(stats)).select(
-        "query_id", *on, F.ln(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), avg.alias("avg_len"))
+    # stored: with its true size known, the hits meet it by broadcast, unshuffled
+    weighted = stash(terms.join(df, "term").crossJoin(F.broadcast(stats)).select(
+        "query_id", *on, F.ln(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"),
+        avg.alias("avg_len")), "weights")
     part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len")))
     # whole millionths, so that the sum does not depend on task order
     scored = hits.join(weighted, list(on)).groupBy("query_id", "doc_id").agg(
@@ -219,7 +234,7 @@ def shape_results(hits: DataFrame, docs: DataFrame, lookup: DataFrame, chars: in
     """Ranked ids to readable rows: cut text, attributes, product name, brand."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), "asin", "rating", F.substring(body, 1, chars).alias("text"))
     names = lookup.select("asin", "product_name", "brand")
-    return hits.join(rows, "doc_id").join(names, "asin", "left")
+    return stash(hits, "results").join(rows, "doc_id").join(names, "asin", "left")
 
 
 def top_mentions(hits: DataFrame, k: int = 5) -> DataFrame:
@@ -245,8 +260,8 @@ def evidence(docs: DataFrame, queries: DataFrame, group: str, k: int, chars: int
     keys = named.select("query_id", group, "polarity")
     terms = stash(query_terms(named, "query_id", "query").join(keys.select("query_id", group), "query_id"), "terms")
     hits = stash(matched_terms(docs, terms, doc_id, body, keep=(group,)), "hits")
-    best = rank_hits(hits, corpus_stats(doc_lengths(docs, doc_id, body)), terms, k, on=("term", group),
-                     rank="evidence_rank")
+    best = stash(rank_hits(hits, corpus_stats(doc_lengths(docs, doc_id, body)), terms, k, on=("term", group),
+                           rank="evidence_rank"), "evidence")
     quotes = docs.select(F.col(doc_id).alias("doc_id"), "rating", F.substring(body, 1, chars).alias("quote"))
     return best.join(keys, "query_id").join(quotes, "doc_id").drop("query_id")
 

@@ -65,17 +65,12 @@ def ingestion_health(landing: DataFrame) -> DataFrame:
         "source_category", "source_file", "loaded_at",
         F.get_json_object("v", "$.asin").alias("asin"),
         F.get_json_object("v", "$.user_id").alias("user_id"))
-    # one distinct at a time: a partial distinct per key spreads a hot category
-    base = keyed.groupBy("source_category").agg(
-        F.count(F.lit(1)).alias("total_rows"), F.min("loaded_at").alias("first_loaded"),
-        F.max("loaded_at").alias("last_loaded"))
-    out = base
-    for col, name in (("asin", "unique_asins"), ("user_id", "unique_users"),
-                      ("source_file", "source_files")):
-        n = (keyed.groupBy("source_category", col).agg(F.lit(1).alias("one"))
-             .groupBy("source_category").agg(F.count(col).alias(name)))
-        out = out.join(n, "source_category", "left")
-    return out
+    # several distinct counts in one scan: they are reduced per (category,
+    # value) first, which also spreads a hot category
+    return keyed.groupBy("source_category").agg(
+        F.count(F.lit(1)).alias("total_rows"), F.countDistinct("asin").alias("unique_asins"),
+        F.countDistinct("user_id").alias("unique_users"), F.min("loaded_at").alias("first_loaded"),
+        F.max("loaded_at").alias("last_loaded"), F.countDistinct("source_file").alias("source_files"))
 
 
 RAW_FIELDS = {
