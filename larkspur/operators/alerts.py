@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.numeric import steady_round
-from .dedup import keep_first
 from .monitor import shape
 
 ALERT_COLUMNS = {
@@ -32,7 +31,7 @@ def sentence(*parts: tuple[str, Column]) -> Column:
     return F.concat_ws(" ", *[F.concat(F.lit(f"{label}: "), value, F.lit(".")) for label, value in parts])
 
 
-def alert_id(period: bool = True) -> Column:
+def alert_id() -> Column:
     """Same alert, same id: a hash of what identifies it."""
     cols = [F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in ID_COLUMNS]
     return F.sha2(F.concat_ws("|", *cols), 256)
@@ -182,7 +181,3 @@ def ack_result(log: DataFrame, acks: DataFrame) -> DataFrame:
     known = log.select("alert_id").distinct().withColumn("_known", F.lit(True))
     return acks.join(known, "alert_id", "left").select(
         "alert_id", F.coalesce("_known", F.lit(False)).alias("found"))
-
-
-def latest_acks(acks: DataFrame) -> DataFrame:
-    return keep_first(acks, ["alert_id"], [F.col("acknowledged_at").desc_nulls_last(), F.col("alert_id")])

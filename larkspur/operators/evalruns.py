@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import vocab
-from ..functions.numeric import TIE, mean_of, ratio, share_of, steady_round
+from ..functions.numeric import TIE, mean_of, share_of, steady_round
 from .dedup import top_n
 
 

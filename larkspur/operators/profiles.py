@@ -4,8 +4,6 @@ is a filter on the result."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -370,7 +368,3 @@ def trust_scores(verdicts: DataFrame) -> DataFrame:
         F.count_if(v == "DISPUTED").alias("disputed"), F.count_if(v == "MIXED").alias("mixed"),
         F.count_if(v == "INSUFFICIENT_DATA").alias("insufficient_data"),
         share_of(v == "CONFIRMED", 2).alias("trust_score"))
-
-
-def union_all(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)

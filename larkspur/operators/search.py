@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..functions.numeric import ratio, steady_round
 from ..session import stash
 from .dedup import top_n
 
@@ -129,13 +128,21 @@ def nearest_to(corpus: DataFrame, query: list[float], k: int = 5, cid: str = "ve
 
 # ------------------------------------------------------------------ keyword
 
+def words_of(docs: DataFrame, doc_id: str, body: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per word.  The length is fixed ahead of the explode, so no row
+    carries the word array along; the outer form keeps the optimizer from
+    adding a filter that would split every text a second time."""
+    split = docs.select(F.col(doc_id).alias("doc_id"), *keep, text.tokens(F.col(body), WORDS).alias("_w"))
+    sized = split.withColumn("doc_len", F.size("_w"))
+    return sized.select("doc_id", *keep, "doc_len", F.explode_outer("_w").alias("term")).where(
+        F.col("term").isNotNull())
+
+
 def build_postings(docs: DataFrame, doc_id: str, body: str) -> DataFrame:
     """One row per (term, document): term frequency and document length.  The
     terms of a document are counted inside its row's partition (partial
     aggregation), so only distinct terms are shuffled."""
-    words = docs.select(F.col(doc_id).alias("doc_id"), text.tokens(F.col(body), WORDS).alias("_w"))
-    return (words.select("doc_id", F.size("_w").alias("doc_len"), F.explode("_w").alias("term"))
-            .groupBy("term", "doc_id", "doc_len").agg(F.count(F.lit(1)).alias("tf")))
+    return words_of(docs, doc_id, body).groupBy("term", "doc_id", "doc_len").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def doc_lengths(docs: DataFrame, doc_id: str, body: str) -> DataFrame:
@@ -157,9 +164,7 @@ def matched_terms(docs: DataFrame, terms: DataFrame, doc_id: str, body: str,
     """Postings of the wanted terms only.  Words are exploded and met with the
     terms (a small table, hence a broadcast) inside the scan stage, so only
     matching words are counted and shuffled."""
-    words = docs.select(F.col(doc_id).alias("doc_id"), *keep, text.tokens(F.col(body), WORDS).alias("_w"))
-    return (words.select("doc_id", *keep, F.size("_w").alias("doc_len"), F.explode("_w").alias("term"))
-            .join(terms.select("term").distinct(), "term", "left_semi")
+    return (words_of(docs, doc_id, body, keep).join(terms.select("term"), "term", "left_semi")
             .groupBy("term", "doc_id", "doc_len", *keep).agg(F.count(F.lit(1)).alias("tf")))
 
 
@@ -186,7 +191,7 @@ def rank_hits(hits: DataFrame, stats: DataFrame, terms: DataFrame, k: int,
 def bm25(postings: DataFrame, stats: DataFrame, terms: DataFrame, k: int,
          allowed: DataFrame | None = None) -> DataFrame:
     """Top-k documents per query from a stored postings table."""
-    hits = stash(postings.join(terms.select("term").distinct(), "term", "left_semi"), "hits")
+    hits = stash(postings.join(terms.select("term"), "term", "left_semi"), "hits")
     return rank_hits(hits, stats, terms, k, allowed=allowed)
 
 
@@ -264,11 +269,3 @@ def evidence(docs: DataFrame, queries: DataFrame, group: str, k: int, chars: int
                            rank="evidence_rank"), "evidence")
     quotes = docs.select(F.col(doc_id).alias("doc_id"), "rating", F.substring(body, 1, chars).alias("quote"))
     return best.join(keys, "query_id").join(quotes, "doc_id").drop("query_id")
-
-
-def average_length(stats: DataFrame) -> DataFrame:
-    return stats.select("docs", ratio(F.col("words"), F.col("docs"), 4).alias("avg_len"))
-
-
-def score_digits(score: Column) -> Column:
-    return steady_round(score, DIGITS)

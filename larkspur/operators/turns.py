@@ -79,8 +79,8 @@ def mentioned_ids(turns: DataFrame, pattern: str = vocab.PRODUCT_ID_PATTERN, con
     """Products the assistant named, one row per conversation and product with
     the first turn that did.  Full text, before any cut."""
     found = turns.where(F.col("role") == role).select(
-        conv, turn, F.explode(F.array_distinct(text.product_ids(F.col("text"), pattern))).alias("asin"))
-    return found.groupBy(conv, "asin").agg(F.min(turn).alias("first_turn"))
+        conv, turn, F.explode_outer(F.array_distinct(text.product_ids(F.col("text"), pattern))).alias("asin"))
+    return found.where(F.col("asin").isNotNull()).groupBy(conv, "asin").agg(F.min(turn).alias("first_turn"))
 
 
 def follow_ups(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", hint_chars: int = 100,

@@ -422,10 +422,6 @@ def _(spark, d):
 
 # ------------------------------------------------------------ text by product
 
-define("longest", ["docs"], """SELECT *, row_number() OVER (PARTITION BY asin ORDER BY text_len DESC, review_id) AS rn,
-  count(*) OVER (PARTITION BY asin) AS n FROM docs""")
-
-
 @query("w3_longest_reviews", sql("SELECT asin, review_id, text_len, rn FROM longest WHERE rn <= 3", "longest"))
 def _(spark, d):
     from ..operators.dedup import top_n

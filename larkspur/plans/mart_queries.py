@@ -9,7 +9,7 @@ from ..functions import rules
 from ..functions.numeric import mean_of
 from ..operators import dedup, marts
 from ..sources import fixtures as fx
-from .registry import mean, pct, query, rnd, share, sql
+from .registry import mean, pct, query, rnd, sql
 
 
 @query("g1_category_summary", sql("SELECT * FROM summary", "summary"))

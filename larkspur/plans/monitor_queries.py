@@ -4,17 +4,14 @@ Marts that several detectors read are written once to the shared folder."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .. import vocab
 from ..functions.numeric import steady_round
 from ..operators import alerts, marts, monitor, quality
 from ..session import stash
 from ..sources import fixtures as fx
-from .registry import CTES, define, query, rnd, sql
+from .registry import define, query, rnd, sql
 
 AS_OF = "2001-12-20"
 CUT = "2001-11-01"

@@ -143,6 +143,8 @@ CTES: dict[str, tuple[list[str], str]] = {
   CAST(length(text) AS INTEGER) AS text_len,
   CASE WHEN length(text) >= 500 THEN 'high' WHEN length(text) >= 150 THEN 'medium'
     ELSE 'low' END AS review_quality, lang, source FROM documents"""),
+    "longest": (["docs"], """SELECT *, row_number() OVER (PARTITION BY asin ORDER BY text_len DESC, review_id) AS rn,
+  count(*) OVER (PARTITION BY asin) AS n FROM docs"""),
     "metadata": ([], """SELECT p_partkey AS asin, p_name AS title, p_brand AS brand,
   CAST(p_retailprice AS DECIMAL(10,2)) AS price,
   'type ' || p_type || '|size number ' || p_size || '|brand is ' || p_brand AS features_text,

@@ -11,6 +11,7 @@ from ..session import new_path, stash
 from ..sources import fixtures as fx
 from ..sources import landing, sinks
 from ..streaming import jobs
+from . import eval_queries  # noqa: F401  (defines run_summary)
 from .monitor_queries import anomalies_of
 from .registry import define, query, sql
 from .search_queries import _asked

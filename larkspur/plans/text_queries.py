@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from .. import vocab
 from ..functions import rules, text
 from ..operators import enrich, marts, pages, profiles, quality, turns
-from ..session import stash
 from ..sources import fixtures as fx
 from .registry import define, mean, pct, query, rnd, share, sql
 
@@ -387,10 +386,3 @@ def _(spark, d):
     from ..sources.sinks import sample_run
     return sample_run(fx.documents(spark, d), lambda s: s.select(
         "review_id", enrich.sentiment(F.col("review_text"), POS, NEG).alias("sentiment_score")))
-
-
-def enriched_documents(spark, d):
-    """Documents through the whole text side of the job, stored once."""
-    docs = fx.documents(spark, d)
-    return stash(docs.withColumn("sentiment_score", enrich.sentiment(F.col("review_text"), POS, NEG))
-                 .withColumn("review_theme", enrich.theme(F.col("review_text"), PROFILES)), "docs")

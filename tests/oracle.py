@@ -1,6 +1,8 @@
 """Runs named queries against DuckDB on the same parquet files.
 
 Command line: python tests/oracle.py [name-prefix ...]
+SF_DIR picks the tables; BROADCAST=-1 turns size-based broadcasts off, as if
+every table were large.
 """
 
 from __future__ import annotations
@@ -69,7 +71,8 @@ def session(cpus: str = "8"):
     return build_session("larkspur-check", **{
         "spark.master": f"local[{cpus}]", "spark.sql.shuffle.partitions": "8",
         "spark.driver.memory": "8g", "spark.ui.enabled": "false",
-        "spark.ui.showConsoleProgress": "false"})
+        "spark.ui.showConsoleProgress": "false",
+        "spark.sql.autoBroadcastJoinThreshold": os.environ.get("BROADCAST", "10MB")})
 
 
 def main(argv):
