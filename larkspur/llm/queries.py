@@ -58,10 +58,10 @@ s AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, unnest(CASE
   WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), k -> array_to_string(w[k:k + 2], ' '))
   WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n_both
   FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
 l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
-  WHERE 100 * both >= 90 * (x.n + y.n - both)),
+  WHERE 100 * n_both >= 90 * (x.n + y.n - n_both)),
 e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
 r AS (SELECT doc_id AS id, doc_id AS low FROM documents
   UNION SELECT e.b, r.low FROM r JOIN e ON e.a = r.id AND r.low < e.b)
