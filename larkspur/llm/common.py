@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..session import new_path, stash  # noqa: F401
@@ -58,27 +61,59 @@ def lookup_join(left: DataFrame, right: DataFrame, keys: list[str], count: str,
     return a.unionByName(b)
 
 
+def stash_with(df: DataFrame, label: str, **measures: Column) -> tuple[DataFrame, dict]:
+    """``stash``, and aggregates over the rows written, without a second job."""
+    seen = Observation(f"{label}-{uuid.uuid4().hex}")
+    out = stash(df.observe(seen, *[c.alias(k) for k, c in measures.items()]), label)
+    return out, seen.get
+
+
+def _forest(batches):
+    """The edges of one task as stars: every node but the smallest of a component
+    with that smallest node."""
+    parent: dict[int, int] = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            a, b = root(a), root(b)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+    rows = [(x, root(x)) for x in list(parent) if root(x) != x]
+    for i in range(0, len(rows), 10_000):
+        u, v = zip(*rows[i:i + 10_000])
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of an undirected graph given by edges (a, b) of longs:
-    the smallest node each node can reach.  Alternates two steps: every node
-    hangs its larger neighbours on its smallest one, then every node hangs all
-    smaller neighbours on the smallest.  Each round is stored."""
-    now = stash(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-                .where("u <> v").distinct(), "edges")
+    the smallest node each node can reach.  Tasks first reduce their own edges to
+    stars.  Then two steps alternate until nothing changes: every node hangs its
+    larger neighbours on its smallest one, then all smaller neighbours too.  Each
+    round is stored; a task holds its share of the edges, never all of them."""
+    mark = {"rows": F.count(F.lit(1)), "mark": F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))}
+    now, before = stash_with(
+        edges.select(F.col("a").cast("long"), F.col("b").cast("long"))
+        .mapInArrow(_forest, "u long, v long").distinct(), "edges", **mark)
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = (both.where("v > u").join(low, "u")
+        large = (both.join(low, "u").where("v > u")
                  .select(F.col("v").alias("u"), F.col("m").alias("v")))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         small = (small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .union(low.select("u", F.col("m").alias("v")))).where("u <> v").distinct()
-        after = stash(small, "edges")
-        if not after.exceptAll(now).take(1) and not now.exceptAll(after).take(1):
-            return after.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
-                after.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        now = after
+        now, after = stash_with(small, "edges", **mark)
+        if after == before:
+            roots = now.select(F.col("v").alias("u"), "v").distinct()
+            return now.union(roots).toDF("node", "component")
+        before = after
 
 
 def null_safe(name: str, kind: str = "string", empty: str = "") -> Column:

@@ -32,10 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import bitmap, components, in_bitmap, lookup_join, stash
+from .common import bitmap, components, in_bitmap, lookup_join, stash, stash_with
 
 CELLS = 24  # 2^24 cells of four bits in the table of repeated shingles, 16 MB as bytes
-STAR_ROUNDS = 4
+STAR_ROUNDS = 2
 
 
 def shingle_sets(column, k: int):
@@ -200,33 +200,25 @@ def _positions_fit(l: str, r: str, threshold: int):
     return F.expr(f"(100 + {threshold}) * ({most}) >= {threshold} * ({l}.n + {r}.n)")
 
 
-def links(docs: DataFrame, tokens: DataFrame, k: int, threshold: int) -> DataFrame:
-    """Edges between set ids with the components of all links among them."""
-    sets = checked = None
-    comp = None
+def links(docs: DataFrame, tokens: DataFrame, k: int, threshold: int) -> DataFrame | None:
+    """Set ids with the component of all links among them; None without links."""
+    shared = (tokens.groupBy("t").agg(F.min("gid").alias("lo"), F.max("gid").alias("hi"))
+              .where("lo <> hi").select("t"))
+    sets = stash(sets_of(docs, k, bitmap(tokens.join(shared, "t").select("gid"), "gid")), "sets")
+    checked = comp = None
     for number in range(STAR_ROUNDS + 1):
         rows = (tokens.withColumn("c", F.col("gid")) if comp is None else
                 tokens.join(comp, "gid", "left").withColumn("c", F.coalesce("c", "gid")))
-        if number < STAR_ROUNDS:
-            pairs = _stars(rows, number, threshold)
-        else:
-            pairs = _rest(rows, threshold)
+        pairs = _stars(rows, number, threshold) if number < STAR_ROUNDS else _rest(rows, threshold)
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         pairs = pairs.where("a <> b").distinct()
         if checked is not None:
             pairs = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = stash(pairs, "pairs")
-        if sets is None:
-            mates = (tokens.groupBy("t").agg(F.min("gid").alias("lo"), F.max("gid").alias("hi"))
-                     .where("lo <> hi").select("t"))
-            need = tokens.join(mates, "t").select("gid")
-            sets = stash(sets_of(docs, k, bitmap(need, "gid")), "sets")
-        done = stash(verify(pairs, sets, threshold), "checked")
-        new = done.where("linked").take(1)
+        done, found = stash_with(verify(pairs, sets, threshold), "checked",
+                                 linked=F.count_if(F.col("linked")))
         checked = done if checked is None else checked.union(done)
-        if new:
-            comp = stash(components(checked.where("linked").select("a", "b"))
-                         .toDF("gid", "c"), "classes")
+        if found["linked"]:
+            comp = components(checked.where("linked").select("a", "b")).toDF("gid", "c")
     return comp
 
 

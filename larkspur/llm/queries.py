@@ -55,7 +55,7 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
 OP5_SQL = f"""WITH RECURSIVE d AS (SELECT doc_id, {_GRAPH} AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, unnest(CASE
-  WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), k -> array_to_string(w[k:k + 2], ' '))
+  WHEN len(w) >= 3 THEN [array_to_string(w[k:k + 2], ' ') FOR k IN range(1, len(w) - 1)]
   WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n_both
