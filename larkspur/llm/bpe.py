@@ -95,7 +95,7 @@ class Vocabulary:
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)])
         self.letters = np.frombuffer(b"".join(self.bytes), np.uint8)
         self.pairs = Table()
-        self.forget()
+        self.store = W.Store()
 
     def _edges(self, child):
         """Per token the pieces that lie on its border at some time, from the
@@ -196,10 +196,6 @@ class Vocabulary:
 
     # ------------------------------------------------------------ chunks
 
-    def forget(self):
-        self.keys, self.at = np.zeros(0, W.U), np.zeros(0, np.int64)
-        self.count, self.flat = np.zeros(0, np.int64), np.zeros(0, np.uint32)
-
     def chunks(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Counts and flat ids of chunks, cut into words by the splitting rule."""
         pieces, owner = [], []
@@ -232,25 +228,7 @@ class Vocabulary:
             cut[:-2] |= (data[:-1] == 32) & (data[1:] > 32) & (data[1:] < 127)
         edge = np.flatnonzero(cut)
         start, end = edge[:-1], edge[1:]
-        h = W.hashes(data, start, end)
-        distinct, first, place = np.unique(h, return_index=True, return_inverse=True)
-        known = np.isin(distinct, self.keys, assume_unique=True)
-        new = first[~known]
-        if len(new):
-            count, flat = self.chunks([data[start[i]:end[i]].tobytes() for i in new])
-            if len(self.keys) > 1_500_000:  # bound of the store
-                self.forget()
-                return self.encode(data, limits)
-            at = np.cumsum(count) - count + len(self.flat)
-            keys = np.concatenate([self.keys, distinct[~known]])
-            order = np.argsort(keys)
-            self.keys, self.at = keys[order], np.concatenate([self.at, at])[order]
-            self.count = np.concatenate([self.count, count])[order]
-            self.flat = np.concatenate([self.flat, flat])
-        where = np.searchsorted(self.keys, distinct)[place]
-        count = self.count[where]
-        before = np.cumsum(count) - count
-        ids = self.flat[np.repeat(self.at[where] - before, count) + np.arange(count.sum())]
+        count, ids = self.store.ids(data, start, end, self.chunks)
         row = np.searchsorted(limits, start, "right") - 1
         return np.bincount(row, count, len(limits) - 1).astype(np.int64), ids
 

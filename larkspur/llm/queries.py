@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard, quality, secret_scan
+from . import bpe, decontaminate, jaccard, multiset_hash, quality, secret_scan, token_store
 from .common import table
 
 QUERIES, ORACLES = {}, {}
@@ -85,6 +85,16 @@ def op5(spark, folder):
     return jaccard.jaccard_components(table(spark, folder, "documents"), 3, 90)
 
 
+@query("op7_token_files")
+def op7(spark, folder):
+    return token_store.round_trip(table(spark, folder, "documents"))
+
+
+@query("op10_multiset_hash")
+def op10(spark, folder):
+    return multiset_hash.fingerprints(table(spark, folder, "documents"))
+
+
 @query("pipeline")
 def pipeline(spark, folder):
     import corpus_pipeline

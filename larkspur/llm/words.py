@@ -130,3 +130,38 @@ def binary_lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
 def long_lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     limits = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(limits), pa.array(values.astype(np.int64)))
+
+
+class Store:
+    """Ids of text chunks seen so far, by hash; at most ``most`` chunks are kept."""
+
+    def __init__(self, most: int = 1_500_000):
+        self.most = most
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys, self.at = np.zeros(0, U), np.zeros(0, np.int64)
+        self.count, self.flat = np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def ids(self, data, start, end, encode) -> tuple[np.ndarray, np.ndarray]:
+        """Ids per chunk and all ids; ``encode`` gets the bytes of each new chunk
+        once and gives the same two arrays for them."""
+        if len(self.keys) > self.most:
+            self.forget()
+        h = hashes(data, start, end)
+        distinct, first, place = np.unique(h, return_index=True, return_inverse=True)
+        new = ~np.isin(distinct, self.keys, assume_unique=True)
+        if new.any():
+            count, flat = encode([data[start[i]:end[i]].tobytes() for i in first[new]])
+            at = np.cumsum(count) - count + len(self.flat)
+            keys = np.concatenate([self.keys, distinct[new]])
+            order = np.argsort(keys)
+            self.keys, self.at = keys[order], np.concatenate([self.at, at])[order]
+            self.count = np.concatenate([self.count, count])[order]
+            self.flat = np.concatenate([self.flat, flat])
+        if not len(h):
+            return np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        where = np.searchsorted(self.keys, distinct)[place]
+        count = self.count[where]
+        before = np.cumsum(count) - count
+        return count, self.flat[np.repeat(self.at[where] - before, count) + np.arange(count.sum())]
