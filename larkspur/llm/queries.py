@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard, multiset_hash, quality, secret_scan, token_store
+from . import bpe, decontaminate, jaccard, multiset_hash, quality, secret_scan, token_store, warc
 from .common import table
 
 QUERIES, ORACLES = {}, {}
@@ -85,6 +85,11 @@ def op5(spark, folder):
     return jaccard.jaccard_components(table(spark, folder, "documents"), 3, 90)
 
 
+@query("op6_warc_index")
+def op6(spark, folder):
+    return warc.round_trip(table(spark, folder, "pages"))
+
+
 @query("op7_token_files")
 def op7(spark, folder):
     return token_store.round_trip(table(spark, folder, "documents"))
