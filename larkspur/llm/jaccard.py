@@ -20,8 +20,8 @@ A document is its set of distinct word shingles.  Two documents link when
 
 Defined results: null text, empty text and text of white space only have size 0
 and component ``doc_id``.  Rows that repeat a text, with or without their doc_id,
-share a component.  A null doc_id never names a component; a class with only null
-ids has component null.  Other columns are never looked at.
+share a component.  A null doc_id never names a component, but its text links; a
+component of null ids only is null.  Other columns are never looked at.
 """
 
 from __future__ import annotations

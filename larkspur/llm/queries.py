@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard, multiset_hash, quality, secret_scan, token_store, warc
+from . import bpe, decontaminate, jaccard, multiset_hash, pii, quality, quotes, secret_scan, token_store, warc
 from .common import table
 
 QUERIES, ORACLES = {}, {}
@@ -95,6 +95,16 @@ def op7(spark, folder):
     return token_store.round_trip(table(spark, folder, "documents"))
 
 
+@query("op8_pii_bootstrap")
+def op8(spark, folder):
+    return pii.find(table(spark, folder, "documents"))
+
+
+@query("op9_quote_links")
+def op9(spark, folder):
+    return quotes.conversations(table(spark, folder, "conversations"))
+
+
 @query("op10_multiset_hash")
 def op10(spark, folder):
     return multiset_hash.fingerprints(table(spark, folder, "documents"))
