@@ -1,5 +1,7 @@
 """Every registered query against its SQL twin on the smallest tables."""
 
+import re
+
 import pytest
 from __spark_entry__ import entry, oracle_sql, queries
 from oracle import compare, duck
@@ -28,4 +30,5 @@ def test_entry(spark):
 
 def test_every_sql_has_a_query():
     assert set(SQL) <= set(QUERIES)
-    assert set(QUERIES) - set(SQL) == {"e3_summary", "e6_text_vectors"}
+    plain = {q for q in set(QUERIES) - set(SQL) if not re.match(r"op\d+_|pipeline$", q)}
+    assert plain == {"e3_summary", "e6_text_vectors"}
