@@ -29,6 +29,7 @@ MAGIC = 0x31424B54
 HEADER = np.dtype([("magic", "<u4"), ("docs", "<u4"), ("ids", "<u8"), ("data", "<u8")])
 DOC = np.dtype([("id", "<i8"), ("null", "u1"), ("n", "<u4")])
 BLOCK_IDS, FILE_IDS = 1 << 16, 1 << 23
+AT_ONCE = 4096  # words whose encodings, of about a kilobyte, a task holds at once
 
 #: bytes of each of the four ids of a control byte
 LENGTHS = np.array([[1 + (c >> 2 * i & 3) for i in range(4)] for c in range(256)], np.int64)
@@ -73,14 +74,18 @@ def token_ids(docs: DataFrame, path: str | None = None, end: int = 2) -> DataFra
         tokenizer, store = _tokenizer(path)
 
         def encode(chunks):
-            found = tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)
-            ids = [x.ids for x in found]
-            return (np.array([len(x) for x in ids], np.int64),
-                    np.array([t for x in ids for t in x], np.uint32))
+            count, flat = [], []
+            for at in range(0, len(chunks), AT_ONCE):
+                found = tokenizer.encode_batch_fast([c.decode() for c in chunks[at:at + AT_ONCE]],
+                                                    add_special_tokens=False)
+                ids = [x.ids for x in found]
+                count.append(np.array([len(x) for x in ids], np.int64))
+                flat.append(np.array([t for x in ids for t in x], np.uint32))
+            return np.concatenate(count), np.concatenate(flat)
 
         for batch in batches:
             data, limits = W.utf8(batch.column(1))
-            for a, b in W.pieces(limits, 1 << 22):
+            for a, b in W.pieces(limits):
                 part, at = data[limits[a]:limits[b]], limits[a:b + 1] - limits[a]
                 start, stop = W.runs(part, at, W.GRAPH)
                 count, ids = store.ids(part, start, stop, encode)
