@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard, multiset_hash, pii, quality, quotes, secret_scan, token_store, warc
+from . import (bpe, context_tree, decontaminate, jaccard, merkle, multiset_hash, pii, quality,
+               quotes, secret_scan, token_store, warc)
 from .common import table
 
 QUERIES, ORACLES = {}, {}
@@ -110,6 +111,56 @@ def op10(spark, folder):
     return multiset_hash.fingerprints(table(spark, folder, "documents"))
 
 
+_FIELD = "coalesce(strlen({0}::VARCHAR)::VARCHAR || ':' || {0}::VARCHAR, '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(map(_FIELD.format, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+
+
+_RUN = "list_aggregate(l[3 * {0} + 1:3 * {0} + 3], 'string_agg', '')"
+OP11_SQL = f"""WITH RECURSIVE x AS (SELECT doc_id, source, text,
+  -- crc32, bit by bit: a byte goes in by xor, then eight shifts (-1)
+  xor(4294967295, list_reduce([4294967295] || flatten([
+    [ord(ch)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1] FOR ch IN string_split(doc_id::VARCHAR, '')]),
+    lambda c, b: CASE WHEN b >= 0 THEN xor(c, b) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384)
+      ELSE c >> 1 END)) % 2 = 0 AS even, lang, n_chars FROM documents),
+f AS (SELECT doc_id, coalesce('+' || source, '') AS g, {_leaf("text")} AS leaf,
+  CASE WHEN even THEN {_leaf("replace(text, chr(10), '')")} ELSE {_leaf("text")} END AS now FROM x),
+d AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM f),
+t AS (SELECT g, 0 AS depth, list(leaf ORDER BY i) AS l FROM d GROUP BY g
+  UNION ALL SELECT g, depth + 1, [sha256({_RUN.format("k")}) FOR k IN range((len(l) + 2) // 3)]
+  FROM t WHERE len(l) > 1),
+s AS (SELECT g, l[1] AS sub, row_number() OVER (ORDER BY g) - 1 AS i FROM t WHERE len(l) = 1),
+u AS (SELECT 0 AS depth, list(sub ORDER BY i) AS l FROM s
+  UNION ALL SELECT depth + 1, [sha256({_RUN.format("k")}) FOR k IN range((len(l) + 2) // 3)]
+  FROM u WHERE len(l) > 1),
+p AS (SELECT d.g, d.doc_id, d.leaf, d.i AS start, d.i AS pos, 0 AS depth, now AS h, '' AS proof FROM d
+  UNION ALL SELECT p.g, doc_id, leaf, start, pos // 3, p.depth + 1,
+    sha256(array_to_string(list_concat(l[pos - pos % 3 + 1:pos], [h], l[pos + 2:pos - pos % 3 + 3]), '')),
+    proof || array_to_string(list_concat(l[pos - pos % 3 + 1:pos], l[pos + 2:pos - pos % 3 + 3]), '')
+  FROM p JOIN t ON p.g = t.g AND p.depth = t.depth AND len(l) > 1),
+m AS (SELECT p.g, doc_id, leaf, start, sub, s.i AS pos, h, proof FROM p
+  JOIN t ON p.g = t.g AND p.depth = t.depth AND len(l) = 1 JOIN s ON s.g = p.g),
+q AS (SELECT *, 0 AS depth FROM m
+  UNION ALL SELECT g, doc_id, leaf, start, sub, pos // 3,
+    sha256(array_to_string(list_concat(l[pos - pos % 3 + 1:pos], [h], l[pos + 2:pos - pos % 3 + 3]), '')),
+    proof || array_to_string(list_concat(l[pos - pos % 3 + 1:pos], l[pos + 2:pos - pos % 3 + 3]), ''),
+    q.depth + 1 FROM q JOIN u ON q.depth = u.depth AND len(l) > 1)
+SELECT doc_id, leaf, sub AS subroot, l[1] AS root, sha256(proof) AS proof_sha256, h AS folded_root,
+  h = l[1] AS verified FROM q JOIN u ON q.depth = u.depth AND len(l) = 1"""
+
+
+@query("op11_merkle_manifest", OP11_SQL)
+def op11(spark, folder):
+    return merkle.manifest(table(spark, folder, "documents"), 3, merkle.without_newlines())
+
+
+@query("op12_context_tree")
+def op12(spark, folder):
+    return context_tree.score(table(spark, folder, "documents"))
+
+
 @query("pipeline")
 def pipeline(spark, folder):
     import corpus_pipeline
