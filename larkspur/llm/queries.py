@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import (bpe, context_tree, decontaminate, jaccard, merkle, multiset_hash, pii, quality,
-               quotes, secret_scan, token_store, warc)
+from . import (bpe, collocations, context_tree, decontaminate, jaccard, merkle, multiset_hash, pii,
+               quality, quotes, secret_scan, token_store, warc)
 from .common import table
 
 QUERIES, ORACLES = {}, {}
@@ -161,6 +161,30 @@ def op12(spark, folder):
     return context_tree.score(table(spark, folder, "documents"))
 
 
+OP13_SQL = """WITH w AS (SELECT coalesce(lang, 'und') AS lang, [x FOR x IN
+    regexp_split_to_array(piece, '[\\x20\\x09]+') IF x <> ''] AS w FROM (
+    SELECT lang, unnest(regexp_split_to_array(""" + _LOWER + """, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents)),
+g AS (SELECT lang, k, array_to_string(w[p:p + k - 1], ' ') AS phrase, count(*) AS f, any_value(w[p:p + k - 1]) AS v
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM w, range(1, 6) t(k)) GROUP BY ALL),
+n AS (SELECT lang, sum(f) AS n FROM g WHERE k = 1 GROUP BY lang),
+c AS (SELECT * FROM g WHERE k > 1 AND f >= 100),
+i AS (SELECT DISTINCT c.lang, c.phrase FROM c JOIN c AS b ON b.lang = c.lang AND b.k > c.k AND b.f >= c.f
+  AND contains(' ' || b.phrase || ' ', ' ' || c.phrase || ' ')),
+s AS (SELECT c.lang, c.phrase, c.f AS a, l.f AS l, r.f AS r, n.n, l.k AS cut,
+  CAST(1000 * CAST(c.f AS HUGEINT) * n.n // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
+  FROM c ANTI JOIN i ON i.lang = c.lang AND i.phrase = c.phrase JOIN n ON n.lang = c.lang
+  JOIN g l ON l.lang = c.lang AND l.k < c.k AND l.v = c.v[1:l.k]
+  JOIN g r ON r.lang = c.lang AND r.k = c.k - l.k AND r.v = c.v[l.k + 1:]),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r,
+  CAST(n AS BIGINT) AS n, score FROM b QUALIFY rank <= 2000"""
+
+
+@query("op13_collocations", OP13_SQL)
+def op13(spark, folder):
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
 @query("pipeline")
 def pipeline(spark, folder):
     import corpus_pipeline
