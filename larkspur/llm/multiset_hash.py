@@ -4,8 +4,8 @@ A text is the multiset of its paragraphs (non-empty lines).  Each paragraph is
 hashed to a wide vector: 16 random lanes modulo 2^32 and 128 lanes modulo 2^16 that
 count, with random signs, its pairs of neighbouring words.  A fingerprint is the sum of
 the vectors, so it does not depend on the order of paragraphs, and a paragraph is
-added or taken away by adding or subtracting its vector.  Equal sums of the first
-lanes mean equal multisets; the angle between the second lanes estimates how much
+added or taken away by adding or subtracting its vector.  Unequal multisets have equal
+sums in the first lanes only by an accident of two 64-bit hashes; the angle between the second lanes estimates how much
 two texts share.
 
 Defined results: null and empty texts and those of blank lines have the zero
@@ -40,7 +40,9 @@ def vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         start, end = W.runs(part, at, LINE)
         row = np.searchsorted(at, start, "right") - 1
         h = W.hashes(part, start, end)
-        lanes = W.mix(h[:, None] + np.arange(SURE, dtype=W.U) * W.U(0x9E3779B97F4A7C15))
+        # half of the lanes from each of two hashes: 128 bits tell paragraphs apart
+        both = np.repeat(np.stack([h, W.hashes(part, start, end, 1)], 1), SURE // 2, 1)
+        lanes = W.mix(both + np.arange(SURE, dtype=W.U) * W.U(0x9E3779B97F4A7C15))
         for lane in range(SURE):  # exact: sums of 32-bit values in 64 bits, by halves
             low = (lanes[:, lane] & W.U(0xFFFFFFFF)).astype(np.float64)
             top, bottom = np.floor(low / 65536), low % 65536

@@ -12,16 +12,8 @@ import pyarrow.compute as pc
 import xxhash
 
 U = np.uint64
-BASE, STEP = 0x9E3779B97F4A7C55, 1 << 18
-
-
-def _powers(base: int) -> np.ndarray:
-    out = np.full(STEP, base, U)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-_POWER, _BACK = _powers(BASE), _powers(pow(BASE, -1, 1 << 64))
+#: spans longer than this are hashed one by one
+STEP = 256
 
 _codes = np.arange(256)
 LOWER = np.where((_codes >= 65) & (_codes <= 90), _codes + 32, _codes).astype(np.uint8)
@@ -69,24 +61,29 @@ def runs(data: np.ndarray, limits: np.ndarray, inside: np.ndarray):
     return start, end
 
 
-def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span (spans ascend and do not overlap)."""
-    out = np.zeros(len(start), U)
-    at = 0
-    while at < len(start):
-        to = int(np.searchsorted(end, start[at] + STEP, "right"))
-        if to <= at:  # a span longer than a step
-            out[at] = U(xxhash.xxh64_intdigest(data[start[at]:end[at]].tobytes()))
-            at += 1
-            continue
-        base = start[at]
-        part = data[base:end[to - 1]].astype(U) + U(1)
-        total = np.zeros(len(part) + 1, U)
-        np.cumsum(part * _POWER[:len(part)], out=total[1:])
-        s, e = start[at:to] - base, end[at:to] - base
-        out[at:to] = (total[e] - total[s]) * _BACK[s]
-        at = to
-    return mix(out + (end - start).astype(U) * U(0xD6E8FEB86659FD93))
+def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hash of each span: blocks of eight bytes go one after the other through
+    ``mix``, all spans at once; the length goes in first."""
+    length = end - start
+    out = mix(length.astype(U) * U(0xD6E8FEB86659FD93) + U(seed))
+    if len(data) < 8:
+        data = np.concatenate([data, np.zeros(8 - len(data), np.uint8)])
+    data = np.ascontiguousarray(data)
+    block = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+    todo = np.flatnonzero((length > 0) & (length <= STEP))
+    at, left = start[todo], length[todo]
+    while len(todo):
+        # a block that would pass the end of the data is read further left and shifted
+        back = np.maximum(at - (len(data) - 8), 0)
+        value = block[at - back] >> (back * 8).astype(U)
+        short = np.minimum(left, 8)
+        value &= U(0xFFFFFFFFFFFFFFFF) >> ((8 - short) * 8).astype(U)
+        out[todo] = mix((out[todo] ^ value) * U(0x9E3779B97F4A7C15) + U(0x632BE59BD9B4E019))
+        more = left > 8
+        todo, at, left = todo[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(length > STEP):
+        out[i] = U(xxhash.xxh64_intdigest(data[start[i]:end[i]].tobytes(), seed))
+    return out
 
 
 def words(data, limits, inside):
@@ -133,7 +130,9 @@ def long_lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
 
 
 class Store:
-    """Ids of text chunks seen so far, by hash; at most ``most`` chunks are kept."""
+    """Ids of text chunks seen so far, by hash; at most ``most`` chunks are kept.  A
+    second hash is kept beside the first: where the two disagree about which chunks
+    are equal, the chunks at hand are encoded afresh, without the store."""
 
     def __init__(self, most: int = 1_500_000):
         self.most = most
@@ -141,6 +140,7 @@ class Store:
 
     def forget(self) -> None:
         self.keys, self.at = np.zeros(0, U), np.zeros(0, np.int64)
+        self.second = np.zeros(0, U)
         self.count, self.flat = np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def ids(self, data, start, end, encode) -> tuple[np.ndarray, np.ndarray]:
@@ -148,19 +148,24 @@ class Store:
         once and gives the same two arrays for them."""
         if len(self.keys) > self.most:
             self.forget()
-        h = hashes(data, start, end)
+        if not len(start):
+            return np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        h, second = hashes(data, start, end), hashes(data, start, end, 1)
         distinct, first, place = np.unique(h, return_index=True, return_inverse=True)
         new = ~np.isin(distinct, self.keys, assume_unique=True)
+        old = np.searchsorted(self.keys, distinct[~new])
+        if ((second[first][place] != second).any()
+                or (self.second[old] != second[first[~new]]).any()):
+            return encode([data[s:e].tobytes() for s, e in zip(start, end)])
         if new.any():
             count, flat = encode([data[start[i]:end[i]].tobytes() for i in first[new]])
             at = np.cumsum(count) - count + len(self.flat)
             keys = np.concatenate([self.keys, distinct[new]])
             order = np.argsort(keys)
             self.keys, self.at = keys[order], np.concatenate([self.at, at])[order]
+            self.second = np.concatenate([self.second, second[first[new]]])[order]
             self.count = np.concatenate([self.count, count])[order]
             self.flat = np.concatenate([self.flat, flat])
-        if not len(h):
-            return np.zeros(0, np.int64), np.zeros(0, np.uint32)
         where = np.searchsorted(self.keys, distinct)[place]
         count = self.count[where]
         before = np.cumsum(count) - count
