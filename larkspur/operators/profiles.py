@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import vocab
 from ..functions import rules, text
 from ..functions.numeric import TIE, mean_of, ratio, share_of, steady_round
+from ..session import stash
 from .dedup import dedup_metadata, top_n
 from .marts import negative, overall_means, theme_breakdown
 from .skew import spread_join
@@ -216,14 +217,17 @@ def compare_categories(summary: DataFrame, categories: list[str]) -> DataFrame:
 
 
 def similar_products(metadata: DataFrame, lookup: DataFrame, products: DataFrame, limit: int = 5,
-                     edges: int = 20) -> DataFrame:
+                     edges: int | None = None) -> DataFrame:
     """Co-purchased products per source: same category first, then others, by
-    review count.  Popular targets are spread over sub-keys in the join."""
-    meta = dedup_metadata(metadata)
+    review count.  Every edge counts unless ``edges`` says how many.  Metadata and
+    the pairs are stored once; popular targets are spread over sub-keys in the join."""
+    meta = stash(dedup_metadata(metadata).select("asin", "price", "also_buy"), "metadata")
+    lookup = stash(lookup.select("asin", "product_name", "brand", "derived_category"), "lookup")
     source = meta.join(lookup.select("asin", F.col("derived_category").alias("source_category")), "asin", "left")
-    pairs = source.select(F.col("asin").alias("source_asin"), "source_category",
-                          F.explode(F.array_distinct(F.slice("also_buy", 1, edges))).alias("asin"))
-    target = (lookup.select("asin", "product_name", "brand", "derived_category")
+    bought = F.col("also_buy") if edges is None else F.slice("also_buy", 1, edges)
+    pairs = stash(source.select(F.col("asin").alias("source_asin"), "source_category",
+                                F.explode(F.array_distinct(bought)).alias("asin")), "pairs")
+    target = (lookup
               .join(meta.select("asin", "price"), "asin", "left")
               .join(products.select("asin", "review_count", "avg_rating", "avg_sentiment"), "asin", "left"))
     related = F.col("source_category").isNotNull() & (F.col("derived_category") != F.col("source_category"))

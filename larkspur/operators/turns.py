@@ -7,52 +7,66 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions import rules, text
+from ..session import stash
+from . import phrases
 from .dedup import top_n
 from .skew import last_before
 
 
 def vocabulary(summary: DataFrame, metadata: DataFrame, themes: DataFrame,
-               max_brands: int = 1000) -> DataFrame:
-    """Screening words as (kind, term): categories, at most ``max_brands``
-    brands, themes with spaces."""
+               max_brands: int | None = None) -> DataFrame:
+    """Screening words as (kind, term): categories, brands, themes with spaces.
+    All brands, unless ``max_brands`` asks for the first ones by name."""
     brand = F.lower("brand")
     cats = summary.select(F.lit("category").alias("kind"), F.lower("derived_category").alias("term")).distinct()
-    brands = (metadata.where(F.col("brand").isNotNull() & (F.col("brand") != "")).select(brand.alias("term"))
-              .distinct().orderBy("term").limit(max_brands).select(F.lit("brand").alias("kind"), "term"))
+    brands = metadata.where(F.col("brand").isNotNull() & (F.col("brand") != "")).select(brand.alias("term")).distinct()
+    if max_brands is not None:
+        brands = brands.orderBy("term").limit(max_brands)
     tops = themes.select(F.lit("theme").alias("kind"),
                          F.replace(F.lower("review_theme"), F.lit("_"), F.lit(" ")).alias("term")).distinct()
-    return cats.unionByName(brands).unionByName(tops).where(F.col("term").isNotNull())
+    return cats.unionByName(brands.select(F.lit("brand").alias("kind"), "term")).unionByName(tops).where(
+        F.col("term").isNotNull())
 
 
 def topic_pattern(words: DataFrame) -> DataFrame:
-    """The vocabulary as one row with one regular expression.  Category parts
-    and themes match anywhere, brands as whole words."""
+    """Categories and themes, which are short fixed lists, as one row with one
+    regular expression: category parts and themes match anywhere."""
     quoted = F.regexp_replace("term", r"([\\.\[\]{}()*+?^$|#])", r"\\$1")
-    piece = F.when(F.col("kind") == "category", F.replace(quoted, F.lit("_"), F.lit("|"))).when(
-        F.col("kind") == "brand", F.concat(F.lit(r"(?<![a-z0-9_])"), quoted, F.lit(r"(?![a-z0-9_])"))).otherwise(quoted)
-    usable = (F.col("kind") != "brand") | ((F.length("term") > 2) & ~F.col("term").isin(vocab.BRAND_STOPWORDS))
-    return words.where(usable).agg(F.array_join(F.sort_array(F.collect_set(piece)), "|").alias("topic_pattern"))
+    piece = F.when(F.col("kind") == "category", F.replace(quoted, F.lit("_"), F.lit("|"))).otherwise(quoted)
+    return words.where(F.col("kind") != "brand").agg(
+        F.array_join(F.sort_array(F.collect_set(piece)), "|").alias("topic_pattern"))
 
 
 def screen(rows: DataFrame, body: str, words: DataFrame, has_history: Column | None = None) -> DataFrame:
     """Adds ``verdict``: the first rule a text fails, else ``allowed``; and
-    ``mostly_ascii``, which only warns."""
+    ``mostly_ascii``, which only warns.  Brands, of which there may be any number,
+    are looked for as whole words in the texts that nothing else allows."""
     t = F.col(body)
     q = F.lower(t)
     known = F.broadcast(topic_pattern(words))
     history = F.lit(False) if has_history is None else has_history
     base = text.any_contains(q, vocab.TOPIC_WORDS)
     # an empty vocabulary gives an empty pattern, which would match anything
-    named = (F.col("topic_pattern") != "") & F.expr("rlike(lower(%s), topic_pattern)" % f"`{body}`")
+    named = (F.col("_pattern") != "") & F.expr("rlike(lower(%s), _pattern)" % f"`{body}`")
     verdict = (F.when(F.length(F.trim(t)) < 3, "input_length").when(F.length(t) > 1000, "input_length")
                .when(text.any_pattern(q, vocab.INJECTION_PATTERNS), "prompt_injection")
                .when(text.any_pattern(q, vocab.ABUSE_PATTERNS), "toxicity")
                .when(history | t.rlike(vocab.PRODUCT_ID_PATTERN) | base | named, "allowed")
                .otherwise("off_topic"))
     ascii_chars = F.length(F.regexp_replace(t, r"[^\x00-\x7F]", ""))
-    return (rows.crossJoin(known).withColumn("verdict", verdict)
-            .withColumn("mostly_ascii", (F.length(t) <= 5) | (ascii_chars >= 0.6 * F.length(t)))
-            .drop("topic_pattern"))
+    # stored, so that the row numbers stay the same in the second look
+    judged = stash(rows.crossJoin(known.withColumnRenamed("topic_pattern", "_pattern"))
+                   .withColumn("verdict", verdict)
+                   .withColumn("mostly_ascii", (F.length(t) <= 5) | (ascii_chars >= 0.6 * F.length(t)))
+                   .withColumn("_row", F.monotonically_increasing_id()).drop("_pattern"), "judged")
+    brands = words.where((F.col("kind") == "brand") & (F.length("term") > 2)
+                         & ~F.col("term").isin(vocab.BRAND_STOPWORDS))
+    open_rows = judged.where(F.col("verdict") == "off_topic").select("_row", body)
+    found = (phrases.occurrences(open_rows, "_row", body, brands).select("_row").distinct()
+             .withColumn("_brand", F.lit(True)))
+    return (judged.join(found, "_row", "left")
+            .withColumn("verdict", F.when(F.col("_brand"), "allowed").otherwise(F.col("verdict")))
+            .drop("_row", "_brand"))
 
 
 def cut(body: Column, chars: int) -> Column:

@@ -212,7 +212,7 @@ SELECT source_asin, asin, product_name AS full_title, product_name, brand, price
  FROM (SELECT e.source_asin, t.asin, t.product_name, t.brand, CAST(t.price AS DOUBLE) AS price, t.derived_category,
     p.review_count, p.avg_rating, p.avg_sentiment,
     source_category IS NULL OR t.derived_category <> source_category AS related_category
-  FROM (SELECT DISTINCT m.asin AS source_asin, l.derived_category AS source_category, unnest(m.also_buy[1:20]) AS asin
+  FROM (SELECT DISTINCT m.asin AS source_asin, l.derived_category AS source_category, unnest(m.also_buy) AS asin
         FROM metadata m LEFT JOIN lookup l ON m.asin = l.asin) e
   JOIN lookup t ON e.asin = t.asin LEFT JOIN products p ON t.asin = p.asin)) WHERE similar_rank <= 5""",
                             "metadata", "lookup", "products"))

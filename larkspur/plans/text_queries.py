@@ -157,7 +157,7 @@ def _(spark, d):
 # ------------------------------------------------------------------- screening
 
 define("vocab_rows", ["themes"], """SELECT DISTINCT 'category' AS kind, lower(p_type) AS term FROM part
-  UNION ALL SELECT 'brand', term FROM (SELECT DISTINCT lower(p_brand) AS term FROM part ORDER BY term LIMIT 1000)
+  UNION ALL SELECT 'brand', term FROM (SELECT DISTINCT lower(p_brand) AS term FROM part)
   UNION ALL SELECT DISTINCT 'theme', replace(lower(review_theme), '_', ' ') FROM themes""")
 _HIST = "turn > 3"
 
@@ -178,7 +178,8 @@ def _(spark, d):
   WHEN {any_re('lower(text)', vocab.INJECTION_PATTERNS)} THEN 'prompt_injection'
   WHEN {any_re('lower(text)', vocab.ABUSE_PATTERNS)} THEN 'toxicity'
   WHEN {_HIST} OR regexp_matches(text, {lit(vocab.PRODUCT_ID_PATTERN)}) OR {any_sub('lower(text)', vocab.TOPIC_WORDS)}
-    OR {any_sub('lower(text)', ['brand#'])}
+    OR EXISTS (SELECT 1 FROM vocab_rows WHERE kind = 'brand' AND length(term) > 2
+      AND contains(lower(text), term) AND regexp_matches(lower(text), '(^|[^\\p{{L}}\\p{{N}}_])' || term || '($|[^\\p{{L}}\\p{{N}}_])'))
     OR EXISTS (SELECT 1 FROM vocab_rows WHERE kind <> 'brand' AND contains(lower(text), term)) THEN 'allowed' ELSE 'off_topic' END AS verdict,
   length(text) <= 5 OR length(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')) >= 0.6::DOUBLE * length(text) AS mostly_ascii
   FROM conversations""", "vocab_rows"))
