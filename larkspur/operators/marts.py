@@ -49,95 +49,139 @@ def fact_reviews(enriched: DataFrame, lookup: DataFrame) -> DataFrame:
     return spread_join(enriched, product, "asin", "left")
 
 
-def category_summary(fact: DataFrame) -> DataFrame:
-    """Per category.  Rows are first counted per distinct score (a score has
-    four digits, so at most 20,001 of them), which keeps the exact median
-    small and reads the fact table once."""
-    n = F.col("_n")
-    per_score = (fact.where(F.col("derived_category").isNotNull())
-                 .groupBy("derived_category", "sentiment_score").agg(
-                     F.count(F.lit(1)).alias("_n"),
-                     F.count("rating").alias("_rated"), F.sum("rating").alias("_stars"),
-                     F.count_if(negative()).alias("_neg"), F.count_if(positive()).alias("_pos"),
-                     F.count_if("verified_purchase").alias("_ver"),
-                     F.count("helpful_vote").alias("_voted"), F.sum("helpful_vote").alias("_votes")))
-    score = F.col("sentiment_score")
-    scored = F.when(score.isNotNull(), n)
-    return per_score.groupBy("derived_category").agg(
+# A mart is made in two steps: mergeable sums and counts per group (a state), and
+# the mart from the state.  States of several runs add up, so a mart is refreshed
+# from the states of new rows without another look at the fact table.
+
+CATEGORY_KEYS = ["derived_category", "sentiment_score"]
+MONTH_KEYS = ["derived_category", "review_month"]
+PRODUCT_KEYS = ["asin", "derived_category", "review_theme"]
+THEME_KEYS = ["derived_category", "review_theme"]
+STATES = {"category": CATEGORY_KEYS, "month": MONTH_KEYS, "product": PRODUCT_KEYS, "theme": THEME_KEYS}
+MEASURES = ["n", "rated", "stars", "scored", "score", "neg", "pos", "ver", "voted", "votes",
+            "neg_scored", "neg_score", "neg_voted", "neg_votes", "neg_high"]
+
+
+def group_state(fact: DataFrame, keys: list[str], sign: str | None = None) -> DataFrame:
+    """Counts and sums per group.  Rows with -1 in the column ``sign`` are taken
+    away: the state of rows that a run corrects."""
+    one = F.lit(1) if sign is None else F.col(sign)
+
+    def count(condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, one)), F.lit(0))
+
+    def total(value: Column, condition: Column | None = None) -> Column:
+        signed = value if sign is None else F.when(F.col(sign) < 0, -value).otherwise(value)
+        return F.sum(signed if condition is None else F.when(condition, signed))
+
+    score, votes, rating = F.col("sentiment_score"), F.col("helpful_vote"), F.col("rating")
+    measures = {
+        "n": F.sum(one), "rated": count(rating.isNotNull()), "stars": total(rating),
+        "scored": count(score.isNotNull()), "score": total(score), "neg": count(negative()),
+        "pos": count(positive()), "ver": count(F.col("verified_purchase")),
+        "voted": count(votes.isNotNull()), "votes": total(votes),
+        "neg_scored": count(negative() & score.isNotNull()), "neg_score": total(score, negative()),
+        "neg_voted": count(negative() & votes.isNotNull()), "neg_votes": total(votes, negative()),
+        "neg_high": count(negative() & (F.col("review_quality") == "high"))}
+    rows = fact.withColumn("review_month", month_of()) if "review_month" in keys else fact
+    return rows.groupBy(*keys).agg(*[c.alias(m) for m, c in measures.items()])
+
+
+def merge_states(states: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds up the states of several runs; groups left without rows go."""
+    return states.groupBy(*keys).agg(*_add(*MEASURES)).where(F.col("n") > 0)
+
+
+def category_from_state(state: DataFrame) -> DataFrame:
+    """Groups per distinct score (a score has four digits, so at most 20,001 of
+    them) keep the exact median small."""
+    score, n = F.col("sentiment_score"), F.col("n")
+    return (state.where(F.col("derived_category").isNotNull()).groupBy("derived_category").agg(
         F.sum(n).alias("review_count"),
-        ratio(F.sum("_stars"), F.sum("_rated"), 2).alias("avg_rating"),
-        ratio(F.sum(score * n), F.sum(scored), 4).alias("avg_sentiment"),
-        steady_round(F.expr("percentile(cast(sentiment_score as double), 0.5, _n)"), 4)
-        .alias("median_sentiment"),
-        F.sum("_neg").alias("negative_review_count"),
-        F.sum("_pos").alias("positive_review_count"),
-        ratio(F.sum("_neg"), F.sum(n), 4).alias("negative_rate"),
-        F.sum("_ver").alias("verified_count"),
-        ratio(F.sum("_votes"), F.sum("_voted"), 2).alias("avg_helpful_votes"))
+        ratio(F.sum("stars"), F.sum("rated"), 2).alias("avg_rating"),
+        ratio(F.sum(score * n), F.sum(F.when(score.isNotNull(), n)), 4).alias("avg_sentiment"),
+        steady_round(F.expr("percentile(cast(sentiment_score as double), 0.5, n)"), 4).alias("median_sentiment"),
+        F.sum("neg").alias("negative_review_count"), F.sum("pos").alias("positive_review_count"),
+        ratio(F.sum("neg"), F.sum(n), 4).alias("negative_rate"), F.sum("ver").alias("verified_count"),
+        ratio(F.sum("votes"), F.sum("voted"), 2).alias("avg_helpful_votes")))
 
 
-def monthly_trends(fact: DataFrame, min_reviews: int = 5) -> DataFrame:
-    return (fact.where(F.col("derived_category").isNotNull())
-            .groupBy("derived_category", month_of().alias("review_month")).agg(
-                F.count(F.lit(1)).alias("review_count"),
-                mean_of(F.col("rating"), 2).alias("avg_rating"),
-                mean_of(F.col("sentiment_score"), 4).alias("avg_sentiment"),
-                F.count_if(negative()).alias("negative_review_count"),
-                share_of(negative(), 4).alias("negative_rate"))
-            .where(F.col("review_count") >= min_reviews))
+def months_from_state(state: DataFrame, min_reviews: int = 5) -> DataFrame:
+    return state.where(F.col("derived_category").isNotNull() & (F.col("n") >= min_reviews)).select(
+        "derived_category", "review_month", F.col("n").alias("review_count"),
+        ratio(F.col("stars"), F.col("rated"), 2).alias("avg_rating"),
+        ratio(F.col("score"), F.col("scored"), 4).alias("avg_sentiment"),
+        F.col("neg").alias("negative_review_count"),
+        ratio(F.col("neg"), F.col("n"), 4).alias("negative_rate"))
 
 
-def _add(*cols: str) -> list[Column]:
-    return [F.sum(c).alias(c) for c in cols]
-
-
-def product_summary(fact: DataFrame, min_reviews: int = 20) -> DataFrame:
-    """Per product and category, with the most frequent theme (first label on
-    a tie).  One pass per (product, category, theme) feeds both."""
-    keys = ["asin", "derived_category"]
-    per_theme = fact.groupBy(*keys, "review_theme").agg(
-        F.count(F.lit(1)).alias("_n"), F.count("rating").alias("_rated"),
-        F.sum("rating").alias("_stars"), F.count("sentiment_score").alias("_scored"),
-        F.sum("sentiment_score").alias("_score"), F.count_if(negative()).alias("_neg"),
-        F.count_if("verified_purchase").alias("_ver"),
-        F.count("helpful_vote").alias("_voted"), F.sum("helpful_vote").alias("_votes"))
+def products_from_state(state: DataFrame, min_reviews: int = 20) -> DataFrame:
+    """With the most frequent theme, the first label on a tie."""
     # smallest (-count, label) = highest count, then first label
     top = F.min(F.when(F.col("review_theme").isNotNull(),
-                       F.struct((-F.col("_n")).alias("n"), F.col("review_theme").alias("label"))))
-    return (per_theme.groupBy(*keys).agg(
-        F.sum("_n").alias("review_count"),
-        ratio(F.sum("_stars"), F.sum("_rated"), 2).alias("avg_rating"),
-        ratio(F.sum("_score"), F.sum("_scored"), 4).alias("avg_sentiment"),
-        F.sum("_neg").alias("negative_review_count"),
-        ratio(F.sum("_neg"), F.sum("_n"), 4).alias("negative_rate"),
-        F.sum("_ver").alias("verified_count"),
-        ratio(F.sum("_votes"), F.sum("_voted"), 2).alias("avg_helpful_votes"),
+                       F.struct((-F.col("n")).alias("n"), F.col("review_theme").alias("label"))))
+    return (state.groupBy("asin", "derived_category").agg(
+        F.sum("n").alias("review_count"),
+        ratio(F.sum("stars"), F.sum("rated"), 2).alias("avg_rating"),
+        ratio(F.sum("score"), F.sum("scored"), 4).alias("avg_sentiment"),
+        F.sum("neg").alias("negative_review_count"),
+        ratio(F.sum("neg"), F.sum("n"), 4).alias("negative_rate"),
+        F.sum("ver").alias("verified_count"),
+        ratio(F.sum("votes"), F.sum("voted"), 2).alias("avg_helpful_votes"),
         top["label"].alias("top_theme")).where(F.col("review_count") >= min_reviews))
 
 
+def themes_from_state(state: DataFrame, min_reviews: int = 10) -> DataFrame:
+    known = F.col("derived_category").isNotNull() & F.col("review_theme").isNotNull()
+    return state.where(known & (F.col("n") >= min_reviews)).select(
+        *THEME_KEYS, F.col("n").alias("review_count"),
+        ratio(F.col("stars"), F.col("rated"), 2).alias("avg_rating"),
+        ratio(F.col("score"), F.col("scored"), 4).alias("avg_sentiment"),
+        F.col("neg").alias("negative_review_count"),
+        ratio(F.col("neg"), F.col("n"), 4).alias("negative_rate"),
+        ratio(F.col("neg_score"), F.col("neg_scored"), 4).alias("negative_avg_sentiment"))
+
+
+def complaints_from_state(state: DataFrame, min_reviews: int = 5) -> DataFrame:
+    return state.where(F.col("derived_category").isNotNull() & (F.col("neg") >= min_reviews)).select(
+        *THEME_KEYS, F.col("neg").alias("complaint_count"),
+        ratio(F.col("neg_score"), F.col("neg_scored"), 4).alias("avg_sentiment"),
+        ratio(F.col("neg_votes"), F.col("neg_voted"), 2).alias("avg_helpful_votes"),
+        F.col("neg_high").alias("high_quality_complaints"),
+        ratio(F.col("neg_high"), F.col("neg"), 4).alias("high_quality_rate"))
+
+
+def category_summary(fact: DataFrame) -> DataFrame:
+    return category_from_state(group_state(fact, CATEGORY_KEYS))
+
+
+def monthly_trends(fact: DataFrame, min_reviews: int = 5) -> DataFrame:
+    return months_from_state(group_state(fact, MONTH_KEYS), min_reviews)
+
+
+def product_summary(fact: DataFrame, min_reviews: int = 20) -> DataFrame:
+    return products_from_state(group_state(fact, PRODUCT_KEYS), min_reviews)
+
+
 def theme_category(fact: DataFrame, min_reviews: int = 10) -> DataFrame:
-    return (fact.where(F.col("derived_category").isNotNull() & F.col("review_theme").isNotNull())
-            .groupBy("derived_category", "review_theme").agg(
-                F.count(F.lit(1)).alias("review_count"),
-                mean_of(F.col("rating"), 2).alias("avg_rating"),
-                mean_of(F.col("sentiment_score"), 4).alias("avg_sentiment"),
-                F.count_if(negative()).alias("negative_review_count"),
-                share_of(negative(), 4).alias("negative_rate"),
-                mean_of(F.when(negative(), F.col("sentiment_score")), 4)
-                .alias("negative_avg_sentiment"))
-            .where(F.col("review_count") >= min_reviews))
+    return themes_from_state(group_state(fact, THEME_KEYS), min_reviews)
 
 
 def complaint_analysis(fact: DataFrame, min_reviews: int = 5) -> DataFrame:
-    high = F.col("review_quality") == "high"
-    return (fact.where(negative() & F.col("derived_category").isNotNull())
-            .groupBy("derived_category", "review_theme").agg(
-                F.count(F.lit(1)).alias("complaint_count"),
-                mean_of(F.col("sentiment_score"), 4).alias("avg_sentiment"),
-                mean_of(F.col("helpful_vote"), 2).alias("avg_helpful_votes"),
-                F.count_if(high).alias("high_quality_complaints"),
-                share_of(high, 4).alias("high_quality_rate"))
-            .where(F.col("complaint_count") >= min_reviews))
+    return complaints_from_state(group_state(fact, THEME_KEYS), min_reviews)
+
+
+def marts_from_states(states: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The five gold marts from merged states by the names of ``STATES``."""
+    return {"category_summary": category_from_state(states["category"]),
+            "monthly_trends": months_from_state(states["month"]),
+            "product_summary": products_from_state(states["product"]),
+            "theme_category": themes_from_state(states["theme"]),
+            "complaint_analysis": complaints_from_state(states["theme"])}
+
+
+def _add(*cols: str) -> list[Column]:
+    return [F.sum(c).alias(c) for c in cols]
 
 
 def label_summary(fact: DataFrame, keys: list[str], digits: int = 2) -> DataFrame:

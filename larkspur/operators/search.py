@@ -3,11 +3,12 @@ ranking, filters, evidence for many groups at once."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -159,15 +160,6 @@ def query_terms(queries: DataFrame, qid: str, body: str) -> DataFrame:
         text.tokens(F.col(body), WORDS))).alias("term"))
 
 
-def matched_terms(docs: DataFrame, terms: DataFrame, doc_id: str, body: str,
-                  keep: tuple[str, ...] = ()) -> DataFrame:
-    """Postings of the wanted terms only.  Words are exploded and met with the
-    terms (a small table, hence a broadcast) inside the scan stage, so only
-    matching words are counted and shuffled."""
-    return (words_of(docs, doc_id, body, keep).join(terms.select("term"), "term", "left_semi")
-            .groupBy("term", "doc_id", "doc_len", *keep).agg(F.count(F.lit(1)).alias("tf")))
-
-
 def rank_hits(hits: DataFrame, stats: DataFrame, terms: DataFrame, k: int,
               on: tuple[str, ...] = ("term",), allowed: DataFrame | None = None,
               rank: str = "rank") -> DataFrame:
@@ -197,10 +189,26 @@ def bm25(postings: DataFrame, stats: DataFrame, terms: DataFrame, k: int,
 
 def keyword_search(docs: DataFrame, queries: DataFrame, k: int, doc_id: str = "review_id",
                    body: str = "review_text", qid: str = "query_id", query: str = "query") -> DataFrame:
-    """BM25 straight from documents, without a stored index."""
+    """BM25 straight from documents, without a stored index: one scan splits every
+    text once, counts documents and words on the way and keeps the query terms."""
     terms = stash(query_terms(queries, qid, query), "terms")
-    hits = stash(matched_terms(docs, terms, doc_id, body), "hits")
-    return rank_hits(hits, corpus_stats(doc_lengths(docs, doc_id, body)), terms, k)
+    hits, stats = scan_for(docs, terms, doc_id, body)
+    return rank_hits(hits, stats, terms, k)
+
+
+def scan_for(docs: DataFrame, terms: DataFrame, doc_id: str, body: str,
+             keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Stored postings of the wanted terms and the corpus figures, from one scan."""
+    seen = Observation(f"corpus-{uuid.uuid4().hex}")
+    split = docs.select(F.col(doc_id).alias("doc_id"), *keep, text.tokens(F.col(body), WORDS).alias("_w"))
+    sized = split.withColumn("doc_len", F.size("_w")).observe(
+        seen, F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum("doc_len"), F.lit(0)).alias("words"))
+    words = sized.select("doc_id", *keep, "doc_len", F.explode_outer("_w").alias("term")).where(
+        F.col("term").isNotNull())
+    hits = stash(words.join(terms.select("term").distinct(), "term", "left_semi")
+                 .groupBy("term", "doc_id", "doc_len", *keep).agg(F.count(F.lit(1)).alias("tf")), "hits")
+    return hits, docs.sparkSession.range(1).select(F.lit(seen.get["docs"]).alias("docs"),
+                                                   F.lit(seen.get["words"]).alias("words"))
 
 
 def fuse(left: DataFrame, right: DataFrame, k: int, key: str = "doc_id", constant: int = RRF) -> DataFrame:
@@ -229,11 +237,6 @@ def prefilter(reviews: DataFrame, asin=None, category: str | None = None, theme:
     return out
 
 
-def result_limit(limit: int, theme: str | None) -> int:
-    """A themed search returns 15 rows where the default 5 was asked for."""
-    return 15 if theme and limit == 5 else limit
-
-
 def shape_results(hits: DataFrame, docs: DataFrame, lookup: DataFrame, chars: int = 500,
                   doc_id: str = "review_id", body: str = "review_text") -> DataFrame:
     """Ranked ids to readable rows: cut text, attributes, product name, brand."""
@@ -264,8 +267,7 @@ def evidence(docs: DataFrame, queries: DataFrame, group: str, k: int, chars: int
     named = queries.withColumn("query_id", F.concat_ws("|", group, "polarity"))
     keys = named.select("query_id", group, "polarity")
     terms = stash(query_terms(named, "query_id", "query").join(keys.select("query_id", group), "query_id"), "terms")
-    hits = stash(matched_terms(docs, terms, doc_id, body, keep=(group,)), "hits")
-    best = stash(rank_hits(hits, corpus_stats(doc_lengths(docs, doc_id, body)), terms, k, on=("term", group),
-                           rank="evidence_rank"), "evidence")
+    hits, stats = scan_for(docs, terms, doc_id, body, keep=(group,))
+    best = stash(rank_hits(hits, stats, terms, k, on=("term", group), rank="evidence_rank"), "evidence")
     quotes = docs.select(F.col(doc_id).alias("doc_id"), "rating", F.substring(body, 1, chars).alias("quote"))
     return best.join(keys, "query_id").join(quotes, "doc_id").drop("query_id")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.numeric import mean_of
-from ..operators import marts, search
-from ..session import stash
+from ..operators import inverted, marts, search
+from ..session import new_path, stash
 from ..sources import fixtures as fx
 from .registry import define, query, sql
 from .text_queries import lit
@@ -97,18 +97,21 @@ def _(spark, d):
 
 @query("r6_index_search", sql("SELECT * FROM keyword WHERE rank <= 3", "keyword"))
 def _(spark, d):
-    docs = fx.documents(spark, d)
-    index = stash(search.build_postings(docs, "review_id", "review_text"), "postings")
-    stats = search.corpus_stats(search.doc_lengths(docs, "review_id", "review_text"))
-    return search.bm25(index, stats, search.query_terms(_asked(spark), "query_id", "query"), 3)
+    index = new_path(spark, "index")
+    inverted.add(fx.documents(spark, d), index, "review_id", "review_text")
+    return inverted.top_documents(spark, index, search.query_terms(_asked(spark), "query_id", "query"), 3)
 
 
 @query("r6_index_stats", sql("""SELECT (SELECT count(*) FROM postings) AS postings, (SELECT count(*) FROM dfs) AS terms,
   (SELECT max(df) FROM dfs) AS widest_term, CAST(words AS BIGINT) AS words FROM stats""", "postings", "dfs", "stats"))
 def _(spark, d):
-    docs = fx.documents(spark, d)
-    index = stash(search.build_postings(docs, "review_id", "review_text"), "postings")
-    per_term = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
+    index, docs = new_path(spark, "index"), fx.documents(spark, d)
+    for part in (docs.where(F.col("lang") == "en"), docs):  # the second holds the first
+        inverted.add(part, index, "review_id", "review_text")
+    inverted.compact(spark, index)
+    blocks = inverted.segment_rows(spark, index, "postings").withColumn(
+        "_tf", F.aggregate("postings", F.lit(0).cast("bigint"), lambda s, p: s + p["tf"]))
+    per_term = blocks.groupBy("term").agg(F.sum("n").alias("df"), F.sum("_tf").alias("tf"))
     return per_term.agg(F.sum("df").alias("postings"), F.count(F.lit(1)).alias("terms"),
                         F.max("df").alias("widest_term"), F.sum("tf").alias("words"))
 

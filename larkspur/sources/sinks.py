@@ -1,11 +1,13 @@
 """Writes: insert-only merge, upsert, materialisation, run summaries.
 
-Plain parquet folders are assumed, so nothing is updated in place: a merge
-appends the new keys and an upsert writes a new folder.
+Nothing is updated in place.  The functions here say what a table holds after a
+merge or an upsert; ``runs`` keeps tables on disk that grow by new rows only.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,10 +44,19 @@ def upsert(target: DataFrame, changes: DataFrame, key: str, order: list[Column])
         latest.select(*target.columns))
 
 
+def _reads_from(df: DataFrame, path: str) -> bool:
+    def bare(p: str) -> str:
+        return re.sub(r"^[a-z0-9]+:/+", "/", p).rstrip("/")
+    return any(bare(f).startswith(bare(path) + "/") for f in df.inputFiles())
+
+
 def materialise(df: DataFrame, path: str | None = None, view: str | None = None,
                 mode: str = "overwrite", partition_by: list[str] | None = None) -> DataFrame:
-    """Layer policy: a view stays lazy, a table is written and read back."""
+    """Layer policy: a view stays lazy, a table is written and read back.  A table
+    that ``df`` itself reads cannot be overwritten in place: use ``runs.replace``."""
     if path is not None:
+        if mode == "overwrite" and _reads_from(df, path):
+            raise ValueError(f"{path} would be overwritten by rows read from it")
         writer = df.write.mode(mode)
         if partition_by:
             writer = writer.partitionBy(*partition_by)

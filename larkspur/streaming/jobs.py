@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import alerts, search
+from ..operators import alerts, inverted
 from ..sources.sinks import new_rows
 from .common import earlier, run_available, stream_files, unseen, write_batch
 
@@ -32,20 +32,14 @@ def log_anomalies(spark: SparkSession, source: str, schema, log: str, checkpoint
 
 def refresh_index(spark: SparkSession, source: str, schema, index: str, checkpoint: str,
                   doc_id: str = "review_id", body: str = "review_text") -> None:
-    """New documents to the search index: ``postings`` and ``lengths`` grow by
-    one folder per batch.  The lag is the interval at which this is called."""
+    """New documents to the search index, one segment per batch.  A batch that is
+    repeated finds its documents there.  The lag is the interval at which this is
+    called; ``inverted.compact`` joins segments now and then."""
     def handle(batch: DataFrame, batch_id: int) -> None:
-        # lengths go last, so a batch cut short between the two is indexed again
-        known = earlier(batch.sparkSession, f"{index}/lengths", batch_id)
-        if known is not None:
-            known = known.select(F.col("doc_id").alias(doc_id))
-        fresh = unseen(batch, known, doc_id).dropDuplicates([doc_id])
-        write_batch(search.build_postings(fresh, doc_id, body), f"{index}/postings", batch_id)
-        write_batch(search.doc_lengths(fresh, doc_id, body), f"{index}/lengths", batch_id)
+        inverted.add(batch, index, doc_id, body)
 
     run_available(stream_files(spark, source, schema), handle, checkpoint)
 
 
 def search_index(spark: SparkSession, index: str, terms: DataFrame, k: int) -> DataFrame:
-    postings = spark.read.parquet(f"{index}/postings").drop("batch_id")
-    return search.bm25(postings, search.corpus_stats(spark.read.parquet(f"{index}/lengths")), terms, k)
+    return inverted.top_documents(spark, index, terms, k)

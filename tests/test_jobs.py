@@ -3,10 +3,10 @@
 import json
 
 import pytest
-from larkspur.operators import monitor, quality
+from larkspur.operators import marts, monitor, quality
 from larkspur.plans import metrics, warehouse
 from larkspur.sources import fixtures as fx
-from larkspur.sources import landing
+from larkspur.sources import landing, runs, sinks
 from larkspur.streaming import jobs
 from pyspark.sql import functions as F
 
@@ -63,6 +63,99 @@ def test_metric_names_are_checked(built):
     assert metrics.metric_query(marts, "category_sentiment", ["total reviews"]).first()[0] == 1100
 
 
+def _rows(df):
+    return sorted((tuple(r) for r in df.select(*sorted(df.columns)).collect()), key=repr)
+
+
+def _reviews(spark, ids, products):
+    return spark.createDataFrame([(i,) for i in ids], "id int").select(
+        F.to_json(F.struct(
+            F.concat(F.lit("r"), "id").alias("review_id"), F.concat(F.lit("B0"), F.col("id") % products).alias("asin"),
+            F.lit("u").alias("user_id"), (1 + F.col("id") % 5).alias("rating"), F.lit("Acme - Speaker").alias("title"),
+            F.concat(F.lit("great battery and speaker number "), "id", F.repeat(F.lit(" more words"), F.col("id") % 7)).alias("review_text"),
+            F.concat(F.lit("2020-0"), 1 + F.col("id") % 6, F.lit("-03")).alias("review_ts"))).alias("v"),
+        F.lit("Electronics").alias("source_category"), F.lit("a.json").alias("source_file"),
+        F.lit("2020-07-01 00:00:00").cast("timestamp_ntz").alias("loaded_at"))
+
+
+MARTS = ["category_summary", "monthly_trends", "product_summary", "theme_category", "complaint_analysis"]
+
+
+def test_runs_add_up_to_a_rebuild_even_after_a_crash(spark, built, tmp_path, monkeypatch):
+    """Three runs into one folder, the second one dying half-way, against one build of
+    everything.  Some products reach the three reviews of a category only later."""
+    meta, out = built[1], str(tmp_path / "grown")
+    one, two = list(range(0, 120)), list(range(0, 260))
+    warehouse.build(_reviews(spark, one, 90), meta, out, "2020-07-10")
+    first = {r.asin: r.review_count for r in runs.read(spark, f"{out}/product_categories").collect()}
+    assert first == {}
+    crash = monkeypatch.context()
+    with crash as m:
+        m.setattr(warehouse.marts, "fact_reviews", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError):
+            warehouse.build(_reviews(spark, two, 90), meta, out, "2020-07-11")
+    t = warehouse.build(_reviews(spark, two, 90), meta, out, "2020-07-11")
+    want = warehouse.build(_reviews(spark, two, 90), meta, str(tmp_path / "fresh"), "2020-07-11")
+    for name in ["enriched_reviews", "product_categories", "fact_reviews", "ingestion_health", *MARTS]:
+        assert _rows(t[name]) == _rows(want[name]), name
+    assert t["theme_category"].count() > 0 and t["enriched_reviews"].count() == 260
+    # nothing new: nothing is enriched, counted or logged again
+    again = warehouse.build(_reviews(spark, two, 90), meta, out, "2020-07-12")
+    for name in ["enriched_reviews", "product_categories", *MARTS]:
+        assert _rows(again[name]) == _rows(want[name]), name
+    ids = [r.alert_id for r in again["alert_log"].collect()]
+    assert len(ids) == len(set(ids))
+    # a category that exists keeps its first review count until a full refresh
+    more = _reviews(spark, [*two, *range(270, 360)], 90)
+    kept = _rows(warehouse.build(more, meta, out, "2020-07-13")["product_categories"])
+    assert set(_rows(want["product_categories"])) < set(kept) and len(kept) == 90
+    fresh = warehouse.build(more, meta, out, "2020-07-13", full_refresh=True)
+    assert {r.review_count for r in fresh["product_categories"].collect()} == {3, 4}
+    assert sum(r.review_count for r in fresh["category_summary"].collect()) == 350
+
+
+def test_marts_do_not_read_the_fact_table_again(spark, tmp_path):
+    out = str(tmp_path)
+    fact = fx.reviews(spark, "/root/testdata/sf0.001")
+    state = marts.group_state(fact, marts.THEME_KEYS)
+    half = [marts.group_state(fact.where(F.col("supplier") % 2 == i), marts.THEME_KEYS) for i in (0, 1)]
+    for s in half:
+        runs.append(s, f"{out}/theme")
+    merged = marts.merge_states(runs.read(spark, f"{out}/theme"), marts.THEME_KEYS)
+    assert _rows(marts.themes_from_state(merged)) == _rows(marts.themes_from_state(state))
+    assert _rows(marts.complaints_from_state(merged)) == _rows(marts.complaint_analysis(fact))
+    assert "lineitem" not in plan(marts.themes_from_state(merged))
+
+
+# ------------------------------------------------------------------------ runs
+
+def test_run_tables(spark, tmp_path):
+    table = str(tmp_path / "t")
+    assert runs.read(spark, table) is None
+    assert runs.append(spark.range(3), table).count() == 3
+    runs.append(spark.range(3, 5), table)
+    assert sorted(r.id for r in runs.read(spark, table).collect()) == [0, 1, 2, 3, 4]
+    # a rebuild may read what it replaces, and a run that fails changes nothing
+    runs.replace(runs.read(spark, table).where("id % 2 = 0"), table)
+    with pytest.raises(Exception):
+        runs.append(spark.range(2).select(F.raise_error(F.lit("lost")).alias("id")), table)
+    assert sorted(r.id for r in runs.read(spark, table).collect()) == [0, 2, 4]
+    with pytest.raises(runs.Conflict):
+        runs._commit(spark, table, [], 1)
+    assert len(runs.sweep(spark, table, keep=1)) == 3
+    assert sorted(r.id for r in runs.read(spark, table).collect()) == [0, 2, 4]
+    grown = runs.grow(spark.range(6), table, "id", lambda d: d)
+    assert sorted(r.id for r in grown.collect()) == [0, 1, 2, 3, 4, 5] and len(runs.folders(spark, table)) == 2
+
+
+def test_materialise_refuses_to_overwrite_its_input(spark, tmp_path):
+    path = str(tmp_path / "t")
+    df = sinks.materialise(spark.range(3), path)
+    with pytest.raises(ValueError):
+        sinks.materialise(df.where("id > 0"), path)
+    assert sinks.materialise(df, str(tmp_path / "t2")).count() == 3
+
+
 # --------------------------------------------------------------------- landing
 
 def test_json_lines_skip_broken_lines_and_read_both_spellings(spark, tmp_path):
@@ -77,6 +170,36 @@ def test_json_lines_skip_broken_lines_and_read_both_spellings(spark, tmp_path):
     assert (p.valid_lines, p.invalid_lines) == (3, 1)
 
 
+AWKWARD = ['{"asin":"a","n":1.5,"deep":{"x":null,"y":[1,"z",{"q":true}]},"none":null,"imageURL":["u"]}', "[1, 2]", "7",
+           '"text"', "null", "", "   ", "{broken", '{"asin":"a","asin":"b"}', "{}", '  {"asin":"é","big":12345678901234567890123}']
+
+
+def test_metadata_is_rewritten_in_one_pass(spark, tmp_path):
+    (tmp_path / "in.json").write_text("\n".join(AWKWARD))
+    out = str(tmp_path / "out")
+    assert tuple(landing.prepare_metadata(spark, str(tmp_path / "in.json"), out).first()) == (3, 8)
+    got = [json.loads(r.value) for r in spark.read.text(out).collect()]
+    want = [json.loads(AWKWARD[i]) for i in (0, 9, 10)]
+    want[0].pop("imageURL")
+    assert sorted(got, key=str) == sorted(want, key=str)
+    parsed = landing.parsed_lines(spark.read.text(str(tmp_path / "in.json"))).where("v is not null")
+    assert plan(parsed).count("try_parse_json") + plan(parsed).count("parse_json") <= 2  # once, shown twice by Generate
+    p = landing.input_profile(spark.read.text(str(tmp_path / "in.json"))).first()
+    assert (p.valid_lines, p.invalid_lines) == (3, 8)
+
+
+def test_ingest_appends_counted_rows(spark, tmp_path):
+    (tmp_path / "in.json").write_text("\n".join(AWKWARD))
+    target = str(tmp_path / "landing")
+    for category in ("A", "B"):
+        assert landing.ingest_category(spark, str(tmp_path / "in.json"), category, target) == {"rows": 3, "skipped": 8}
+    raw = runs.read(spark, target)
+    assert raw.count() == 6 and dict(raw.dtypes)["v"] == "variant"
+    health = {r.source_category: r.unique_asins for r in landing.ingestion_health(raw).collect()}
+    assert health == {"A": 2, "B": 2}
+    assert {r.asin for r in landing.raw_keys(raw).collect()} == {"a", "é", None}
+
+
 # --------------------------------------------------------------------- streams
 
 def test_ingest_is_first_arrival_and_replay_safe(spark, tmp_path):

@@ -5,8 +5,9 @@ from datetime import date, datetime
 
 import numpy as np
 import pytest
-from larkspur.operators import alerts, dedup, evalruns, marts, monitor, phrases, profiles, quality, search, skew, turns
-from larkspur.sources import sinks
+from larkspur.operators import alerts, dedup, evalruns, inverted, marts, monitor, phrases, profiles, quality, search, skew, turns
+from larkspur.session import stash
+from larkspur.sources import runs, sinks
 from pyspark.sql import functions as F
 
 
@@ -272,10 +273,60 @@ def test_bm25_matches_formula(spark):
     assert got[0][1] == pytest.approx(w(2, 2, 4) + w(1, 1, 4), abs=2e-6) and got[1][1] == pytest.approx(w(2, 1, 2), abs=2e-6)
 
 
+def _corpus(spark, n=1500, first=0):
+    rng = random.Random(21 + first)
+    texts = [(i, " ".join(rng.choice(["the", "of", "red", "Red", f"w{rng.randint(0, 400)}", "é"])
+                          for _ in range(rng.randint(1, 60)))) for i in range(first, first + n)]
+    return spark.createDataFrame(texts, "review_id int, review_text string")
+
+
+def test_index_equals_a_full_scan(spark, tmp_path):
+    """Three segments, one of them fed twice, before and after compaction."""
+    index, docs = str(tmp_path / "index"), _corpus(spark)
+    parts = [docs.where(F.col("review_id") % 3 == i) for i in range(3)]
+    for part in (*parts, parts[1].unionByName(parts[0].limit(5))):
+        inverted.add(part, index, "review_id", "review_text")
+    assert len(runs.folders(spark, index)) == 3
+    asked = spark.createDataFrame([("a", "the w7"), ("b", "w1 w2 w3 w3"), ("c", "red of the é"), ("d", "nothing"),
+                                   ("e", "W399")], "query_id string, query string")
+    terms = search.query_terms(asked, "query_id", "query")
+    want = rows(search.keyword_search(docs, asked, 7).select("query_id", "doc_id", "score", "rank"))
+    assert rows(inverted.top_documents(spark, index, terms, 7).select("query_id", "doc_id", "score", "rank")) == want
+    inverted.compact(spark, index)
+    assert len(runs.folders(spark, index)) == 1
+    assert rows(inverted.top_documents(spark, index, terms, 7).select("query_id", "doc_id", "score", "rank")) == want
+    assert rows(inverted.top_documents(spark, index, terms, 10**6).select("query_id", "doc_id", "score", "rank")) == rows(
+        search.keyword_search(docs, asked, 10**6).select("query_id", "doc_id", "score", "rank"))
+
+
+def test_search_opens_few_buckets_and_blocks(spark, tmp_path):
+    index, docs = str(tmp_path / "index"), _corpus(spark, 3000)
+    inverted.add(docs, index, "review_id", "review_text", slice_docs=32)
+    for words, share in ((["the"], 0.3), (["the", "w5"], 0.6)):
+        terms = stash(spark.createDataFrame([("q", w) for w in words], "query_id string, term string"), "terms")
+        bounds, needed, opened = inverted.candidate_blocks(spark, index, terms, 3)
+        assert 0 < needed.count() < bounds.count() * share
+        plan = opened._jdf.queryExecution().executedPlan().toString()
+        assert "bucket" in plan.split("PartitionFilters")[1][:200]
+        files = opened.select(F.input_file_name().alias("f")).distinct().collect()
+        assert 0 < len({r.f.split("bucket=")[1].split("/")[0] for r in files}) <= len(words)
+        got = rows(inverted.top_documents(spark, index, terms, 3).select("query_id", "doc_id", "score", "rank"))
+        asked = spark.createDataFrame([("q", " ".join(words))], "query_id string, query string")
+        assert got == rows(search.keyword_search(docs, asked, 3).select("query_id", "doc_id", "score", "rank"))
+
+
+def test_keyword_search_scans_once(spark, tmp_path):
+    path = str(tmp_path / "docs")
+    _corpus(spark, 50).write.parquet(path)
+    terms = spark.createDataFrame([("q", "the")], "query_id string, term string")
+    hits, stats = search.scan_for(spark.read.parquet(path), terms, "review_id", "review_text")
+    assert path not in stats._jdf.queryExecution().executedPlan().toString()
+    assert stats.first()["docs"] == 50 and hits.count() > 0
+
+
 def test_prefilter_honours_every_bound(spark):
     df = spark.range(1, 6).select(F.col("id").alias("rating"), F.lit(True).alias("verified_purchase"))
     assert [r.rating for r in search.prefilter(df, min_rating=2, max_rating=3, verified_only=True).collect()] == [2, 3]
-    assert (search.result_limit(5, "comfort"), search.result_limit(5, None), search.result_limit(8, "x")) == (15, 5, 8)
 
 
 # ------------------------------------------------------------- conversations
