@@ -133,9 +133,11 @@ def _sigmoid_fit(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", fit_rows: int = 3000,
-        alpha: float = 1.0, cost: float = 1.0) -> dict:
-    """Model from the labelled rows that are not held out.  ``fit_rows``: most rows
-    of each class, in expectation, that the hinge-loss fit sees."""
+        label_rows: int = 10_000, alpha: float = 1.0, cost: float = 1.0) -> dict:
+    """Model from the labelled rows that are not held out.  ``label_rows``: most rows of
+    each class, in expectation, that the class counts are taken from, drawn by a hash of
+    doc_id; ``fit_rows`` of them the hinge-loss fit sees.  As their number is bounded,
+    their ids are broadcast and no text is shuffled."""
     train = (labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
              .where(~held_out(F.col("doc_id"))).groupBy("doc_id")
              .agg((F.avg(F.col(label)) >= 0.5).cast("int").alias("y")))
@@ -143,8 +145,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", fit_rows: in
     if len(size) < 2:
         return {"constant": float(next(iter(size), 0.5))}
     shares = {y: fit_rows / max(1, n) for y, n in size.items()}
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    labelled = docs.select("doc_id", "text").join(train, "doc_id").withColumn("draw", draw)
+    drawn = {y: min(1.0, label_rows / max(1, n)) for y, n in size.items()}
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
+    chosen = train.withColumn("draw", draw).where(
+        F.col("draw") < F.when(F.col("y") == 1, drawn[1]).otherwise(drawn[0]))
+    labelled = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     rows = stash(_training_rows(labelled, shares), "nbsvm")
     sums = (rows.where("counts is not null")
             .select("y", F.explode(F.arrays_zip("cells", "counts")).alias("z"))
@@ -155,7 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", fit_rows: in
     for k in (0, 1):
         at = (y == k) & (cell >= 0)
         count[k][cell[at]] += n[at]
-    prior = {k: int(n[(y == k) & (cell < 0)].sum()) for k in (0, 1)}
+    prior = {k: float(n[(y == k) & (cell < 0)].sum()) / drawn[k] for k in (0, 1)}
     if not min(prior.values()):
         return {"constant": float(prior[1] > 0) if sum(prior.values()) else 0.5}
     ratio = np.log(count[1] / count[1].sum()) - np.log(count[0] / count[0].sum())
