@@ -19,6 +19,12 @@ def table(spark, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def remove(spark, path: str) -> None:
+    """Deletes a folder that a query stored and has no more use for."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def bitmap(values: DataFrame, column: str) -> np.ndarray:
     """Bit map of a set of longs of any size.  It is always 1 MB: at most 2^17
     aggregated words of 64 bits reach the driver.  A value outside the set may

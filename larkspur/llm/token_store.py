@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import new_path, stash
+from .common import new_path, remove, stash
 
 MAGIC = 0x31424B54
 HEADER = np.dtype([("magic", "<u4"), ("docs", "<u4"), ("ids", "<u8"), ("data", "<u8")])
@@ -66,12 +66,19 @@ def _tokenizer(path: str | None):
     return out, W.Store()
 
 
+def id_type(path: str | None = None, end: int = 2) -> str:
+    """Little-endian integers that hold every id of the vocabulary."""
+    return "<u2" if max(end, _tokenizer(path)[0].get_vocab_size() - 1) < 1 << 16 else "<u4"
+
+
 def token_ids(docs: DataFrame, path: str | None = None, end: int = 2) -> DataFrame:
-    """doc_id and its ids with the end id, as little-endian 32-bit integers.  The
+    """doc_id and its ids with the end id, as little-endian integers of 16 bits, or 32
+    where the vocabulary has more ids than that.  The
     vocabulary must drop white space, as words between it are encoded one by one,
     each new word of a task once."""
     def emit(batches):
         tokenizer, store = _tokenizer(path)
+        kind = id_type(path, end)
 
         def encode(chunks):
             count, flat = [], []
@@ -93,27 +100,27 @@ def token_ids(docs: DataFrame, path: str | None = None, end: int = 2) -> DataFra
                 count = np.bincount(row, count, b - a).astype(np.int64)
                 ids = np.insert(ids, np.cumsum(count), end)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), W.binary_lists(ids.astype("<u4"), count + 1)],
+                    [batch.column(0).slice(a, b - a), W.binary_lists(ids.astype(kind), count + 1)],
                     ["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(emit, "doc_id long, ids binary")
 
 
-def _ids(column) -> tuple[np.ndarray, np.ndarray]:
+def _ids(column, kind: str) -> tuple[np.ndarray, np.ndarray]:
     column = column.cast(pa.large_binary())
     limits = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
     data = np.frombuffer(column.buffers()[2], np.uint8)[limits[0]:limits[-1]]
-    return data.view("<u4"), np.diff(limits) // 4
+    return data.view(kind), np.diff(limits) // np.dtype(kind).itemsize
 
 
-def write(tokens: DataFrame, folder: str) -> None:
-    """Writes a store of (doc_id, ids) rows."""
+def write(tokens: DataFrame, folder: str, kind: str = "<u4") -> None:
+    """Writes a store of (doc_id, ids) rows, ids being integers of type ``kind``."""
     spark = tokens.sparkSession
 
     def count(batches):
         total = np.zeros(0, np.int64)
         for batch in batches:
-            more = np.bincount(_ids(batch.column(0))[0])
+            more = np.bincount(_ids(batch.column(0), kind)[0])
             if len(more) > len(total):
                 total, more = more, total
             total[:len(more)] += more
@@ -134,7 +141,7 @@ def write(tokens: DataFrame, folder: str) -> None:
 
     def blocks(batches):
         for batch in batches:
-            flat, size = _ids(batch.column(1))
+            flat, size = _ids(batch.column(1), kind)
             values, limits = shared.value[flat], np.concatenate([[0], np.cumsum(size)])
             for a, b in W.pieces(limits, BLOCK_IDS):
                 docs = np.zeros(b - a, DOC)
@@ -205,7 +212,10 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Encodes ``docs``, writes a store and reports on the documents read from it."""
     spark = docs.sparkSession
     folder = new_path(spark, "token-store")
-    write(stash(token_ids(docs, path), "token-ids"), folder)
+    interim = new_path(spark, "token-ids")
+    token_ids(docs, path).write.parquet(interim)
+    write(spark.read.parquet(interim), folder, id_type(path))
+    remove(spark, interim)
 
     def check(batches):
         for b in batches:

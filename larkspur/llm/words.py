@@ -132,41 +132,73 @@ def long_lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
 class Store:
     """Ids of text chunks seen so far, by hash; at most ``most`` chunks are kept.  A
     second hash is kept beside the first: where the two disagree about which chunks
-    are equal, the chunks at hand are encoded afresh, without the store."""
+    are equal, the chunks at hand are encoded afresh, without the store.  Chunks lie
+    in the order they came; two sorted lists of keys, a long and a short one, say
+    where, and the short one is merged into the long one now and then."""
 
     def __init__(self, most: int = 1_500_000):
         self.most = most
         self.forget()
 
     def forget(self) -> None:
-        self.keys, self.at = np.zeros(0, U), np.zeros(0, np.int64)
-        self.second = np.zeros(0, U)
-        self.count, self.flat = np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.n, self.used = 0, 0
+        self.at, self.count = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.second, self.flat = np.zeros(1 << 12, U), np.zeros(1 << 14, np.uint32)
+        self.keys = [np.zeros(0, U), np.zeros(0, U)]
+        self.where = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
+
+    def _find(self, wanted: np.ndarray) -> np.ndarray:
+        """Place of each key, or -1."""
+        out = np.full(len(wanted), -1)
+        for keys, where in zip(self.keys, self.where):
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+                hit = keys[at] == wanted
+                out[hit] = where[at[hit]]
+        return out
+
+    def _put(self, keys: np.ndarray, second: np.ndarray, count: np.ndarray, flat: np.ndarray) -> np.ndarray:
+        """Keeps new chunks (keys ascend) and returns their places."""
+        to, end = self.n + len(keys), self.used + len(flat)
+        for name, size in (("at", to), ("count", to), ("second", to), ("flat", end)):
+            have = getattr(self, name)
+            if size > len(have):
+                setattr(self, name, np.concatenate([have, np.zeros(max(size - len(have), len(have) // 2), have.dtype)]))
+        self.at[self.n:to] = self.used + np.cumsum(count) - count
+        self.count[self.n:to], self.second[self.n:to] = count, second
+        self.flat[self.used:end] = flat
+        places = np.arange(self.n, to)
+        self.n, self.used = to, end
+        self._merge(1, keys, places)
+        if len(self.keys[1]) > max(1 << 14, len(self.keys[0]) // 4):
+            self._merge(0, self.keys[1], self.where[1])
+            self.keys[1], self.where[1] = np.zeros(0, U), np.zeros(0, np.int64)
+        return places
+
+    def _merge(self, level: int, keys: np.ndarray, where: np.ndarray) -> None:
+        both = np.concatenate([self.keys[level], keys])
+        order = np.argsort(both, kind="stable")
+        self.keys[level] = both[order]
+        self.where[level] = np.concatenate([self.where[level], where])[order]
 
     def ids(self, data, start, end, encode) -> tuple[np.ndarray, np.ndarray]:
         """Ids per chunk and all ids; ``encode`` gets the bytes of each new chunk
         once and gives the same two arrays for them."""
-        if len(self.keys) > self.most:
+        if self.n > self.most:
             self.forget()
         if not len(start):
             return np.zeros(0, np.int64), np.zeros(0, np.uint32)
         h, second = hashes(data, start, end), hashes(data, start, end, 1)
         distinct, first, place = np.unique(h, return_index=True, return_inverse=True)
-        new = ~np.isin(distinct, self.keys, assume_unique=True)
-        old = np.searchsorted(self.keys, distinct[~new])
+        where = self._find(distinct)
+        new = where < 0
         if ((second[first][place] != second).any()
-                or (self.second[old] != second[first[~new]]).any()):
+                or (self.second[where[~new]] != second[first[~new]]).any()):
             return encode([data[s:e].tobytes() for s, e in zip(start, end)])
         if new.any():
             count, flat = encode([data[start[i]:end[i]].tobytes() for i in first[new]])
-            at = np.cumsum(count) - count + len(self.flat)
-            keys = np.concatenate([self.keys, distinct[new]])
-            order = np.argsort(keys)
-            self.keys, self.at = keys[order], np.concatenate([self.at, at])[order]
-            self.second = np.concatenate([self.second, second[first[new]]])[order]
-            self.count = np.concatenate([self.count, count])[order]
-            self.flat = np.concatenate([self.flat, flat])
-        where = np.searchsorted(self.keys, distinct)[place]
+            where[new] = self._put(distinct[new], second[first[new]], count, flat)
+        where = where[place]
         count = self.count[where]
         before = np.cumsum(count) - count
         return count, self.flat[np.repeat(self.at[where] - before, count) + np.arange(count.sum())]
