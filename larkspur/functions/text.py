@@ -31,10 +31,14 @@ def clean_basic(text: Column) -> Column:
     return apply_rules(text, vocab.BASIC_CLEANING)
 
 
-def clean_full(text: Column, max_chars: int = vocab.FULL_CLEANING_MAX) -> Column:
-    """The embedding-side cleaner; its output is defined as the first
-    ``max_chars`` characters of the cleaned text."""
-    return F.substring(F.trim(apply_rules(text, vocab.FULL_CLEANING)), 1, max_chars)
+def head(text: Column, chars: int | None) -> Column:
+    """The first ``chars`` characters; the whole text by default."""
+    return text if chars is None else F.substring(text, 1, chars)
+
+
+def clean_full(text: Column, max_chars: int | None = None) -> Column:
+    """The embedding-side cleaner, over whole texts unless ``max_chars`` is given."""
+    return head(F.trim(apply_rules(text, vocab.FULL_CLEANING)), max_chars)
 
 
 def redact(text: Column) -> Column:
@@ -96,7 +100,8 @@ def any_contains(text: Column, words: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [text.contains(w) for w in words])
 
 
-def claims(features: Column, min_chars: int = 10, limit: int = 5) -> Column:
+def claims(features: Column, min_chars: int = 10, limit: int | None = None) -> Column:
     """Feature list ``a|b|c`` to an array of trimmed claims."""
     parts = F.transform(F.split(features, r"\|"), lambda p: F.trim(p))
-    return F.slice(F.filter(parts, lambda p: F.length(p) > min_chars), 1, limit)
+    kept = F.filter(parts, lambda p: F.length(p) > min_chars)
+    return kept if limit is None else F.slice(kept, 1, limit)

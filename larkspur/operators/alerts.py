@@ -119,7 +119,7 @@ def alert_order(created: str | None = None) -> list[Column]:
 
 def read_alerts(log: DataFrame, severity: str | None = None, anomaly_type: str | None = None,
                 source: str | None = None, acknowledged: bool | None = None,
-                limit: int = 50, created: str | None = None) -> DataFrame:
+                limit: int | None = None, created: str | None = None) -> DataFrame:
     out = log
     if severity:
         out = out.where(F.col("severity") == severity.upper())
@@ -129,7 +129,8 @@ def read_alerts(log: DataFrame, severity: str | None = None, anomaly_type: str |
         out = out.where(F.col("alert_source") == source)
     if acknowledged is not None:
         out = out.where(F.col("acknowledged") == acknowledged)
-    return out.orderBy(*alert_order(created)).limit(limit)
+    ordered = out.orderBy(*alert_order(created))
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def severity_counts(log: DataFrame) -> DataFrame:

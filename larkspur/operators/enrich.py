@@ -5,14 +5,10 @@ models; pass your own ``Column -> Column`` scorer to replace any of them.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from .. import vocab
 from ..functions import rules, text
@@ -89,32 +85,48 @@ def product_category(body: Column, profiles: dict[str, list[str]] = CATEGORY_WOR
     return label_by_words(body, profiles, vocab.FALLBACK_CATEGORY)
 
 
-def pick_sentences(body: str, keep: int = 3) -> str:
-    """The ``keep`` sentences with the highest mean word frequency, in their
-    original order."""
-    sentences = [s for s in re.split(r"(?<=[.!?])\s+", body.strip()) if s]
-    if len(sentences) <= keep:
-        return " ".join(sentences)
-    words = [re.findall(r"\w+", s.lower()) for s in sentences]
-    freq = Counter(w for ws in words for w in ws)
-    score = [sum(freq[w] for w in ws) / len(ws) if ws else 0.0 for ws in words]
-    best = sorted(range(len(sentences)), key=lambda i: (-score[i], i))[:keep]
-    return " ".join(sentences[i] for i in sorted(best))
+SENTENCE_END = r"([.!?])\s+"
+MARK = "\x01"
 
 
-@F.pandas_udf(StringType())
-def summarise(bodies: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in bodies:
-        yield batch.map(pick_sentences, na_action="ignore")
+def summarise(body: Column, keep: int = 3) -> Column:
+    """The ``keep`` sentences with the highest mean word frequency, in their original
+    order, all inside the row.  Word counts come from the sorted words: a word occurs
+    as often as the first places of it and of the next distinct word lie apart."""
+    trimmed = F.regexp_replace(body, r"^\s+|\s+$", "")
+    sentences = F.array_remove(F.split(F.regexp_replace(trimmed, SENTENCE_END, "$1" + MARK), MARK), "")
+
+    def words_of(s: Column) -> Column:
+        return F.regexp_extract_all(F.lower(s), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+
+    def scored(s: Column) -> Column:
+        parts = F.transform(s, words_of)
+        return text.let(F.array_sort(F.flatten(parts)), lambda every: text.let(
+            F.array_distinct(every), lambda known: text.let(
+                F.concat(F.transform(known, lambda w: F.array_position(every, w)),
+                         F.array(F.size(every).cast("bigint") + 1)),
+                lambda first: pick(s, F.transform(parts, lambda ws: mean(ws, known, first))))))
+
+    def mean(ws: Column, known: Column, first: Column) -> Column:
+        def times(w):
+            at = F.array_position(known, w).cast("int")
+            return F.element_at(first, at + 1) - F.element_at(first, at)
+        total = F.aggregate(ws, F.lit(0).cast("bigint"), lambda t, w: t + times(w))
+        return F.when(F.size(ws) == 0, F.lit(0.0)).otherwise(total / F.size(ws))
+
+    def pick(s: Column, scores: Column) -> Column:
+        ranked = F.slice(F.array_sort(F.transform(scores, lambda v, i: F.struct((-v).alias("v"), i.alias("i")))), 1, keep)
+        places = F.array_sort(F.transform(ranked, lambda r: r["i"]))
+        return F.array_join(F.transform(places, lambda i: F.get(s, i)), " ")
+
+    return text.let(sentences, lambda s: F.when(F.size(s) <= keep, F.array_join(s, " ")).otherwise(scored(s)))
 
 
 def with_summary(df: DataFrame, body: str, length: str = "text_len", over: int = 500,
                  summariser: Callable[[Column], Column] = summarise) -> DataFrame:
-    """Summary for long texts, the text itself otherwise.  The two cases are
-    separate branches so that short texts never reach Python."""
+    """Summary for long texts, the text itself otherwise."""
     long = F.coalesce(F.col(length) > over, F.lit(False))
-    short = df.where(~long).withColumn("review_summary", F.col(body))
-    return df.where(long).withColumn("review_summary", summariser(F.col(body))).unionByName(short)
+    return df.withColumn("review_summary", F.when(long, summariser(F.col(body))).otherwise(F.col(body)))
 
 
 def enrich_reviews(staged: DataFrame, sentiment_of: Callable[[Column], Column] = sentiment,
@@ -132,7 +144,7 @@ def longest_texts(reviews: DataFrame, body: Column, n: int, min_reviews: int,
     """Per product with enough reviews: count and the n longest texts joined by
     `` | ``.  Where the caller needs only the first ``chars`` of a text, the
     rest is left behind before the shuffle."""
-    shown = body if chars is None else F.substring(body, 1, chars)
+    shown = text.head(body, chars)
     slim = reviews.select("asin", "text_len", F.col(row_id).alias("_id"), shown.alias("_text"))
     longest = top_n(slim, ["asin"], [F.col("text_len").desc_nulls_last(), F.col("_id")], n, "_rn")
     counts = reviews.groupBy("asin").agg(F.count(F.lit(1)).alias("review_count")).where(
@@ -146,19 +158,19 @@ def longest_texts(reviews: DataFrame, body: Column, n: int, min_reviews: int,
 
 def product_categories(reviews: DataFrame, body: str = "review_text_clean",
                        category_of: Callable[[Column], Column] = product_category,
-                       n: int = 3, min_reviews: int = 3, chars: int = 2000,
+                       n: int = 3, min_reviews: int = 3, chars: int | None = None,
                        row_id: str = "review_id") -> DataFrame:
-    """Category per product from its longest reviews.  The label is defined on
-    the first ``chars`` characters of their concatenation."""
+    """Category per product from its longest reviews joined, or from the first
+    ``chars`` characters of them."""
     samples = longest_texts(reviews, F.col(body), n, min_reviews, chars, row_id)
     return samples.select(
         "asin", "review_count",
-        F.trim(F.lower(category_of(F.substring("sample_text", 1, chars)))).alias("derived_category"),
+        F.trim(F.lower(category_of(text.head(F.col("sample_text"), chars)))).alias("derived_category"),
         rules.confidence_tier(F.col("review_count")).alias("derivation_confidence"))
 
 
 def product_name_samples(reviews: DataFrame, title: str = "title", body: str = "review_text",
-                         n: int = 5, min_reviews: int = 20, chars: int = 200,
+                         n: int = 5, min_reviews: int = 20, chars: int | None = None,
                          row_id: str = "review_id") -> DataFrame:
     snippet = F.concat(F.col(title), F.lit(". "), F.col(body))
     return longest_texts(reviews, snippet, n, min_reviews, chars, row_id).drop("review_count")

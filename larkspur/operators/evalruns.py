@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions.numeric import TIE, mean_of, share_of, steady_round
+from ..session import stash
 from .dedup import top_n
 
 
@@ -52,29 +53,39 @@ def prepared(runs: DataFrame) -> DataFrame:
 
 
 def nearest_rank(df: DataFrame, keys: list[str], value: str, percents: list[int],
-                 width: float = 1.0) -> DataFrame:
+                 part: int = 50_000, fan: int = 64) -> DataFrame:
     """``sorted(values)[min(int(n * p / 100), n - 1)]`` per key, exact.
 
-    Equal values are counted before any shuffle by key.  The position is then
-    found in two steps, first among coarse buckets of ``width`` and then inside
-    the one bucket that holds it, so no task sorts all the values of a key.
+    Equal values are counted first.  While a key has more than ``part`` distinct values
+    left, a round takes ``fan`` splitters from a quantile sketch of them, counts exactly
+    between the splitters and keeps only what lies where a wanted position falls.  So
+    no task sorts more than ``part`` values, however they are spread.
     """
-    counts = (df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v"))
-              .agg(F.count(F.lit(1)).alias("_n")).withColumn("_b", F.floor(F.col("_v") / width)))
-    total = Window.partitionBy(*keys)
-    up = total.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    buckets = (counts.groupBy(*keys, "_b").agg(F.sum("_n").alias("_bn"))
-               .withColumn("_end", F.sum("_bn").over(up)).withColumn("_all", F.sum("_bn").over(total)))
-    wanted = F.explode(F.array(*[F.struct(F.lit(p).alias("percent"), F.least(
-        F.floor(F.col("_all") * p / 100), F.col("_all") - 1).alias("at")) for p in percents]))
-    at = F.col("_p")["at"]
-    hit = (buckets.withColumn("_p", wanted)
-           .where((at < F.col("_end")) & (at >= F.col("_end") - F.col("_bn")))
-           .select(*keys, "_b", F.col("_p")["percent"].alias("percent"),
-                   (at - (F.col("_end") - F.col("_bn"))).alias("_at")))
-    inside = Window.partitionBy(*keys, "percent", "_b").orderBy("_v").rowsBetween(
+    rows = stash(df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v"))
+                 .agg(F.count(F.lit(1)).alias("_n")), "values")
+    total = F.col("_all")
+    wanted = rows.groupBy(*keys).agg(F.sum("_n").alias("_all")).select(*keys, F.inline(F.array(*[
+        F.struct(F.lit(p).alias("percent"), F.least(F.floor(total * p / 100), total - 1).alias("_at"))
+        for p in percents])))
+    by = list(keys)
+    while (rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_d")).agg(F.max("_d")).first()[0] or 0) > part:
+        cuts = F.percentile_approx("_v", [i / fan for i in range(1, fan)], 100 * fan)
+        # one row per key; stored, so that the join knows its size
+        splitters = stash(rows.groupBy(*by).agg(F.array_distinct(cuts).alias("_s")), "splitters")
+        marked = stash(rows.join(splitters, by).withColumn(
+            "_b", F.size(F.filter("_s", lambda s: s < F.col("_v")))).drop("_s"), "marked")
+        up = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        buckets = (marked.groupBy(*by, "_b").agg(F.sum("_n").alias("_bn"))
+                   .withColumn("_end", F.sum("_bn").over(up)))
+        first = F.col("_end") - F.col("_bn")
+        hit = stash(buckets.join(wanted, by).where((F.col("_at") < F.col("_end")) & (F.col("_at") >= first))
+                    .select(*keys, "percent", "_b", (F.col("_at") - first).alias("_at")), "hits")
+        meet = [*by, "_b"]
+        rows = stash(marked.join(hit.drop("_at"), meet).select(*keys, "percent", "_v", "_n"), "left")
+        wanted, by = hit.drop("_b"), [*keys, "percent"]
+    inside = Window.partitionBy(*keys, "percent").orderBy("_v").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    fine = (counts.join(hit, [*keys, "_b"]).withColumn("_end", F.sum("_n").over(inside))
+    fine = (rows.join(wanted, by).withColumn("_end", F.sum("_n").over(inside))
             .where((F.col("_at") < F.col("_end")) & (F.col("_at") >= F.col("_end") - F.col("_n"))))
     return fine.select(*keys, "percent", F.col("_v").alias("value"))
 
@@ -141,7 +152,7 @@ def case_matrix(runs: DataFrame, models: list[str]) -> DataFrame:
     cell = F.concat(F.lit("I"), mark("intent_correct"), F.lit(" D"), mark("data_correct"),
                     F.lit(" F"), F.col("judge_factuality").cast("string"),
                     F.lit(" C"), F.col("judge_citation").cast("string"), F.lit(" "),
-                    F.array_join(F.slice("tools_used", 1, 4), "/"))
+                    F.array_join("tools_used", "/"))
     return (first.withColumn("_cell", cell).groupBy("question_id", "expected_intent")
             .pivot("model", models).agg(F.first("_cell")))
 

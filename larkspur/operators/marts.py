@@ -57,13 +57,19 @@ CATEGORY_KEYS = ["derived_category", "sentiment_score"]
 MONTH_KEYS = ["derived_category", "review_month"]
 PRODUCT_KEYS = ["asin", "derived_category", "review_theme"]
 THEME_KEYS = ["derived_category", "review_theme"]
-STATES = {"category": CATEGORY_KEYS, "month": MONTH_KEYS, "product": PRODUCT_KEYS, "theme": THEME_KEYS}
-MEASURES = ["n", "rated", "stars", "scored", "score", "neg", "pos", "ver", "voted", "votes",
-            "neg_scored", "neg_score", "neg_voted", "neg_votes", "neg_high"]
-
-
-def group_state(fact: DataFrame, keys: list[str], sign: str | None = None) -> DataFrame:
-    """Counts and sums per group.  Rows with -1 in the column ``sign`` are taken
+THEME_MEASURES = ["n", "rated", "stars", "scored", "score", "neg", "neg_scored", "neg_score"]
+COMPLAINT_MEASURES = ["n", "neg", "neg_scored", "neg_score", "neg_voted", "neg_votes", "neg_high"]
+#: keys and measures of each state
+STATES = {
+    "category": (CATEGORY_KEYS, ["n", "rated", "stars", "neg", "pos", "ver", "voted", "votes"]),
+    "month": (MONTH_KEYS, ["n", "rated", "stars", "scored", "score", "neg"]),
+    "product": (PRODUCT_KEYS, ["n", "rated", "stars", "scored", "score", "neg", "ver", "voted", "votes"]),
+    "theme": (THEME_KEYS, list(dict.fromkeys(THEME_MEASURES + COMPLAINT_MEASURES))),
+}
+
+
+def group_state(fact: DataFrame, keys: list[str], measures: list[str], sign: str | None = None) -> DataFrame:
+    """The given counts and sums per group.  Rows with -1 in the column ``sign`` are taken
     away: the state of rows that a run corrects."""
     one = F.lit(1) if sign is None else F.col(sign)
 
@@ -75,21 +81,22 @@ def group_state(fact: DataFrame, keys: list[str], sign: str | None = None) -> Da
         return F.sum(signed if condition is None else F.when(condition, signed))
 
     score, votes, rating = F.col("sentiment_score"), F.col("helpful_vote"), F.col("rating")
-    measures = {
-        "n": F.sum(one), "rated": count(rating.isNotNull()), "stars": total(rating),
-        "scored": count(score.isNotNull()), "score": total(score), "neg": count(negative()),
-        "pos": count(positive()), "ver": count(F.col("verified_purchase")),
-        "voted": count(votes.isNotNull()), "votes": total(votes),
-        "neg_scored": count(negative() & score.isNotNull()), "neg_score": total(score, negative()),
-        "neg_voted": count(negative() & votes.isNotNull()), "neg_votes": total(votes, negative()),
-        "neg_high": count(negative() & (F.col("review_quality") == "high"))}
+    known = {
+        "n": lambda: F.sum(one), "rated": lambda: count(rating.isNotNull()), "stars": lambda: total(rating),
+        "scored": lambda: count(score.isNotNull()), "score": lambda: total(score),
+        "neg": lambda: count(negative()), "pos": lambda: count(positive()),
+        "ver": lambda: count(F.col("verified_purchase")),
+        "voted": lambda: count(votes.isNotNull()), "votes": lambda: total(votes),
+        "neg_scored": lambda: count(negative() & score.isNotNull()), "neg_score": lambda: total(score, negative()),
+        "neg_voted": lambda: count(negative() & votes.isNotNull()), "neg_votes": lambda: total(votes, negative()),
+        "neg_high": lambda: count(negative() & (F.col("review_quality") == "high"))}
     rows = fact.withColumn("review_month", month_of()) if "review_month" in keys else fact
-    return rows.groupBy(*keys).agg(*[c.alias(m) for m, c in measures.items()])
+    return rows.groupBy(*keys).agg(*[known[m]().alias(m) for m in measures])
 
 
-def merge_states(states: DataFrame, keys: list[str]) -> DataFrame:
+def merge_states(states: DataFrame, keys: list[str], measures: list[str]) -> DataFrame:
     """Adds up the states of several runs; groups left without rows go."""
-    return states.groupBy(*keys).agg(*_add(*MEASURES)).where(F.col("n") > 0)
+    return states.groupBy(*keys).agg(*[F.sum(m).alias(m) for m in measures]).where(F.col("n") > 0)
 
 
 def category_from_state(state: DataFrame) -> DataFrame:
@@ -152,23 +159,23 @@ def complaints_from_state(state: DataFrame, min_reviews: int = 5) -> DataFrame:
 
 
 def category_summary(fact: DataFrame) -> DataFrame:
-    return category_from_state(group_state(fact, CATEGORY_KEYS))
+    return category_from_state(group_state(fact, *STATES["category"]))
 
 
 def monthly_trends(fact: DataFrame, min_reviews: int = 5) -> DataFrame:
-    return months_from_state(group_state(fact, MONTH_KEYS), min_reviews)
+    return months_from_state(group_state(fact, *STATES["month"]), min_reviews)
 
 
 def product_summary(fact: DataFrame, min_reviews: int = 20) -> DataFrame:
-    return products_from_state(group_state(fact, PRODUCT_KEYS), min_reviews)
+    return products_from_state(group_state(fact, *STATES["product"]), min_reviews)
 
 
 def theme_category(fact: DataFrame, min_reviews: int = 10) -> DataFrame:
-    return themes_from_state(group_state(fact, THEME_KEYS), min_reviews)
+    return themes_from_state(group_state(fact, THEME_KEYS, THEME_MEASURES), min_reviews)
 
 
 def complaint_analysis(fact: DataFrame, min_reviews: int = 5) -> DataFrame:
-    return complaints_from_state(group_state(fact, THEME_KEYS), min_reviews)
+    return complaints_from_state(group_state(fact, THEME_KEYS, COMPLAINT_MEASURES), min_reviews)
 
 
 def marts_from_states(states: dict[str, DataFrame]) -> dict[str, DataFrame]:
@@ -180,10 +187,6 @@ def marts_from_states(states: dict[str, DataFrame]) -> dict[str, DataFrame]:
             "complaint_analysis": complaints_from_state(states["theme"])}
 
 
-def _add(*cols: str) -> list[Column]:
-    return [F.sum(c).alias(c) for c in cols]
-
-
 def label_summary(fact: DataFrame, keys: list[str], digits: int = 2) -> DataFrame:
     """Positive / neutral / negative counts and percentages per key."""
     label = rules.rating_label(F.col("rating"))

@@ -17,7 +17,7 @@ PRODUCT_PAGE = {
 
 
 def page_fields(pages: DataFrame, key: str, html: str = "html", patterns: dict[str, str] | None = None,
-                max_features: int = 10, min_chars: int = 10) -> DataFrame:
+                max_features: int | None = None, min_chars: int = 10) -> DataFrame:
     """Title, brand, price, feature bullets and breadcrumb of every page that
     has a title.  Patterns can be replaced one by one."""
     p = PRODUCT_PAGE | (patterns or {})
@@ -34,5 +34,5 @@ def page_fields(pages: DataFrame, key: str, html: str = "html", patterns: dict[s
     price = F.when(whole.isNotNull(), F.concat(F.lit("$"), whole, F.lit("."), F.coalesce(one("price_fraction"), F.lit("00"))))
     bullets = F.filter(many("feature"), lambda f: (F.length(f) > min_chars) & ~f.contains("<"))
     return pages.select(F.col(key), one("title").alias("title"), F.trim(brand).alias("brand"), price.alias("price"),
-                        F.slice(bullets, 1, max_features).alias("features"),
+                        (bullets if max_features is None else F.slice(bullets, 1, max_features)).alias("features"),
                         many("breadcrumb").alias("category")).where(F.col("title").isNotNull())

@@ -13,6 +13,7 @@ from ..functions.numeric import TIE, mean_of, ratio, share_of, steady_round
 from ..session import stash
 from .dedup import dedup_metadata, top_n
 from .marts import negative, overall_means, theme_breakdown
+from .search import evidence, report_queries
 from .skew import spread_join
 
 
@@ -92,7 +93,7 @@ def search_products(lookup: DataFrame, metadata: DataFrame, products: DataFrame,
            .join(stats, "asin", "inner" if min_rating is not None else "left"))
     columns = ["asin", "product_name", "brand", "price", "derived_category", "review_count",
                "avg_rating", "avg_sentiment", "negative_rate", "top_theme",
-               F.substring("_features", 1, 300).alias("features")]
+               F.col("_features").alias("features")]
     if review_theme is not None:
         liked = (fact.where((F.col("review_theme") == review_theme) & (F.col("sentiment_score") > 0))
                  .groupBy("asin").agg(F.count(F.lit(1)).alias("theme_review_count"),
@@ -135,7 +136,7 @@ def compare(rows: DataFrame, key: str, metrics: dict[str, bool]) -> DataFrame:
 
 
 def compare_products(profiles: DataFrame, asins: list) -> DataFrame:
-    return compare(profiles.where(F.col("asin").isin(asins[:5])), "asin", PRODUCT_METRICS)
+    return compare(profiles.where(F.col("asin").isin(asins)), "asin", PRODUCT_METRICS)
 
 
 def top_product_themes(fact: DataFrame, asins: list | None = None, k: int = 3) -> DataFrame:
@@ -182,7 +183,7 @@ def brand_categories(metadata: DataFrame, lookup: DataFrame, fact: DataFrame) ->
 
 def brand_top_products(metadata: DataFrame, products: DataFrame, k: int = 5) -> DataFrame:
     meta = dedup_metadata(metadata).select(
-        "asin", F.substring("title", 1, 100).alias("title"), rules.normal_brand(F.col("brand")).alias("brand"))
+        "asin", "title", rules.normal_brand(F.col("brand")).alias("brand"))
     j = meta.join(products.select("asin", "review_count", "avg_rating", "avg_sentiment"), "asin")
     return top_n(j, ["brand"], [F.col("review_count").desc(), F.col("asin")], k, "product_rank")
 
@@ -199,7 +200,7 @@ def brand_complaints(metadata: DataFrame, fact: DataFrame, k: int = 5) -> DataFr
 
 
 def compare_brands(overview: DataFrame, brands: list[str]) -> DataFrame:
-    keys = [b.strip().lower() for b in brands[:4]]
+    keys = [b.strip().lower() for b in brands]
     keys = [vocab.BRAND_ALIASES.get(k, k) for k in keys]
     return compare(overview.where(F.col("brand").isin(keys)), "brand", BRAND_METRICS)
 
@@ -320,6 +321,22 @@ def product_report(products: DataFrame, lookup: DataFrame, summary: DataFrame, f
     return out
 
 
+def reports_with_evidence(summary: DataFrame, themes: DataFrame, complaints: DataFrame, trends: DataFrame,
+                          products: DataFrame, lookup: DataFrame, fact: DataFrame,
+                          body: str = "review_text") -> tuple[DataFrame, DataFrame]:
+    """Category and product reports with quotes from the reviews of ``fact``: for a
+    category about its most frequent complaint, for a product about its complaints
+    in general, and in praise of both."""
+    worst = top_n(complaints, ["derived_category"],
+                  [F.col("complaint_count").desc(), F.col("review_theme").asc_nulls_last()], 1)
+    about = summary.select("derived_category").join(worst.select("derived_category", "review_theme"),
+                                                    "derived_category", "left")
+    by_category = evidence(fact, report_queries(about, "derived_category", "review_theme"), "derived_category", body=body)
+    by_product = evidence(fact, report_queries(products.select("asin").distinct(), "asin"), "asin", body=body)
+    return (category_report(summary, themes, complaints, trends, by_category),
+            product_report(products, lookup, summary, fact, by_product))
+
+
 def product_signals(reviews: DataFrame, as_of: str, recent_months_: int = 6) -> DataFrame:
     """The extended signal per product, from one pass over the reviews."""
     from ..functions.numeric import percent_of
@@ -341,7 +358,7 @@ def verify_claims(metadata: DataFrame, reviews: DataFrame, body: str = "review_t
     claims = text.claims(F.col("features_text"))
     meta = dedup_metadata(metadata).select("asin", claims.alias("_claims")).where(F.size("_claims") > 0)
     numbered = F.transform("_claims", lambda c, i: F.struct(
-        (i + 1).alias("claim_no"), F.substring(c, 1, 200).alias("claim"),
+        (i + 1).alias("claim_no"), c.alias("claim"),
         F.array_distinct(text.tokens(c, word_pattern)).alias("words")))
     packed = meta.select("asin", numbered.alias("_c"))
     words = F.array_distinct(text.tokens(F.col(body), word_pattern))

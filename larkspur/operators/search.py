@@ -237,10 +237,10 @@ def prefilter(reviews: DataFrame, asin=None, category: str | None = None, theme:
     return out
 
 
-def shape_results(hits: DataFrame, docs: DataFrame, lookup: DataFrame, chars: int = 500,
+def shape_results(hits: DataFrame, docs: DataFrame, lookup: DataFrame, chars: int | None = None,
                   doc_id: str = "review_id", body: str = "review_text") -> DataFrame:
-    """Ranked ids to readable rows: cut text, attributes, product name, brand."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), "asin", "rating", F.substring(body, 1, chars).alias("text"))
+    """Ranked ids to readable rows: text (cut only on request), attributes, names."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), "asin", "rating", text.head(F.col(body), chars).alias("text"))
     names = lookup.select("asin", "product_name", "brand")
     return stash(hits, "results").join(rows, "doc_id").join(names, "asin", "left")
 
@@ -260,14 +260,36 @@ def flatten_results(rows: DataFrame, column: str = "results") -> DataFrame:
                       F.col("scores.reranker_score"))
 
 
-def evidence(docs: DataFrame, queries: DataFrame, group: str, k: int, chars: int = 300,
+#: words that go with a polarity in a report's search, and quotes wanted
+EVIDENCE = {"negative": ("problems complaints disappointed", 4), "positive": ("great excellent love recommend best", 3)}
+
+
+def report_queries(groups: DataFrame, group: str, topic: str | None = None,
+                   wanted: dict[str, tuple[str, int]] | None = None) -> DataFrame:
+    """The searches behind a report, one per group and polarity: (group, polarity,
+    query, k).  The query is the group's name, for complaints its ``topic`` (by
+    default quality issues), and the words of the polarity."""
+    name = F.replace(F.col(group).cast("string"), F.lit("_"), F.lit(" "))
+    about = F.lit("quality issues") if topic is None else F.coalesce(
+        F.replace(F.col(topic), F.lit("_"), F.lit(" ")), F.lit("quality issues"))
+    rows = [F.struct(F.lit(polarity).alias("polarity"), F.concat_ws(
+        " ", name, about if polarity == "negative" else F.lit(None).cast("string"), F.lit(words)).alias("query"),
+        F.lit(k).alias("k")) for polarity, (words, k) in (wanted or EVIDENCE).items()]
+    return groups.select(group, F.inline(F.array(*rows)))
+
+
+def evidence(docs: DataFrame, queries: DataFrame, group: str, k: int | None = None, chars: int | None = None,
              doc_id: str = "review_id", body: str = "review_text") -> DataFrame:
-    """k quotes per (group, polarity) from documents of the same group.
-    ``queries`` holds (group, polarity, query)."""
+    """Quotes per (group, polarity) from documents of the same group.  ``queries``
+    holds (group, polarity, query) and, unless ``k`` is the same for all, k."""
+    if k is not None:
+        queries = queries.withColumn("k", F.lit(k))
     named = queries.withColumn("query_id", F.concat_ws("|", group, "polarity"))
-    keys = named.select("query_id", group, "polarity")
+    keys = named.select("query_id", group, "polarity", "k")
+    most = queries.agg(F.max("k")).first()[0] or 0
     terms = stash(query_terms(named, "query_id", "query").join(keys.select("query_id", group), "query_id"), "terms")
     hits, stats = scan_for(docs, terms, doc_id, body, keep=(group,))
-    best = stash(rank_hits(hits, stats, terms, k, on=("term", group), rank="evidence_rank"), "evidence")
-    quotes = docs.select(F.col(doc_id).alias("doc_id"), "rating", F.substring(body, 1, chars).alias("quote"))
-    return best.join(keys, "query_id").join(quotes, "doc_id").drop("query_id")
+    best = stash(rank_hits(hits, stats, terms, most, on=("term", group), rank="evidence_rank"), "evidence")
+    quotes = docs.select(F.col(doc_id).alias("doc_id"), "rating", text.head(F.col(body), chars).alias("quote"))
+    return (best.join(keys, "query_id").where(F.col("evidence_rank") <= F.col("k"))
+            .join(quotes, "doc_id").drop("query_id", "k"))

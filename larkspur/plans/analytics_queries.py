@@ -63,7 +63,7 @@ def _(spark, d):
 
 define("search_base", ["lookup", "products"], """SELECT l.asin, l.product_name, l.brand,
   CAST(l.price AS DOUBLE) AS price, l.derived_category, l.review_count, p.avg_rating, p.avg_sentiment,
-  p.negative_rate, p.top_theme, left(l.features_text, 300) AS features
+  p.negative_rate, p.top_theme, l.features_text AS features
   FROM lookup l LEFT JOIN products p ON l.asin = p.asin""")
 
 
@@ -163,7 +163,7 @@ def _(spark, d):
     return profiles.brand_categories(fx.metadata(spark, d), fx.lookup(spark, d, fact), fact)
 
 
-@query("d5_brand_top_products", sql("""SELECT * FROM (SELECT p.asin, left(m.title, 100) AS title, lower(m.brand) AS brand,
+@query("d5_brand_top_products", sql("""SELECT * FROM (SELECT p.asin, m.title AS title, lower(m.brand) AS brand,
   p.review_count, p.avg_rating, p.avg_sentiment, row_number() OVER (PARTITION BY m.brand
   ORDER BY p.review_count DESC, p.asin) AS product_rank FROM products p JOIN metadata m ON p.asin = m.asin)
   WHERE product_rank <= 5""", "products", "metadata"))
@@ -383,7 +383,7 @@ FROM (SELECT l.*, regexp_replace(regexp_replace(product_name, '^Brand\\s*-\\s*',
         CASE WHEN asin % 3 = 0 THEN 'Brand - Acme - ' || product_name ELSE 'Product Name: ' || product_name END AS product_name
         FROM lookup) l) c
 JOIN metadata m0 ON c.asin = m0.asin
-LEFT JOIN (SELECT * FROM metadata_dup WHERE NOT ends_with(title, '(old)') AND price < 950) m ON c.asin = m.asin""",
+LEFT JOIN (SELECT * FROM metadata_dup WHERE NOT ends_with(title, '(old)')) m ON c.asin = m.asin""",
                         "lookup", "metadata", "metadata_dup"))
 def _(spark, d):
     fact = fact_of(spark, d)
@@ -395,7 +395,7 @@ def _(spark, d):
     names = look.select("asin", F.concat(
         F.when(F.col("asin") % 3 == 0, F.lit("Brand - Acme - ")).otherwise(F.lit("Product Name: ")),
         "product_name").alias("raw_product_name"))
-    meta = fx.metadata(spark, d, duplicates=True).where("title NOT LIKE '%(old)' AND price < 950")
+    meta = fx.metadata(spark, d, duplicates=True).where("title NOT LIKE '%(old)'")
     return marts.product_lookup(cats, names, meta)
 
 

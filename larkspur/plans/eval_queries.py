@@ -99,7 +99,7 @@ MODELS = ["click", "error", "purchase", "signup", "view"]
 @query("v6_case_matrix", sql("SELECT question_id, expected_intent, " + ", ".join(
     f"max(CASE WHEN model = '{m}' THEN cell END) AS {m}" for m in MODELS) + """ FROM (
   SELECT *, 'I' || CASE WHEN intent_correct THEN '+' ELSE '-' END || ' D' || CASE WHEN data_correct THEN '+' ELSE '-' END || ' F'
-   || judge_factuality || ' C' || judge_citation || ' ' || array_to_string(tools_used[1:4], '/') AS cell,
+   || judge_factuality || ' C' || judge_citation || ' ' || array_to_string(tools_used, '/') AS cell,
    row_number() OVER (PARTITION BY question_id, model ORDER BY event_id) AS rn FROM prepared) WHERE rn = 1
   GROUP BY question_id, expected_intent""", "prepared"))
 def _(spark, d):
@@ -148,7 +148,7 @@ def _(spark, d):
     return ev.stratified_sample(r, "question_type", "event_id", 30)
 
 
-@query("a9_eval_rows", sql("""SELECT event_id, left(model, 64) AS actual_intent, array_to_string(tools_used, ',') AS tools_used
+@query("a9_eval_rows", sql("""SELECT event_id, model AS actual_intent, array_to_string(tools_used, ',') AS tools_used
   FROM runs WHERE model <> 'error'""", "runs"))
 def _(spark, d):
     from ..sources.sinks import shape_eval_rows

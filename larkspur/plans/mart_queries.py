@@ -167,12 +167,12 @@ def _(spark, d):
 
 
 @query("u4_value_overlap", sql("""SELECT b.brand, count(*) AS shared FROM (SELECT DISTINCT lower(p_brand) AS brand, p_type FROM part) b
-  JOIN (SELECT DISTINCT p_type FROM part WHERE p_size > 25) t ON b.p_type = t.p_type GROUP BY b.brand""", ))
+  JOIN (SELECT DISTINCT p_type FROM part) t ON b.p_type = t.p_type GROUP BY b.brand""", ))
 def _(spark, d):
     from ..operators.evalruns import value_overlap
     p = fx.table(spark, d, "part")
     left = p.select(F.lower("p_brand").alias("brand"), F.col("p_type").alias("value"))
-    return value_overlap(left, p.where("p_size > 25").select(F.col("p_type").alias("value")), "brand")
+    return value_overlap(left, p.select(F.col("p_type").alias("value")), "brand")
 
 
 # ----------------------------------------------------------------------- rules

@@ -84,12 +84,12 @@ def _(spark, d):
   ORDER BY score DESC, doc_id) AS rank FROM (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (rank + 60)), 8) AS score FROM (
    SELECT query_id, doc_id, rank FROM keyword WHERE rank <= 50
    UNION ALL SELECT query_id, doc_id, rank FROM (SELECT query_id, k.doc_id, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank
-     FROM (SELECT 'q' || (query_id + 1) AS query_id, vec_id, vec_id AS doc_id, similarity FROM sims WHERE query_id < 3) k) WHERE rank <= 50)
+     FROM (SELECT 'q' || (query_id + 1) AS query_id, vec_id, vec_id AS doc_id, similarity FROM sims) k) WHERE rank <= 50)
   GROUP BY query_id, doc_id)) WHERE rank <= 10""", "keyword", "sims"))
 def _(spark, d):
     words = search.keyword_search(fx.documents(spark, d), _asked(spark), 50)
     e = fx.table(spark, d, "embeddings")
-    near = search.cosine_topk(e, _queries(spark, d), 50, qid="label").where("query_id < 3").select(
+    near = search.cosine_topk(e, _queries(spark, d), 50, qid="label").select(
         F.concat(F.lit("q"), (F.col("query_id") + 1).cast("string")).alias("query_id"),
         F.col("vec_id").alias("doc_id"), "rank")
     return search.fuse(words, near, 10)
@@ -125,7 +125,7 @@ def _(spark, d):
                             verified_only=True, quality="high").select("review_id", "asin", "rating")
 
 
-@query("r4_shaped_results", sql("""SELECT k.query_id, k.rank, k.doc_id, k.score, d.asin, d.rating, left(d.review_text, 500) AS text, m.title AS product_name, m.brand
+@query("r4_shaped_results", sql("""SELECT k.query_id, k.rank, k.doc_id, k.score, d.asin, d.rating, d.review_text AS text, m.title AS product_name, m.brand
   FROM keyword k JOIN docs d ON k.doc_id = d.review_id LEFT JOIN metadata m ON d.asin = m.asin WHERE k.rank <= 5""", "keyword", "docs", "metadata"))
 def _(spark, d):
     docs = fx.documents(spark, d)
@@ -133,7 +133,7 @@ def _(spark, d):
     return search.shape_results(search.keyword_search(docs, _asked(spark), 5), docs, names)
 
 
-@query("r5_evidence", sql(f"""SELECT asin, polarity, score, evidence_rank, doc_id, d.rating, left(d.review_text, 300) AS quote FROM (
+@query("r5_evidence", sql(f"""SELECT asin, polarity, score, evidence_rank, doc_id, d.rating, d.review_text AS quote FROM (
   SELECT *, row_number() OVER (PARTITION BY asin, polarity ORDER BY score DESC, doc_id) AS evidence_rank FROM (
   SELECT p.asin, q.polarity, p.doc_id, {_BM25} AS score FROM (SELECT 'negative' AS polarity, unnest(['the', 'of', 'die']) AS term
     UNION ALL SELECT 'positive', unnest(['une', 'with', 'from'])) q JOIN postings p ON q.term = p.term JOIN dfs ON dfs.term = p.term, stats

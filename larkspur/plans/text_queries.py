@@ -48,7 +48,7 @@ def _(spark, d):
     return fx.table(spark, d, "pages").select("page_id", text.clean_basic(F.col("html")).alias("clean"))
 
 
-@query("b6_clean_full", f"""SELECT page_id, left(trim({chain("url || ' <br/> ' || html || ' [[ASIN:B01 x]] &#34; www.x.com  end'", vocab.FULL_CLEANING)}, ' '), 8000)
+@query("b6_clean_full", f"""SELECT page_id, trim({chain("url || ' <br/> ' || html || ' [[ASIN:B01 x]] &#34; www.x.com  end'", vocab.FULL_CLEANING)}, ' ')
   AS clean FROM pages""")
 def _(spark, d):
     raw = F.concat("url", F.lit(" <br/> "), "html", F.lit(" [[ASIN:B01 x]] &#34; www.x.com  end"))
@@ -61,7 +61,7 @@ def _(spark, d):
   LATERAL (SELECT unnest(['row_count', 'contains <br', 'contains [[ASIN', 'contains [[VIDEOID']) AS check_name,
     unnest([a, b, x, y]) AS value)""")
 def _(spark, d):
-    clean = fx.table(spark, d, "pages").select(text.clean_full(F.col("html"), 10_000_000).alias("clean"))
+    clean = fx.table(spark, d, "pages").select(text.clean_full(F.col("html")).alias("clean"))
     return quality.remnant_checks(clean, "clean")
 
 
@@ -191,6 +191,12 @@ def _(spark, d):
 
 # ------------------------------------------------------------------ enrichment
 
+define("parts", ["docs"], """SELECT review_id, i, l[i] AS s FROM (SELECT review_id, l, unnest(range(1, len(l) + 1)) AS i FROM (
+  SELECT review_id, list_filter(string_split(regexp_replace(regexp_replace(review_text, '^\\s+|\\s+$', '', 'g'),
+    '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS l FROM docs WHERE text_len > 500))""")
+define("each", ["parts"], "SELECT review_id, i, unnest(regexp_extract_all(lower(s), '[\\p{L}\\p{N}_]+')) AS w FROM parts")
+define("freq", ["each"], "SELECT review_id, w, count(*) AS n FROM each GROUP BY review_id, w")
+
 POS = ["the", "with", "this", "die", "une"]
 NEG = ["of", "from", "der", "les"]
 PROFILES = {"articles": ["the", "a", "an"], "places": ["in", "on", "at"], "verbs": ["is", "was", "are", "be"]}
@@ -218,7 +224,12 @@ def _(spark, d):
     return fx.documents(spark, d).select("review_id", enrich.theme(F.col("review_text"), PROFILES).alias("review_theme"))
 
 
-@query("e3_summary")
+@query("e3_summary", sql("""SELECT review_id, text_len, CASE WHEN text_len > 500 THEN (SELECT string_agg(s, ' ' ORDER BY i) FROM (
+    SELECT i, s, row_number() OVER (ORDER BY score DESC, i) AS best FROM (
+      SELECT t.i, any_value(t.s) AS s, coalesce(CAST(sum(f.n) AS DOUBLE) / count(f.n), 0) AS score
+      FROM parts t LEFT JOIN each e ON e.review_id = t.review_id AND e.i = t.i
+      LEFT JOIN freq f ON f.review_id = e.review_id AND f.w = e.w WHERE t.review_id = docs.review_id GROUP BY t.i)) WHERE best <= 3)
+  ELSE review_text END AS review_summary FROM docs""", "docs", "parts", "each", "freq"))
 def _(spark, d):
     return enrich.with_summary(fx.documents(spark, d), "review_text").select("review_id", "text_len", "review_summary")
 
@@ -227,7 +238,7 @@ def _(spark, d):
   WHEN b >= c THEN 'places' ELSE 'verbs' END AS derived_category,
   CASE WHEN review_count >= 50 THEN 'high' WHEN review_count >= 10 THEN 'medium' ELSE 'low' END AS derivation_confidence
   FROM (SELECT *, {_count(PROFILES['articles'])} AS a, {_count(PROFILES['places'])} AS b, {_count(PROFILES['verbs'])} AS c
-  FROM (SELECT asin, n AS review_count, list_filter(string_split_regex(lower(left(string_agg(review_text, ' | ' ORDER BY rn), 2000)), '[^a-z]+'), lambda x: x <> '') AS w
+  FROM (SELECT asin, n AS review_count, list_filter(string_split_regex(lower(string_agg(review_text, ' | ' ORDER BY rn)), '[^a-z]+'), lambda x: x <> '') AS w
   FROM longest WHERE rn <= 3 AND n >= 3 GROUP BY asin, n))""", "longest"))
 def _(spark, d):
     return enrich.product_categories(
@@ -235,7 +246,7 @@ def _(spark, d):
         lambda c: enrich.label_by_words(c, PROFILES, vocab.FALLBACK_CATEGORY))
 
 
-@query("e5_name_samples", sql("""SELECT asin, string_agg(left(lang || '. ' || review_text, 200), ' | ' ORDER BY rn) AS sample_text
+@query("e5_name_samples", sql("""SELECT asin, string_agg(lang || '. ' || review_text, ' | ' ORDER BY rn) AS sample_text
   FROM longest WHERE rn <= 5 AND n >= 20 GROUP BY asin""", "longest"))
 def _(spark, d):
     return enrich.product_name_samples(fx.documents(spark, d), title="lang")
@@ -269,7 +280,7 @@ def _(spark, d):
 # --------------------------------------------------------------- claims, D4
 
 @query("b25_claims", sql("""SELECT asin, claim_no, claim FROM (SELECT asin, unnest(c) AS claim, generate_subscripts(c, 1) AS claim_no FROM (
-  SELECT asin, list_filter(list_transform(string_split(features_text, '|'), lambda x: trim(x)), lambda x: length(x) > 10)[1:5] AS c FROM metadata))""", "metadata"))
+  SELECT asin, list_filter(list_transform(string_split(features_text, '|'), lambda x: trim(x)), lambda x: length(x) > 10) AS c FROM metadata))""", "metadata"))
 def _(spark, d):
     m = fx.metadata(spark, d).select("asin", F.posexplode(text.claims(F.col("features_text"))).alias("pos", "claim"))
     return m.select("asin", (F.col("pos") + 1).alias("claim_no"), "claim")
@@ -371,7 +382,7 @@ PATTERNS = {"title": r"(?s)<title>(.*?)</title>", "brand": r'<html lang="(\w+)"'
 
 
 @query("a10_page_fields", f"""SELECT page_id, title, brand, '$' || whole || '.' || coalesce(frac, '00') AS price,
-  array_to_string(list_filter(f, lambda x: length(x) > 10)[1:10], ',') AS features, array_to_string(list_filter(c, lambda x: x <> ''), ',') AS category
+  array_to_string(list_filter(f, lambda x: length(x) > 10), ',') AS features, array_to_string(list_filter(c, lambda x: x <> ''), ',') AS category
   FROM (SELECT page_id, nullif(trim(regexp_extract(html, {lit(PATTERNS['title'])}, 1)), '') AS title,
    nullif(trim(regexp_extract(html, {lit(PATTERNS['brand'])}, 1)), '') AS brand,
    nullif(regexp_extract(html, {lit(PATTERNS['price_whole'])}, 1), '') AS whole, nullif(regexp_extract(html, {lit(PATTERNS['price_fraction'])}, 1), '') AS frac,

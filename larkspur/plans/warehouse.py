@@ -63,8 +63,8 @@ def refresh_states(spark: SparkSession, out: str, full_refresh: bool = False) ->
     rows = spark.createDataFrame([("run", f) for f in fresh + late], "grain string, counted_run string")
     if parts:
         delta = reduce(DataFrame.unionByName, parts)
-        for grain, keys in marts.STATES.items():
-            rows = rows.unionByName(marts.group_state(delta, keys, "_sign").withColumn("grain", F.lit(grain)),
+        for grain, (keys, measures) in marts.STATES.items():
+            rows = rows.unionByName(marts.group_state(delta, keys, measures, "_sign").withColumn("grain", F.lit(grain)),
                                     allowMissingColumns=True)
     if done is None:
         runs.replace(rows, table, ["grain"])
@@ -74,8 +74,8 @@ def refresh_states(spark: SparkSession, out: str, full_refresh: bool = False) ->
 
 
 def _merged(states: DataFrame) -> dict[str, DataFrame]:
-    return {grain: marts.merge_states(states.where(F.col("grain") == grain), keys)
-            for grain, keys in marts.STATES.items()}
+    return {grain: marts.merge_states(states.where(F.col("grain") == grain), keys, measures)
+            for grain, (keys, measures) in marts.STATES.items()}
 
 
 def build(landing: DataFrame, metadata: DataFrame, out: str, as_of: str, previous: DataFrame | None = None,

@@ -11,6 +11,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..operators.dedup import keep_first
 
 
@@ -67,19 +68,18 @@ def materialise(df: DataFrame, path: str | None = None, view: str | None = None,
     return df
 
 
-EVAL_TEXT_LIMITS = {"question_text": 2000, "actual_intent": 64, "judge_reasoning": 2000,
-                    "answer_preview": 2000, "match_detail": 500}
+EVAL_TEXTS = ("question_text", "actual_intent", "judge_reasoning", "answer_preview", "match_detail")
 
 
-def shape_eval_rows(rows: DataFrame) -> DataFrame:
-    """Evaluation rows as stored: tools parsed to an array, free text cut to
-    its column size, failed calls left out."""
+def shape_eval_rows(rows: DataFrame, sizes: dict[str, int] | None = None) -> DataFrame:
+    """Evaluation rows as stored: tools parsed to an array, missing texts empty,
+    failed calls left out.  ``sizes`` cuts texts for a target with column sizes."""
     out = rows.where(F.col("api_error").isNull()) if "api_error" in rows.columns else rows
     if dict(out.dtypes).get("tools_used") == "string":
         out = out.withColumn("tools_used", F.from_json("tools_used", "array<string>"))
-    for name, size in EVAL_TEXT_LIMITS.items():
+    for name in EVAL_TEXTS:
         if name in out.columns:
-            out = out.withColumn(name, F.substring(F.coalesce(F.col(name), F.lit("")), 1, size))
+            out = out.withColumn(name, text.head(F.coalesce(F.col(name), F.lit("")), (sizes or {}).get(name)))
     return out.drop("api_error")
 
 

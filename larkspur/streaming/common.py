@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,28 +18,57 @@ def stream_files(spark: SparkSession, folder: str, schema, fmt: str = "parquet",
     return reader.load(folder)
 
 
+KEY_BUCKETS = 256
+
+
+def exists(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def earlier(spark: SparkSession, target: str, batch_id: int) -> DataFrame | None:
     """What batches before this one wrote; None before the first."""
-    try:
-        table = spark.read.parquet(target)
-    except AnalysisException:
+    if not exists(spark, target):
         return None
-    return table.where(F.col("batch_id") < batch_id)
+    return spark.read.parquet(target).where(F.col("batch_id") < batch_id)
+
 
+def _key_bucket(key: str):
+    return F.pmod(F.xxhash64(key), F.lit(KEY_BUCKETS)).cast("int")
 
-def unseen(batch: DataFrame, known: DataFrame | None, key: str) -> DataFrame:
-    """Batch rows whose key is not known yet.  The known keys, which only grow,
-    are first met with the batch's own: its stored key list is small, so that
-    pass is a broadcast over the known table instead of a shuffle of it."""
+
+def known_keys(batch: DataFrame, target: str, batch_id: int, key: str) -> DataFrame | None:
+    """Keys of earlier batches from the key ledger beside the table; only the hash
+    buckets that keys of this batch fall in are read."""
+    spark = batch.sparkSession
+    if not exists(spark, f"{target}/_keys"):  # a table from before there was a ledger
+        older = earlier(spark, target, batch_id)
+        return None if older is None else older.select(key)
+    buckets = [r[0] for r in batch.select(_key_bucket(key)).distinct().collect()]  # at most KEY_BUCKETS
+    return (spark.read.parquet(f"{target}/_keys")
+            .where((F.col("batch_id") < batch_id) & F.col("bucket").isin(buckets)).select(key))
+
+
+def unseen(batch: DataFrame, target: str, batch_id: int, key: str) -> DataFrame:
+    """Batch rows whose key no earlier batch brought.  The ledger's keys are first met
+    with the batch's own: its stored key list is small, so that pass is a broadcast
+    over the opened buckets instead of a shuffle of them."""
+    mine = stash(batch.select(key).where(F.col(key).isNotNull()).distinct(), "keys")
+    known = known_keys(mine, target, batch_id, key)
     if known is None:
         return batch
-    mine = stash(batch.select(key).where(F.col(key).isNotNull()).distinct(), "keys")
-    return batch.join(known.select(key).join(mine, key, "left_semi"), key, "left_anti")
+    return batch.join(known.join(mine, key, "left_semi"), key, "left_anti")
 
 
-def write_batch(df: DataFrame, target: str, batch_id: int) -> None:
-    """A batch owns one folder: repeating it overwrites its own rows only."""
-    df.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+def write_batch(df: DataFrame, target: str, batch_id: int, key: str | None = None) -> None:
+    """A batch owns one folder: repeating it overwrites its own rows only.  With
+    ``key`` its keys go to the ledger, after the rows."""
+    folder = f"{target}/batch_id={batch_id}"
+    df.write.mode("overwrite").parquet(folder)
+    if key is not None:
+        written = df.sparkSession.read.parquet(folder).select(key).where(F.col(key).isNotNull())
+        (written.withColumn("bucket", _key_bucket(key)).repartition("bucket").write.mode("overwrite")
+         .partitionBy("bucket").parquet(f"{target}/_keys/batch_id={batch_id}"))
 
 
 def run_available(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str) -> None:

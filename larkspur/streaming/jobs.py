@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import alerts, inverted
+from ..operators.dedup import keep_first
 from ..sources.sinks import new_rows
 from .common import earlier, run_available, stream_files, unseen, write_batch
 
@@ -14,8 +15,8 @@ def ingest_reviews(spark: SparkSession, source: str, schema, target: str, checkp
                    order: list[Column], key: str = "review_id", fmt: str = "parquet") -> None:
     """New files to the target, first arrival of a key wins, never an update."""
     def handle(batch: DataFrame, batch_id: int) -> None:
-        fresh = unseen(batch, earlier(batch.sparkSession, target, batch_id), key)
-        write_batch(new_rows(fresh, None, key, order), target, batch_id)
+        fresh = unseen(batch, target, batch_id, key)
+        write_batch(new_rows(fresh, None, key, order), target, batch_id, key)
 
     run_available(stream_files(spark, source, schema, fmt), handle, checkpoint)
 
@@ -24,7 +25,9 @@ def log_anomalies(spark: SparkSession, source: str, schema, log: str, checkpoint
     """Anomaly rows appended to ``source`` become alerts once: rows already
     there count as new on the first run, and a repeated anomaly keeps its id."""
     def handle(batch: DataFrame, batch_id: int) -> None:
-        found = alerts.from_anomalies(batch).withColumn("alert_id", alerts.alert_id()).dropDuplicates(["alert_id"])
+        rows = alerts.from_anomalies(batch).withColumn("alert_id", alerts.alert_id())
+        # of rows with one id the first in the order of all columns, not just any
+        found = keep_first(rows, ["alert_id"], [F.col(c) for c in rows.columns])
         write_batch(alerts.add_alerts(earlier(batch.sparkSession, log, batch_id), found), log, batch_id)
 
     run_available(stream_files(spark, source, schema), handle, checkpoint)

@@ -66,7 +66,6 @@ FULL_CLEANING = [
     (r"\[\[VIDEOID:[^\]]*\]\]", ""), (r"\[\[ASIN:[^\]]*\]\]", ""),
     (r"https?://\S+", ""), (r"www\.\S+", ""), (r"\s{2,}", " "),
 ]
-FULL_CLEANING_MAX = 8000
 REMNANTS = ["<br", "[[ASIN", "[[VIDEOID"]
 
 INJECTION_PATTERNS = [

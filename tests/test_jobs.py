@@ -7,7 +7,7 @@ from larkspur.operators import marts, monitor, quality
 from larkspur.plans import metrics, warehouse
 from larkspur.sources import fixtures as fx
 from larkspur.sources import landing, runs, sinks
-from larkspur.streaming import jobs
+from larkspur.streaming import common, jobs
 from pyspark.sql import functions as F
 
 
@@ -117,11 +117,11 @@ def test_runs_add_up_to_a_rebuild_even_after_a_crash(spark, built, tmp_path, mon
 def test_marts_do_not_read_the_fact_table_again(spark, tmp_path):
     out = str(tmp_path)
     fact = fx.reviews(spark, "/root/testdata/sf0.001")
-    state = marts.group_state(fact, marts.THEME_KEYS)
-    half = [marts.group_state(fact.where(F.col("supplier") % 2 == i), marts.THEME_KEYS) for i in (0, 1)]
+    state = marts.group_state(fact, *marts.STATES["theme"])
+    half = [marts.group_state(fact.where(F.col("supplier") % 2 == i), *marts.STATES["theme"]) for i in (0, 1)]
     for s in half:
         runs.append(s, f"{out}/theme")
-    merged = marts.merge_states(runs.read(spark, f"{out}/theme"), marts.THEME_KEYS)
+    merged = marts.merge_states(runs.read(spark, f"{out}/theme"), *marts.STATES["theme"])
     assert _rows(marts.themes_from_state(merged)) == _rows(marts.themes_from_state(state))
     assert _rows(marts.complaints_from_state(merged)) == _rows(marts.complaint_analysis(fact))
     assert "lineitem" not in plan(marts.themes_from_state(merged))
@@ -220,6 +220,22 @@ def test_ingest_is_first_arrival_and_replay_safe(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out2")).count() == 3
 
 
+def test_key_ledger_is_pruned_to_the_batch(spark, tmp_path):
+    target = str(tmp_path / "t")
+    rows = spark.range(2000).select(F.concat(F.lit("r"), "id").alias("review_id"))
+    common.write_batch(rows, target, 0, "review_id")
+    batch = spark.createDataFrame([("r5",), ("r5",), ("new",), (None,)], "review_id string")
+    known = common.known_keys(batch, target, 1, "review_id")
+    assert 0 < known.count() < 100 and "bucket" in plan(known).split("PartitionFilters")[1][:200]
+    assert sorted(r.review_id or "" for r in common.unseen(batch, target, 1, "review_id").collect()) == ["", "new"]
+    # the batch's own earlier attempt does not count as known
+    assert common.unseen(batch, target, 0, "review_id").count() == 4
+    old = str(tmp_path / "old")
+    common.write_batch(rows, old, 0)
+    assert sorted(r.review_id or "" for r in common.unseen(batch, old, 1, "review_id").collect()) == ["", "new"]
+    assert common.unseen(batch, str(tmp_path / "none"), 0, "review_id").count() == 4
+
+
 def test_alert_stream_logs_once(spark, tmp_path):
     src, log, check = (str(tmp_path / n) for n in ("in", "log", "check"))
     ddl = ", ".join(f"{n} {k}" for n, k in monitor.ANOMALY_COLUMNS.items())

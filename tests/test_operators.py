@@ -213,6 +213,20 @@ def test_nearest_rank_brute_force(spark):
             assert got[k, p] == vals[min(int(len(vals) * p / 100), len(vals) - 1)]
 
 
+@pytest.mark.parametrize("scale", [1.0, 1e-9, 1e9])
+def test_nearest_rank_in_rounds(spark, scale):
+    """All values inside one unit, far apart, or mostly equal: a few splitters a round
+    narrow them down, and the last sort sees at most ``part`` values."""
+    rnd = random.Random(6)
+    data = [(k, 5 + scale * round(rnd.random() ** 3, 3)) for k in "ab" for _ in range(1500)] + [("c", 2.0)] * 900 + [(None, 1.0)]
+    df = spark.createDataFrame(data, "k string, v double")
+    got = {(r.k, r.percent): r.value for r in evalruns.nearest_rank(df, ["k"], "v", [0, 50, 99, 100], part=20, fan=4).collect()}
+    for k in "abc":
+        vals = sorted(v for g, v in data if g == k)
+        for p in (0, 50, 99, 100):
+            assert got[k, p] == vals[min(int(len(vals) * p / 100), len(vals) - 1)]
+
+
 def brute_sample(items, n):
     if n >= len(items):
         return list(items)
@@ -324,6 +338,29 @@ def test_keyword_search_scans_once(spark, tmp_path):
     assert stats.first()["docs"] == 50 and hits.count() > 0
 
 
+def test_reports_carry_quotes(spark):
+    """Four complaints and three praises at most, from the group's own reviews, whole."""
+    said = {"speakers": ["sound problems with these speakers", "bad sound, disappointed", "great and excellent", "love them",
+                         "best ever, recommend", "great love", "sound", "complaints about sound " + "x" * 600, "problems sound"],
+            "cables": ["nothing to report", "great cable"]}
+    data = [(f"{c}{i}", c, "p" + c, i % 5 + 1, t, "sound_quality", "high", "0.5", True, 1, datetime(2020, 1, 1 + i))
+            for c, ts in said.items() for i, t in enumerate(ts)]
+    fact = spark.createDataFrame(data, "review_id string, derived_category string, asin string, rating int, review_text string, "
+                                       "review_theme string, review_quality string, s string, verified_purchase boolean, "
+                                       "helpful_vote int, review_ts timestamp_ntz").withColumn("sentiment_score", F.col("s").cast("decimal(8,4)"))
+    lookup = fact.select("asin", F.lit("Acme").alias("brand"), F.lit("Thing").alias("product_name")).distinct()
+    by_category, by_product = profiles.reports_with_evidence(
+        marts.category_summary(fact), marts.theme_category(fact, 1), marts.complaint_analysis(fact, 1),
+        marts.monthly_trends(fact, 1), marts.product_summary(fact, 1), lookup, fact)
+    for df, key in ((by_category, "derived_category"), (by_product, "asin")):
+        got = {r[key].lstrip("p"): [(e["polarity"], e["quote"]) for e in r.evidence or []] for r in df.collect()}
+        for c, quotes in got.items():
+            assert {q for _, q in quotes} <= set(said[c])
+            assert sum(p == "negative" for p, _ in quotes) <= 4 and sum(p == "positive" for p, _ in quotes) <= 3
+        assert [p for p, _ in got["speakers"]].count("negative") == 4 and len(got["speakers"]) == 7
+        assert [q for p, q in got["cables"] if p == "positive"] == ["great cable"]
+
+
 def test_prefilter_honours_every_bound(spark):
     df = spark.range(1, 6).select(F.col("id").alias("rating"), F.lit(True).alias("verified_purchase"))
     assert [r.rating for r in search.prefilter(df, min_rating=2, max_rating=3, verified_only=True).collect()] == [2, 3]

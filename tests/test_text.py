@@ -1,3 +1,6 @@
+from collections import Counter
+import re
+import random
 from datetime import datetime
 
 import pytest
@@ -114,13 +117,34 @@ def test_sentiment_and_theme(spark):
     assert one(spark, None, enrich.theme) == "other"
 
 
+def brute_summary(body, keep=3):
+    parts = [p for p in re.split(r"(?<=[.!?])[ \t\n\r\f\v]+", body.strip(" \t\n\r\f\v")) if p]
+    if len(parts) <= keep:
+        return " ".join(parts)
+    words = [re.findall(r"\w+", p.lower()) for p in parts]
+    often = Counter(w for ws in words for w in ws)
+    score = [sum(often[w] for w in ws) / len(ws) if ws else 0.0 for ws in words]
+    best = sorted(range(len(parts)), key=lambda i: (-score[i], i))[:keep]
+    return " ".join(parts[i] for i in sorted(best))
+
+
 def test_summary_only_for_long_text(spark):
     body = "Alpha beta gamma. Beta beta alpha. Zeta omega. Alpha alpha beta gamma beta."
-    assert enrich.pick_sentences(body, 2) == "Beta beta alpha. Alpha alpha beta gamma beta."
-    df = spark.createDataFrame([(1, "short. text. a. b.", 20), (2, body, 501), (3, "no length. x", None)], "id int, t string, text_len int")
+    df = spark.createDataFrame([(1, "short. text. a. b.", 20), (2, body, 501), (3, "no length. x", None), (4, None, 900)],
+                               "id int, t string, text_len int")
     got = {r.id: r.review_summary for r in enrich.with_summary(df, "t").collect()}
-    assert got[1] == "short. text. a. b." and got[3] == "no length. x"
-    assert got[2] == enrich.pick_sentences(body)
+    assert got == {1: "short. text. a. b.", 2: brute_summary(body), 3: "no length. x", 4: None}
+
+
+def test_summary_equals_brute_force(spark):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(["red ", "Red ", "é ", "a_1 ", "x", "!", ". ", "?\n", ".", "  ", "漢字 "]) for _ in range(rng.randint(0, 120)))
+             for _ in range(150)]
+    df = spark.createDataFrame([(i, t, 501) for i, t in enumerate(texts)], "id int, t string, text_len int")
+    out = enrich.with_summary(df, "t")
+    assert {r.id: r.review_summary for r in out.collect()} == {i: brute_summary(t) for i, t in enumerate(texts)}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan.replace("PythonRDD", "") and plan.count("Scan") == 1
 
 
 def test_page_fields(spark):
