@@ -28,6 +28,30 @@ define("theme_rows", ["reviews"], f"""SELECT asin, review_theme, count(*) AS rev
   count(*) FILTER (WHERE rating <= 2) AS negative_count FROM reviews GROUP BY asin, review_theme""")
 
 
+def _lines(columns: list[str], order: str) -> str:
+    """SQL for the rows of a group as text: fields by colons, numbers as ten-thousandths."""
+    fields = ", ".join(f"CAST({c} AS VARCHAR)" if c in TEXTS else f"CAST(round({c} * 10000) AS BIGINT)" for c in columns)
+    return f"string_agg(concat_ws(':', {fields}), ';' ORDER BY {order})"
+
+
+TEXTS = ("review_theme", "review_month")
+THEME_FIELDS = ["review_theme", "review_count", "avg_sentiment", "avg_rating", "negative_count"]
+REPORT_THEME_FIELDS = ["review_theme", "review_count", "avg_sentiment", "negative_count"]
+DETAIL_FIELDS = {
+    "themes": ["review_theme", "review_count", "avg_rating", "avg_sentiment", "negative_rate"],
+    "complaints": ["review_theme", "complaint_count", "avg_sentiment", "avg_helpful_votes",
+                   "high_quality_complaints", "high_quality_rate"],
+    "months": ["review_month", "review_count", "avg_rating", "avg_sentiment", "negative_rate"]}
+
+
+def as_lines(column: str, fields: list[str]):
+    """An array of structs in the text form of ``_lines``."""
+    def line(x):
+        return F.concat_ws(":", *[x[f].cast("string") if f in TEXTS else F.round(x[f] * 10000).cast("bigint").cast("string")
+                                  for f in fields])
+    return F.array_join(F.transform(column, line), ";")
+
+
 @query("d1_product_profile", sql(f"""
 SELECT l.asin, l.derived_category, l.review_count, l.derivation_confidence, l.brand, l.product_name,
   p.avg_rating, p.avg_sentiment, p.negative_rate, p.top_theme,
@@ -35,15 +59,15 @@ SELECT l.asin, l.derived_category, l.review_count, l.derivation_confidence, l.br
   s.negative_rate AS category_avg_negative_rate,
   {rnd('p.avg_rating - s.avg_rating', 2)} AS rating_vs_category,
   {rnd('p.avg_sentiment - s.avg_sentiment', 4)} AS sentiment_vs_category,
-  t.themes, t.first_theme
+  t.themes
 FROM lookup l LEFT JOIN products p ON l.asin = p.asin LEFT JOIN summary s ON l.derived_category = s.derived_category
-LEFT JOIN (SELECT asin, count(*) AS themes, arg_min(review_theme, (-review_count, review_theme)) AS first_theme
+LEFT JOIN (SELECT asin, {_lines(THEME_FIELDS, "review_count DESC, review_theme")} AS themes
   FROM theme_rows GROUP BY asin) t ON l.asin = t.asin""", "lookup", "products", "summary", "theme_rows"))
 def _(spark, d):
     fact = fact_of(spark, d)
     p = profiles.product_profile(fx.lookup(spark, d, fact), marts.product_summary(fact),
                                  marts.category_summary(fact), fact)
-    return p.withColumn("first_theme", F.col("themes")[0]["review_theme"]).withColumn("themes", F.size("themes"))
+    return p.withColumn("themes", as_lines("themes", THEME_FIELDS))
 
 
 @query("g9_theme_breakdown", sql("SELECT * FROM theme_rows", "theme_rows"))
@@ -258,12 +282,13 @@ define("recent6", ["trends"], """SELECT * FROM (SELECT *, row_number() OVER (PAR
 
 
 def _detail(months: str) -> str:
-    return f"""SELECT s.*, t.themes, t.first_theme, c.complaints, c.top_complaint, m.months, m.first_month FROM summary s
-  LEFT JOIN (SELECT derived_category, count(*) AS themes, arg_min(review_theme, (-review_count, review_theme)) AS first_theme
+    f = DETAIL_FIELDS
+    return f"""SELECT s.*, t.themes, c.complaints, m.months FROM summary s
+  LEFT JOIN (SELECT derived_category, {_lines(f["themes"], "review_count DESC, review_theme")} AS themes
     FROM themes GROUP BY 1) t USING (derived_category)
-  LEFT JOIN (SELECT derived_category, count(*) AS complaints, arg_min(review_theme, (-complaint_count, review_theme)) AS top_complaint
+  LEFT JOIN (SELECT derived_category, {_lines(f["complaints"], "complaint_count DESC, review_theme")} AS complaints
     FROM complaints GROUP BY 1) c USING (derived_category)
-  LEFT JOIN (SELECT derived_category, count(*) AS months, CAST(min(review_month) AS VARCHAR) AS first_month
+  LEFT JOIN (SELECT derived_category, {_lines(f["months"], "review_month")} AS months
     FROM {months} GROUP BY 1) m USING (derived_category)"""
 
 
@@ -272,14 +297,13 @@ define("detail_recent", ["summary", "themes", "complaints", "recent6"], _detail(
 
 
 def _shrink(df: DataFrame) -> DataFrame:
-    return (df.withColumn("first_theme", F.col("themes")[0]["review_theme"])
-            .withColumn("top_complaint", F.col("complaints")[0]["review_theme"])
-            .withColumn("first_month", F.col("months")[0]["review_month"])
-            .withColumns({c: F.size(c) for c in ("themes", "complaints", "months")}))
+    return df.withColumns({c: as_lines(c, fields) for c, fields in DETAIL_FIELDS.items()})
 
 
 @query("d10_category_report", sql(f"""SELECT d.*, o.*, {_SIGNAL.format(r='avg_rating', n='negative_rate')} AS signal,
-  {rnd('avg_rating - overall_rating', 2)} AS rating_vs_overall FROM detail_recent d, overall o""", "detail_recent", "overall"))
+  (SELECT arg_min(review_theme, (-complaint_count, review_theme)) FROM complaints c
+   WHERE c.derived_category = d.derived_category) AS top_complaint,
+  {rnd('avg_rating - overall_rating', 2)} AS rating_vs_overall FROM detail_recent d, overall o""", "detail_recent", "overall", "complaints"))
 def _(spark, d):
     fact = fact_of(spark, d)
     s = stash(marts.category_summary(fact), "summary")
@@ -299,13 +323,14 @@ def _(spark, d):
   {_SIGNAL.format(r='p.avg_rating', n='p.negative_rate')} AS signal, s.avg_rating AS category_avg_rating,
   s.avg_sentiment AS category_avg_sentiment, s.negative_rate AS category_negative_rate, t.themes
   FROM products p LEFT JOIN lookup l ON p.asin = l.asin LEFT JOIN summary s ON p.derived_category = s.derived_category
-  LEFT JOIN (SELECT asin, count(*) AS themes FROM theme_rows GROUP BY asin) t ON p.asin = t.asin""",
+  LEFT JOIN (SELECT asin, {_lines(REPORT_THEME_FIELDS, "review_count DESC, review_theme")} AS themes
+    FROM theme_rows GROUP BY asin) t ON p.asin = t.asin""",
                            "products", "lookup", "summary", "theme_rows"))
 def _(spark, d):
     fact = fact_of(spark, d)
     r = profiles.product_report(marts.product_summary(fact), fx.lookup(spark, d, fact),
                                 marts.category_summary(fact), fact)
-    return r.withColumn("themes", F.size("themes"))
+    return r.withColumn("themes", as_lines("themes", REPORT_THEME_FIELDS))
 
 
 @query("d13_category_list", sql("""SELECT derived_category, review_count, avg_rating, avg_sentiment, negative_rate
