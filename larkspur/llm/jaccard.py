@@ -11,8 +11,9 @@ A document is its set of distinct word shingles.  Two documents link when
    among the first ``n - ceil(n * threshold) + 1`` of both (the prefix).  Classes
    with identical prefix and size form one group; tokens of groups are joined.
 3. Star rounds: per token one leader is compared with the other classes of the
-   bucket, so a family of near copies costs rows in proportion to its size.
-   Found links merge components.
+   bucket, so a family of near copies costs rows in proportion to its size.  The
+   first leader is the class with the fewest tokens of its own: the text that the
+   others are changed copies of.  Found links merge components.
 4. What is left: group pairs that share a token, may link by size and by the
    token's positions, and are not wholly in one component, are expanded to their
    members and verified.  Pairs inside one component need no check, as they
@@ -140,13 +141,15 @@ def shared_tokens(sets: DataFrame) -> DataFrame:
             size = batch.column(1).to_numpy()
             group = W.mix(group.view(W.U) + size.astype(W.U)).view(np.int64)
             keep = in_bitmap(bits.value, t)
+            shared = (np.bincount(row[keep], minlength=len(count)) / np.maximum(count, 1)).astype(np.float32)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(x) for x in (t[keep], batch.column(0).to_numpy()[row[keep]],
                                        size[row[keep]], pos[keep].astype(np.int32),
-                                       group[row[keep]])], ["t", "gid", "n", "pos", "pg"])
+                                       group[row[keep]], shared[row[keep]])],
+                ["t", "gid", "n", "pos", "pg", "shared"])
 
     return (sets.where("n > 0").select("gid", "n", "prefix")
-            .mapInArrow(emit, "t long, gid long, n int, pos int, pg long").distinct())
+            .mapInArrow(emit, "t long, gid long, n int, pos int, pg long, shared float").distinct())
 
 
 def sets_of(docs: DataFrame, k: int, wanted: np.ndarray) -> DataFrame:
@@ -223,7 +226,10 @@ def links(docs: DataFrame, tokens: DataFrame, k: int, threshold: int) -> DataFra
 
 
 def _stars(rows: DataFrame, number: int, threshold: int) -> DataFrame:
-    order = F.struct(F.xxhash64("gid", F.lit(number)).alias("o"), "gid", "n", "c")
+    # first the class with the largest share of shared tokens: copies have tokens of
+    # their own where they were changed, the text they were made from has none
+    first = -F.col("shared") if number == 0 else F.lit(0)
+    order = F.struct(first.alias("s"), F.xxhash64("gid", F.lit(number)).alias("o"), "gid", "n", "c")
     lead = (rows.groupBy("t").agg(F.min(order).alias("l"), F.min("c").alias("lo"),
                                   F.max("c").alias("hi")).where("lo <> hi").select("t", "l"))
     return (rows.join(lead, "t").where("c <> l.c").where(_sizes_fit("n", "l.n", threshold))
