@@ -149,7 +149,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", fit_rows: in
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
     chosen = train.withColumn("draw", draw).where(
         F.col("draw") < F.when(F.col("y") == 1, drawn[1]).otherwise(drawn[0]))
-    labelled = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # stored: the scan of all documents and the Python workers are stages of their own
+    labelled = stash(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "labelled")
     rows = stash(_training_rows(labelled, shares), "nbsvm")
     sums = (rows.where("counts is not null")
             .select("y", F.explode(F.arrays_zip("cells", "counts")).alias("z"))
