@@ -4,7 +4,6 @@ before kept, written as Parquet and read again."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from larkspur.llm import bpe, decontaminate, jaccard, quality, secret_scan
 from larkspur.llm.common import stash, table
@@ -20,9 +19,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     and one of repeated rows.  Documents without doc_id or without words stay."""
     found = jaccard.jaccard_components(docs, k=5, threshold=80)
     first = found.where("doc_id = component_id").select("doc_id").distinct()
-    text = F.xxhash64("text")
-    return (docs.join(first, "doc_id", "left_semi").withColumn("_same", text)
-            .dropDuplicates(["doc_id", "_same"]).drop("_same")
+    return (docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
             .unionByName(docs.where("doc_id is null")).select(*docs.columns))
 
 
