@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.numeric import mean_of
-from ..operators import inverted, marts, search
+from ..operators import inverted, marts, search, vector_index
 from ..session import new_path, stash
 from ..sources import fixtures as fx
 from .registry import define, query, sql
@@ -34,6 +34,14 @@ def _(spark, d):
     return search.cosine_topk(fx.table(spark, d, "embeddings"), _queries(spark, d), 5, qid="label")
 
 
+@query("r1_clustered_topk", sql("""SELECT query_id, vec_id, similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id
+  ORDER BY similarity DESC, vec_id) AS rank FROM sims) WHERE rank <= 5""", "sims"))
+def _(spark, d):
+    path = new_path(spark, "vectors")
+    vector_index.build(fx.table(spark, d, "embeddings"), path)
+    return vector_index.nearest(spark, path, _queries(spark, d), 5, qid="label")[0]
+
+
 @query("r1_label_agreement", sql("""SELECT query_id, CAST(count(*) FILTER (WHERE same_label) AS BIGINT) AS agreeing FROM (SELECT *, row_number() OVER (
   PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM sims) WHERE rank <= 10 GROUP BY query_id""", "sims"))
 def _(spark, d):

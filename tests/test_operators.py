@@ -5,7 +5,7 @@ from datetime import date, datetime
 
 import numpy as np
 import pytest
-from larkspur.operators import alerts, dedup, evalruns, inverted, marts, monitor, phrases, profiles, quality, search, skew, turns
+from larkspur.operators import alerts, dedup, evalruns, inverted, marts, monitor, phrases, profiles, quality, search, skew, turns, vector_index
 from larkspur.session import stash
 from larkspur.sources import runs, sinks
 from pyspark.sql import functions as F
@@ -287,6 +287,24 @@ def test_bm25_matches_formula(spark):
     assert got[0][1] == pytest.approx(w(2, 2, 4) + w(1, 1, 4), abs=2e-6) and got[1][1] == pytest.approx(w(2, 1, 2), abs=2e-6)
 
 
+@pytest.mark.parametrize("spread", [0.05, 5.0])
+def test_clustered_vectors_equal_a_scan(spark, tmp_path, spread):
+    """Recall 1.0 with ties, copies, zero and null vectors; clustered data is mostly
+    skipped, and shapeless data costs a full scan but stays right."""
+    rng = np.random.default_rng(4)
+    middle = rng.normal(size=(25, 16))
+    x = np.round(middle[rng.integers(0, 25, 2000)] + spread * rng.normal(size=(2000, 16)), 3)
+    x[5], x[6], x[7:40] = 0, 0, x[50]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(9999, None)], "vec_id long, embedding array<double>")
+    vector_index.build(df, str(tmp_path / "v"))
+    asked = df.where("vec_id % 40 = 0 or vec_id = 5")
+    got, cost = vector_index.nearest(spark, str(tmp_path / "v"), asked, 6)
+    want = search.cosine_topk(df, asked, 6)
+    columns = ["query_id", "vec_id", "similarity", "rank"]
+    assert rows(got.select(columns)) == rows(want.select(columns))
+    assert cost["all"] == 2000 * 51 and (cost["read"] < 0.35 * cost["all"] if spread < 1 else cost["read"] <= cost["all"])
+
+
 def _corpus(spark, n=1500, first=0):
     rng = random.Random(21 + first)
     texts = [(i, " ".join(rng.choice(["the", "of", "red", "Red", f"w{rng.randint(0, 400)}", "é"])
