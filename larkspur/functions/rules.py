@@ -108,6 +108,18 @@ def normal_theme(value: Column) -> Column:
     return F.when(key.isin(vocab.THEMES), key).otherwise(_lookup(key, vocab.THEME_ALIASES))
 
 
+def valid_product_id(value: Column) -> Column:
+    """A product id in upper case, NULL for anything that is none."""
+    key = F.upper(F.trim(value))
+    return F.when(key.rlike(r"^B0[A-Z0-9]{8,}$"), key)
+
+
+def rating_bound(value: Column) -> Column:
+    """A rating bound between 1 and 5, NULL for what is no whole number."""
+    number = F.trim(value.cast("string")).try_cast("int")
+    return F.when(number.isNotNull(), F.greatest(F.lit(1), F.least(F.lit(5), number)))
+
+
 def intent(text: Column) -> Column:
     q, out, last = F.lower(text), None, None
     for label, words in vocab.INTENT_SIGNALS.items():

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .. import vocab
 from ..functions import rules, text
 from ..functions.numeric import SCORE, percent_of
+from ..session import stash
 from .dedup import top_n
 
 POSITIVE = ["good", "great", "excellent", "love", "loved", "loves", "perfect", "amazing",
@@ -189,18 +190,26 @@ def product_names(reviews: DataFrame, raw: str = "title", min_reviews: int = 20)
                        product.alias("product_name"))
 
 
-def term_vectors(docs: DataFrame, body: str, features: int = 1024) -> DataFrame:
-    """Hashed term vectors, weighted by inverse document frequency and scaled
-    to unit length, as ``embedding array<float>``."""
-    from pyspark.ml.feature import IDF, HashingTF, Normalizer
-    from pyspark.ml.functions import vector_to_array
-
-    words = docs.withColumn("_words", text.tokens(F.coalesce(F.col(body), F.lit("")), r"[^\p{L}\p{N}]+"))
-    tf = HashingTF(inputCol="_words", outputCol="_tf", numFeatures=features).transform(words)
-    weighted = IDF(inputCol="_tf", outputCol="_idf").fit(tf).transform(tf)
-    unit = Normalizer(inputCol="_idf", outputCol="_unit").transform(weighted)
-    return unit.withColumn("embedding", vector_to_array("_unit", "float32")).drop(
-        "_words", "_tf", "_idf", "_unit")
+def term_vectors(docs: DataFrame, body: str, features: int = 1024, doc_id: str = "review_id") -> DataFrame:
+    """Hashed term vectors, weighted by inverse document frequency and scaled to unit
+    length, as ``embedding array<float>``.  The cell of a term is its md5 modulo
+    ``features``, which is also the most rows the document frequencies can have."""
+    cell = F.expr(f"cast(conv(substr(md5(cast(term as binary)), 1, 8), 16, 10) as bigint) % {features}")
+    words = docs.select(F.col(doc_id).alias("_id"), F.explode(
+        text.tokens(F.coalesce(F.col(body), F.lit("")), r"[^\p{L}\p{N}]+")).alias("term"))
+    counts = stash(words.groupBy("_id", cell.alias("cell")).agg(F.count(F.lit(1)).alias("tf")), "cells")
+    total = docs.count()
+    idf = counts.groupBy("cell").agg(F.ln((total + 1.0) / (F.count(F.lit(1)) + 1.0)).alias("idf"))
+    weighted = counts.join(F.broadcast(idf), "cell").select("_id", "cell", (F.col("tf") * F.col("idf")).alias("w"))
+    # in the order of cells, so that sums do not depend on task order
+    filled = weighted.groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("cell", "w"))).alias("_cells"))
+    norm = F.sqrt(F.aggregate("_cells", F.lit(0.0), lambda t, c: t + c["w"] * c["w"]))
+    unit = filled.withColumn("_norm", norm).select("_id", F.when(F.col("_norm") > 0, F.map_from_entries(F.transform(
+        "_cells", lambda c: F.struct(c["cell"], c["w"] / F.col("_norm"))))).alias("_map"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(features - 1)), lambda i: F.coalesce(
+        F.try_element_at(F.col("_map"), i.cast("bigint")), F.lit(0.0)).cast("float"))
+    return (docs.join(unit, F.col(doc_id) == F.col("_id"), "left").withColumn("embedding", dense)
+            .drop("_id", "_map"))
 
 
 def complaint_breakdown(reviews: DataFrame, body: str = "review_text",

@@ -349,29 +349,48 @@ def product_signals(reviews: DataFrame, as_of: str, recent_months_: int = 6) ->
         F.col("avg_rating"), F.col("negative_pct"), F.col("recent_negative"), F.col("total_negative")))
 
 
+def claim_words(claims: DataFrame, reviews: DataFrame, words: Column, stop_share: float) -> DataFrame:
+    """(asin, claim_no, word, weight) for the words of claims that tell something: those
+    in at most ``stop_share`` of all reviews.  A word weighs the logarithm of reviews
+    per review with it, in millionths, so that sums do not depend on their order."""
+    each = stash(claims.select("asin", "claim_no", F.explode("words").alias("word")), "claim-words")
+    total = reviews.count()
+    seen = reviews.select(F.explode(words).alias("word")).join(
+        each.select("word").distinct(), "word", "left_semi")
+    rare = (seen.groupBy("word").agg(F.count(F.lit(1)).alias("_df"))
+            .where(F.col("_df") <= stop_share * total)
+            .select("word", F.round(F.ln(F.lit(total) / F.col("_df")) * 1000000).cast("bigint").alias("weight")))
+    return spread_join(each, stash(rare, "rare-words"), "word", "inner", row_id="asin")
+
+
 def verify_claims(metadata: DataFrame, reviews: DataFrame, body: str = "review_text",
-                  evidence: int = 5, min_shared: int = 1, row_id: str = "review_id",
+                  evidence: int = 5, stop_share: float = 0.2, row_id: str = "review_id",
                   word_pattern: str = r"[^a-z0-9]+") -> DataFrame:
     """Feature claims against reviews of the same product.  Evidence is the
-    five reviews sharing most words with the claim; their mean rating gives the
+    ``evidence`` reviews whose words in common with the claim weigh most, rare words
+    more than frequent ones; words of more than ``stop_share`` of all reviews count for
+    nothing, so stop words alone are no evidence.  The reviews' mean rating gives the
     verdict.  A claim without evidence stays, as INSUFFICIENT_DATA."""
     claims = text.claims(F.col("features_text"))
     meta = dedup_metadata(metadata).select("asin", claims.alias("_claims")).where(F.size("_claims") > 0)
     numbered = F.transform("_claims", lambda c, i: F.struct(
         (i + 1).alias("claim_no"), c.alias("claim"),
         F.array_distinct(text.tokens(c, word_pattern)).alias("words")))
-    packed = meta.select("asin", numbered.alias("_c"))
+    every = stash(meta.select("asin", F.inline(numbered)), "claims")
     words = F.array_distinct(text.tokens(F.col(body), word_pattern))
+    told = claim_words(every, reviews, words, stop_share)
+    # one row per product with the telling words of its claims: joined, then unpacked
+    packed = (told.groupBy("asin", "claim_no").agg(F.collect_list(F.struct("word", "weight")).alias("words"))
+              .groupBy("asin").agg(F.collect_list(F.struct("claim_no", "words")).alias("_c")))
     rows = reviews.select("asin", F.col(row_id).alias("_id"), "rating", words.alias("_words"))
-    # one small row per product is joined, then unpacked: no word-level join
-    scored = (spread_join(rows, packed, "asin", "inner", row_id="_id")
+    shared = F.aggregate("words", F.lit(0).cast("bigint"), lambda t, x: t + F.when(
+        F.array_contains("_words", x["word"]), x["weight"]).otherwise(0))
+    scored = (spread_join(rows, stash(packed, "packed-claims"), "asin", "inner", row_id="_id")
               .select("asin", "_id", "rating", "_words", F.inline("_c"))
-              .withColumn("_shared", F.size(F.array_intersect("_words", "words")))
-              .where(F.col("_shared") >= min_shared).drop("_words", "words", "claim"))
+              .withColumn("_shared", shared).where(F.col("_shared") > 0).drop("_words", "words"))
     best = top_n(scored, ["asin", "claim_no"], [F.col("_shared").desc(), F.col("_id")], evidence)
     found = best.groupBy("asin", "claim_no").agg(
         F.count(F.lit(1)).alias("evidence_count"), mean_of(F.col("rating"), 2).alias("evidence_rating"))
-    every = packed.select("asin", F.inline("_c")).drop("words")
     n = F.coalesce("evidence_count", F.lit(0))
     r = F.col("evidence_rating")
     return every.join(found, ["asin", "claim_no"], "left").select(

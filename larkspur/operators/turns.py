@@ -98,10 +98,11 @@ def mentioned_ids(turns: DataFrame, pattern: str = vocab.PRODUCT_ID_PATTERN, con
 
 
 def follow_ups(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", hint_chars: int = 100,
-               min_hint: int = 20) -> DataFrame:
+               min_hint: int = 20, sessions: DataFrame | None = None) -> DataFrame:
     """User turns with ``is_follow_up`` and the resolved question: a pronoun or
     a question of three words or fewer takes a hint from the last assistant
-    turn longer than 20 characters."""
+    turn longer than 20 characters.  Without one, ``sessions`` (conversation, products,
+    brands: arrays of what was discussed, latest last, one row each) may help out."""
     said = F.when((F.col("role") == "assistant") & (F.length("text") > min_hint), F.substring("text", 1, hint_chars))
     hinted = last_before(turns, conv, turn, said, "topic_hint")
     padded = F.concat(F.lit(" "), F.lower("text"), F.lit(" "))
@@ -109,9 +110,17 @@ def follow_ups(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", hint
     words = F.size(F.filter(F.split(F.trim("text"), r"\s+"), lambda w: w != ""))
     is_follow = (F.col(turn) > 0) & (signal | (words <= 3))
     resolved = F.when(is_follow & F.col("topic_hint").isNotNull(), F.concat(
-        F.lit("Follow-up on: "), "topic_hint", F.lit(". Question: "), "text")).otherwise(F.col("text"))
-    return (hinted.where(F.col("role") == "user").withColumn("is_follow_up", is_follow)
-            .withColumn("resolved", resolved))
+        F.lit("Follow-up on: "), "topic_hint", F.lit(". Question: "), "text"))
+    asked = hinted.where(F.col("role") == "user")
+    if sessions is not None:
+        asked = asked.join(sessions.select(conv, F.col("products").alias("_products"), F.col("brands").alias("_brands")),
+                           conv, "left")
+        for kind, after in (("_products", "product "), ("_brands", "")):
+            last = F.try_element_at(F.col(kind), F.lit(-1)).cast("string")
+            before = F.concat(F.lit(f"Regarding {after}"), last, F.lit(": " if after else " products: "), F.col("text"))
+            resolved = resolved.when(is_follow & last.isNotNull(), before)
+    return (asked.withColumn("is_follow_up", is_follow)
+            .withColumn("resolved", resolved.otherwise(F.col("text"))).drop("_products", "_brands"))
 
 
 def with_intent(rows: DataFrame, body: str = "text") -> DataFrame:

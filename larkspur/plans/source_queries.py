@@ -68,15 +68,27 @@ def _(spark, d):
     return landing.input_profile(spark.read.text(land_files(spark, d)))
 
 
-@query("a4_metadata_prep", "SELECT p_partkey AS asin, p_name AS title, p_brand AS brand FROM part")
+@query("a4_metadata_prep", """SELECT p_partkey AS asin, p_name AS title, p_brand AS brand, p_retailprice AS price,
+  CASE WHEN p_size > 10 THEN p_size END AS size, p_type AS nested_type, n.products, n.errors
+  FROM part, (SELECT (SELECT count(*) FROM part) AS products, 4 * (SELECT count(*) FROM nation) AS errors) n""")
 def _(spark, d):
     source, out = new_path(spark, "meta"), new_path(spark, "meta-clean")
-    rows = fx.table(spark, d, "part").select(
+    rows = fx.table(spark, d, "part").select(F.to_json(F.struct(
         F.col("p_partkey").alias("asin"), F.col("p_name").alias("title"), F.col("p_brand").alias("brand"),
-        F.array(F.lit("a.jpg"), F.col("p_type")).alias("imageURL"), F.lit("<table/>").alias("similar_item"))
-    rows.write.json(source)
-    landing.prepare_metadata(spark, source, out)
-    return spark.read.json(out)
+        F.col("p_retailprice").alias("price"), F.when(F.col("p_size") > 10, F.col("p_size")).alias("size"),
+        F.struct(F.col("p_type").alias("type"), F.array(F.lit(None).cast("int"), F.lit(1)).alias("list")).alias("nested"),
+        F.array(F.lit("a.jpg"), F.col("p_type")).alias("imageURL"), F.lit("<table/>").alias("similar_item")),
+        {"ignoreNullFields": "false"}).alias("value"))
+    # per nation a broken line, a list, a plain value and an object with a repeated key
+    bad = fx.table(spark, d, "nation").select(F.explode(F.array(
+        F.concat(F.lit("{broken "), "n_name"), F.concat(F.lit('["'), "n_name", F.lit('"]')),
+        F.col("n_nationkey").cast("string"), F.lit('{"asin":1,"asin":2}'))).alias("value"))
+    rows.unionByName(bad).write.text(source)
+    counts = landing.prepare_metadata(spark, source, out)
+    kept = spark.read.schema("asin bigint, title string, brand string, price double, size bigint, "
+                             "nested struct<type:string>, imageURL string, similar_item string").json(out)
+    return (kept.where("imageURL is null and similar_item is null").crossJoin(F.broadcast(counts))
+            .withColumn("nested_type", F.col("nested.type")).drop("nested", "imageURL", "similar_item"))
 
 
 @query("a5_pack_round_trip", sql("""SELECT source_category, count(*) AS n, CAST(sum(rating) AS BIGINT) AS stars, CAST(sum(text_len) AS BIGINT) AS chars,

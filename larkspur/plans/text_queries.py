@@ -261,10 +261,22 @@ def _(spark, d):
     return enrich.product_names(docs)
 
 
-@query("e6_text_vectors")
+define("tf", ["docs"], """SELECT review_id, CAST('0x' || substr(md5(term), 1, 8) AS BIGINT) % 64 AS cell, count(*) AS tf FROM (
+  SELECT review_id, unnest(string_split_regex(lower(review_text), '[^\\p{L}\\p{N}]+')) AS term FROM docs) WHERE term <> '' GROUP BY 1, 2""")
+define("weights", ["tf", "docs"], """SELECT review_id, cell, tf * ln((total + 1.0::DOUBLE) / (df + 1.0::DOUBLE)) AS w FROM tf JOIN (
+  SELECT cell, count(*) AS df FROM tf GROUP BY cell) USING (cell), (SELECT count(*) AS total FROM docs)""")
+
+
+@query("e6_text_vectors", sql("""SELECT d.review_id, CAST(64 AS BIGINT) AS dims, string_agg(CAST(c.cell AS VARCHAR) || ':' ||
+  CAST(CAST(round(coalesce(w / nullif(norm, 0), 0) * 1000) AS BIGINT) AS VARCHAR), ',' ORDER BY c.cell) AS vector
+  FROM docs d CROSS JOIN (SELECT unnest(range(64)) AS cell) c LEFT JOIN weights x ON x.review_id = d.review_id AND x.cell = c.cell
+  LEFT JOIN (SELECT review_id, sqrt(sum(w * w)) AS norm FROM weights GROUP BY review_id) n ON n.review_id = d.review_id
+  GROUP BY d.review_id""", "docs", "weights"))
 def _(spark, d):
-    v = enrich.term_vectors(fx.documents(spark, d), "review_text", 256)
-    return v.select("review_id", F.size("embedding").alias("dims"))
+    v = enrich.term_vectors(fx.documents(spark, d), "review_text", 64)
+    cells = F.transform("embedding", lambda x, i: F.concat_ws(":", i.cast("string"), F.round(
+        x.cast("double") * 1000).cast("bigint").cast("string")))
+    return v.select("review_id", F.size("embedding").cast("bigint").alias("dims"), F.array_join(cells, ",").alias("vector"))
 
 
 GROUPS = {"articles": ["the ", " une ", " die "], "numbers": ["1", "2", "3"], "marks": ["***", "###", "@"]}
@@ -290,14 +302,18 @@ define("claim_meta", [], """SELECT a AS asin, ['the form of that thing', 'with t
   FROM (SELECT DISTINCT doc_id % 50 AS a FROM documents)""")
 define("claim_rows", ["claim_meta"], """SELECT asin, claim_no, claim, list_filter(string_split_regex(lower(claim), '[^a-z0-9]+'), lambda x: x <> '') AS cw FROM (
   SELECT asin, unnest(claims) AS claim, generate_subscripts(claims, 1) AS claim_no FROM claim_meta)""")
-define("verdicts", ["claim_rows", "docs"], f"""SELECT c.asin, c.claim_no, c.claim, coalesce(e.n, 0) AS evidence_count, e.r AS evidence_rating,
+define("doc_word", ["docs"], """SELECT DISTINCT review_id, asin, rating, word FROM (SELECT review_id, asin, rating,
+  unnest(string_split_regex(lower(review_text), '[^a-z0-9]+')) AS word FROM docs) WHERE word <> ''""")
+define("claim_words", ["claim_rows", "doc_word", "docs"], """SELECT asin, claim_no, word, CAST(round(ln(total / df) * 1000000) AS BIGINT) AS weight
+  FROM (SELECT asin, claim_no, unnest(list_distinct(cw)) AS word FROM claim_rows) JOIN (SELECT word, count(*)::DOUBLE AS df FROM doc_word GROUP BY word)
+  USING (word), (SELECT count(*)::DOUBLE AS total FROM docs) WHERE df <= 0.2::DOUBLE * total""")
+define("verdicts", ["claim_words", "doc_word", "claim_rows", "docs"], f"""SELECT c.asin, c.claim_no, c.claim, coalesce(e.n, 0) AS evidence_count, e.r AS evidence_rating,
   CASE WHEN e.n IS NULL THEN 'INSUFFICIENT_DATA' WHEN e.r >= 3.5 - 1e-9 THEN 'CONFIRMED' WHEN e.r <= 2.5 + 1e-9 THEN 'DISPUTED' ELSE 'MIXED' END AS verdict,
   {rnd('CASE WHEN e.n IS NULL THEN 0 ELSE abs(e.r - 3) / 2 * e.n / 5 END', 3)} AS confidence
   FROM claim_rows c LEFT JOIN (SELECT asin, claim_no, count(*) AS n, {mean('rating', 2)} AS r FROM (
-   SELECT c.asin, c.claim_no, d.rating, row_number() OVER (PARTITION BY c.asin, c.claim_no
-     ORDER BY len(list_intersect(list_distinct(w), list_distinct(cw))) DESC, d.review_id) AS rn
-   FROM claim_rows c JOIN (SELECT *, list_filter(string_split_regex(lower(review_text), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM docs) d ON c.asin = d.asin
-   WHERE len(list_intersect(list_distinct(w), list_distinct(cw))) >= 1) WHERE rn <= 5 GROUP BY asin, claim_no) e
+   SELECT c.asin, c.claim_no, d.rating, row_number() OVER (PARTITION BY c.asin, c.claim_no ORDER BY sum(c.weight) DESC, d.review_id) AS rn
+   FROM claim_words c JOIN doc_word d ON c.asin = d.asin AND c.word = d.word GROUP BY c.asin, c.claim_no, d.review_id, d.rating)
+   WHERE rn <= 5 GROUP BY asin, claim_no) e
   ON c.asin = e.asin AND c.claim_no = e.claim_no""")
 
 

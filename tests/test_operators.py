@@ -454,6 +454,18 @@ def test_follow_up_hint_skips_short_answers(spark):
     assert got == {(1, 0): (False, None), (1, 2): (True, hint), (1, 4): (True, hint), (2, 0): (False, None)}
 
 
+def test_follow_up_falls_back_on_the_session(spark):
+    df = spark.createDataFrame([(c, t, "user", q) for c in (1, 2, 3, 4) for t, q in ((0, "Show me speakers with good bass"), (1, "how about it?"))],
+                               "conv_id int, turn int, role string, text string")
+    sessions = spark.createDataFrame([(1, ["A", "B0X"], ["sony"]), (2, [], ["bose", "sony"]), (3, None, None)],
+                                     "conv_id int, products array<string>, brands array<string>")
+    got = {r.conv_id: r.resolved for r in turns.follow_ups(df, sessions=sessions).where("turn = 1").collect()}
+    assert got == {1: "Regarding product B0X: how about it?", 2: "Regarding sony products: how about it?",
+                   3: "how about it?", 4: "how about it?"}
+    first = turns.follow_ups(df, sessions=sessions).where("turn = 0")
+    assert {r.resolved for r in first.collect()} == {"Show me speakers with good bass"}
+
+
 def test_recent_context(spark):
     df = spark.createDataFrame([(1, i, "user" if i % 2 == 0 else "assistant", str(i) * 500) for i in range(6)] + [(2, 0, "user", "x")],
                                "conv_id int, turn int, role string, text string")
@@ -499,10 +511,15 @@ def test_similar_products_same_category_first(spark):
 
 
 def test_claims_keep_unsupported_and_dispute(spark):
-    meta = spark.createDataFrame([(1, "t", "b", 1.0, "battery lasts forever|completely waterproof|tiny")], "asin int, title string, brand string, price double, features_text string")
-    rev = spark.createDataFrame([(i, 1, 1, "the battery died, battery forever gone") for i in range(7)], "review_id int, asin int, rating int, review_text string")
-    got = {r.claim_no: (r.evidence_count, r.verdict, r.confidence) for r in profiles.verify_claims(meta, rev).collect()}
-    assert got == {1: (5, "DISPUTED", 1.0), 2: (0, "INSUFFICIENT_DATA", 0.0)}
+    meta = spark.createDataFrame([(1, "t", "b", 1.0, "the battery lasts forever|completely waterproof|tiny|and it is with the")],
+                                 "asin int, title string, brand string, price double, features_text string")
+    data = [(i, 1, 1, "the battery died, battery forever gone") for i in range(7)]
+    data += [(7, 1, 5, "forever mine, and the battery lasts"), (8, 1, 4, "it is with me, the thing")]
+    data += [(i, 2, 3, "it is a thing and it works with the other") for i in range(9, 60)]
+    rev = spark.createDataFrame(data, "review_id int, asin int, rating int, review_text string")
+    got = {r.claim_no: (r.evidence_count, r.evidence_rating, r.verdict, r.confidence) for r in profiles.verify_claims(meta, rev).collect()}
+    # the review with the rare word comes first; stop words alone (claim 3) are no evidence
+    assert got == {1: (5, 1.8, "DISPUTED", 0.6), 2: (0, None, "INSUFFICIENT_DATA", 0.0), 3: (0, None, "INSUFFICIENT_DATA", 0.0)}
 
 
 # ----------------------------------------------------------------------- sinks

@@ -102,7 +102,9 @@ def test_aliases(spark):
 
 def test_claims(spark):
     raw = "short| long enough claim |" + "|".join(f"claim number {i}" for i in range(9))
-    assert one(spark, raw, text.claims) == ["long enough claim", *[f"claim number {i}" for i in range(4)]]
+    every = ["long enough claim", *[f"claim number {i}" for i in range(9)]]
+    assert one(spark, raw, text.claims) == every
+    assert one(spark, raw, lambda c: text.claims(c, limit=5)) == every[:5]
 
 
 def test_escape(spark):
@@ -147,6 +149,13 @@ def test_summary_equals_brute_force(spark):
     assert "Python" not in plan.replace("PythonRDD", "") and plan.count("Scan") == 1
 
 
+def test_parameters_are_checked(spark):
+    for given, want in ((" b01g8jo5f2 ", "B01G8JO5F2"), ("B0123", None), ("A01G8JO5F2", None), (None, None)):
+        assert one(spark, given, rules.valid_product_id) == want
+    for given, want in (("3", 3), (" 9 ", 5), ("-2", 1), ("many", None), (None, None)):
+        assert one(spark, given, rules.rating_bound) == want
+
+
 def test_page_fields(spark):
     html = ('<span id="productTitle" class="x"> Echo \n Dot </span><a id="bylineInfo" href="/s"><b>Visit the Acme Store</a>'
             '<span class="a-price-whole">1,029</span><span class="a-price-fraction">95</span>'
