@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.numeric import TIE, mean_of, ratio, steady_round
+from ..session import stash
 from .marts import month_of
 
 ANOMALY_COLUMNS = {
@@ -61,18 +62,22 @@ def trend_baseline(trends: DataFrame, months: int = 4) -> DataFrame:
                   for f in (F.avg(m).alias(f"base_{m}"), F.stddev_samp(m).alias(f"sd_{m}"))]))
 
 
+def judged_trends(trends: DataFrame, months: int = 4) -> DataFrame:
+    """Rows of the latest month with their category's baseline."""
+    latest = trends.crossJoin(latest_month(trends)).where(F.col("review_month") == F.col("latest_month"))
+    return latest.join(trend_baseline(trends, months), "derived_category")
+
+
 def metric_drop(trends: DataFrame, metric: str, kind: str, floor: float, months: int = 4,
-                trigger: float = 0.5, min_reviews: int = 10) -> DataFrame:
+                trigger: float = 0.5, min_reviews: int = 10, judged: DataFrame | None = None) -> DataFrame:
     """Latest month below its baseline by more than ``trigger`` deviations; a
-    category without a deviation (one baseline month) is left out."""
+    category without a deviation (one baseline month) is left out.  ``judged`` passes
+    ``judged_trends`` that several detectors share."""
     base, sd = F.col(f"base_{metric}"), F.col(f"sd_{metric}")
     spread = F.when(sd.isNotNull(), F.greatest(sd, F.lit(floor)))
     now = F.col(metric)
-    hit = (trends.crossJoin(latest_month(trends))
-           .where((F.col("review_month") == F.col("latest_month"))
-                  & (F.col("review_count") >= min_reviews))
-           .join(trend_baseline(trends, months), "derived_category")
-           .where(below(now, base - trigger * spread)))
+    judged = judged_trends(trends, months) if judged is None else judged
+    hit = judged.where((F.col("review_count") >= min_reviews) & below(now, base - trigger * spread))
     severity = (F.when(below(now, base - 2 * spread), "HIGH")
                 .when(below(now, base - 1 * spread), "MEDIUM").otherwise("LOW"))
     return shape(hit.select(
@@ -161,9 +166,10 @@ def rank_drops(trends: DataFrame, places: int = 3, months: int = 4, min_reviews:
 
 def review_anomalies(trends: DataFrame, complaints: DataFrame) -> DataFrame:
     """All five category detectors.  Pass materialised marts: each is read
-    several times."""
-    parts = [rating_drops(trends), sentiment_shifts(trends), complaint_spikes(complaints),
-             declining_trends(trends), rank_drops(trends)]
+    several times.  The latest month and the baselines are worked out once."""
+    judged = stash(judged_trends(trends), "judged-trends")
+    parts = [rating_drops(trends, judged=judged), sentiment_shifts(trends, judged=judged),
+             complaint_spikes(complaints), declining_trends(trends), rank_drops(trends)]
     return reduce(DataFrame.unionByName, parts)
 
 
