@@ -1,16 +1,21 @@
 """Quotation linking: conversations in reply order, without their quotes.
 
-Every line has a quote level, the number of ``>`` before it.  Quoted lines are
-normalised (lower case, single blanks) and hashed; within a conversation they meet
-the first earlier message that has the same line as its own text.  The latest such
-message among the lines of level 1 is the parent (of deeper levels, if level 1
-finds none).  Roots and depths follow by pointer doubling; sorting by ``root_turn``,
-``depth`` and ``turn`` gives the conversation in reply order.  DataFrame functions only.
+Every line has a quote level, the number of ``>`` before it.  Lines of one level with no
+other line between them are a passage.  A passage is normalised (lower case, single
+blanks, line breaks too, so that wrapping does not matter) and hashed by its shingles of
+five words, and by its lines of fewer words.  Within a conversation these meet the first
+earlier message that has them in its own text, and the message that accounts for most
+words of a passage, half of its weight at least, is its source; the later message on a
+tie.  The source of the heaviest passage of level 1 is the parent (of deeper levels, if
+level 1 finds none).  Roots and depths follow by pointer doubling; sorting by
+``root_turn``, ``depth`` and ``turn`` gives the conversation in reply order.  DataFrame
+functions only.
 
 Defined results: a null or empty text has no lines and an empty clean text.  Blank
-lines are never linked.  Messages that quote nothing, or nothing known, start a
-thread.  Rows that repeat (conv_id, turn) are all kept and take the parent of all.
-Rows with a null conv_id or turn are kept without links.
+passages are never linked.  Messages that quote nothing, or nothing known, start a
+thread.  A quoted fragment of fewer than five words links only if it is a whole line.
+Rows that repeat (conv_id, turn) are all kept and take the parent of all.  Rows with a
+null conv_id or turn are kept without links.  Texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -18,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash_with
+from .common import stash, stash_with
 
 MARKS = r"^[ \t]*((?:>[ \t]?)*)"
 
@@ -34,24 +39,63 @@ def lines(text: str = "text"):
     return F.transform(split, parts)
 
 
-def _hash(line):
-    clean = F.trim(F.regexp_replace(F.lower(line), r"\s+", " "))
-    return F.when(clean == "", F.lit(None)).otherwise(F.sha2(clean.cast("binary"), 256))
+WORDS = 5
+GAP = "\x01"
+
+
+def _clean(text):
+    return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
+
+
+def _hashed(text, k: int = WORDS):
+    """Hashes of a text, each with the words it stands for: shingles of ``k`` words, and
+    lines of fewer."""
+    words = F.filter(F.split(_clean(text), " "), lambda w: w != "")
+    runs = F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - k + 1)),
+                                lambda i: i + k - 1 <= F.size(words)),
+                       lambda i: F.struct(F.xxhash64(F.array_join(F.slice(words, i, k), " ")).alias("h"),
+                                          F.lit(k).alias("weight")))
+    short = F.transform(F.split(text, "\n"), lambda x: F.struct(
+        F.xxhash64(_clean(x)).alias("h"),
+        F.when(_clean(x) == "", 0).otherwise(F.size(F.split(_clean(x), " "))).alias("weight")))
+    return F.array_distinct(F.concat(runs, F.filter(short, lambda x: (x.weight > 0) & (x.weight < k))))
+
+
+def passages(text: str = "text"):
+    """(level, passage) of the quotes of a text, lines joined by line breaks."""
+    parts = lines(text)
+    levels = F.filter(F.array_distinct(F.transform(parts, lambda x: x.level)), lambda n: n > 0)
+
+    def of_level(n):
+        marked = F.array_join(F.transform(parts, lambda x: F.when(x.level == n, x.line).otherwise(GAP)), "\n")
+        return F.transform(F.filter(F.split(marked, GAP), lambda run: _clean(run) != ""),
+                           lambda run: F.struct(n.alias("level"), run.alias("passage")))
+
+    return F.flatten(F.transform(levels, of_level))
 
 
 def parents(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, parent) of messages whose quotes are found earlier."""
-    each = (messages.where("conv_id is not null and turn is not null")
-            .select("conv_id", "turn", F.explode(lines()).alias("x"))
-            .select("conv_id", "turn", "x.level", _hash(F.col("x.line")).alias("h"))
-            .where("h is not null"))
-    quoted = each.where("level > 0").distinct()
-    own = each.where("level = 0").groupBy("conv_id", "h").agg(F.min("turn").alias("parent"))
-    hit = quoted.join(own, ["conv_id", "h"]).where("parent < turn")
-    best = hit.groupBy("conv_id", "turn").agg(
-        F.max(F.when(F.col("level") == 1, F.col("parent"))).alias("direct"),
-        F.max("parent").alias("any"))
-    return best.select("conv_id", "turn", F.coalesce("direct", "any").alias("parent"))
+    known = messages.where("conv_id is not null and turn is not null").select("conv_id", "turn", "text")
+    quoted = (known.where(F.col("text").contains(">"))
+              .select("conv_id", "turn", F.posexplode(passages()).alias("at", "x"))
+              .select("conv_id", "turn", "at", "x.level", _hashed(F.col("x.passage")).alias("_g"))
+              .withColumn("weight_all", F.aggregate("_g", F.lit(0), lambda t, g: t + g.weight))
+              .select("conv_id", "turn", "at", "level", "weight_all", F.inline("_g")))
+    quoted = stash(quoted, "quoted")
+    own_lines = F.filter(lines(), lambda x: x.level == 0)
+    own_text = F.array_join(F.transform(own_lines, lambda x: x.line), "\n")
+    # only conversations with quotes; a line that many messages have counts for its first
+    own = (known.join(quoted.select("conv_id").distinct(), "conv_id", "left_semi")
+           .select("conv_id", "turn", F.explode(_hashed(own_text)).alias("g"))
+           .groupBy("conv_id", F.col("g.h").alias("h")).agg(F.min("turn").alias("parent")))
+    votes = (quoted.join(own, ["conv_id", "h"]).where("parent < turn")
+             .groupBy("conv_id", "turn", "at", "level", "parent")
+             .agg(F.sum("weight").alias("votes"), F.max("weight_all").alias("weight_all"))
+             .where("2 * votes >= weight_all"))
+    best = votes.groupBy("conv_id", "turn").agg(
+        F.max(F.struct((F.col("level") == 1).alias("direct"), "votes", "parent")).alias("_b"))
+    return best.select("conv_id", "turn", F.col("_b.parent").alias("parent"))
 
 
 def threads(links: DataFrame) -> DataFrame:
