@@ -15,7 +15,7 @@ A document is its set of distinct word shingles.  Two documents link when
    first leader is the class with the fewest tokens of its own: the text that the
    others are changed copies of.  Found links merge components.
 4. What is left: group pairs that share a token, may link by size and by the
-   token's positions, and are not wholly in one component, are expanded to their
+   positions of a shared token, were it the first, and are not wholly in one component, are expanded to their
    members and verified.  Pairs inside one component need no check, as they
    cannot change the result; no other pair is left out.
 
@@ -198,8 +198,10 @@ def _sizes_fit(a: str, b: str, threshold: int):
 
 
 def _positions_fit(l: str, r: str, threshold: int):
-    """Upper bound of the overlap of two sets that share a token at these places."""
-    most = (f"least({l}.pos, {r}.pos) + 1 + least({l}.n - {l}.pos, {r}.n - {r}.pos) - 1")
+    """Can two sets link whose first shared token is at these places?  From there on
+    at most the shorter rest is shared.  A linking pair passes at its first shared
+    token, which both prefixes hold; at later ones it may fail."""
+    most = f"least({l}.n - {l}.pos, {r}.n - {r}.pos)"
     return F.expr(f"(100 + {threshold}) * ({most}) >= {threshold} * ({l}.n + {r}.n)")
 
 
