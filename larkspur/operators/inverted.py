@@ -33,6 +33,7 @@ SLICE = 1024  # documents
 BANDS = 4  # per unit of weight; a weight is below 2.2
 PROBES = 4  # slices read to find the score to reach
 BUCKETS = 64
+TASK_WORDS = 1 << 21  # words of text whose postings a task lays out
 PLACE = ["run", "slice", "band"]
 SLACK = 2e-6  # parts of a score are rounded to millionths
 
@@ -53,25 +54,29 @@ def most_impact(max_tf: Column, min_per_tf: Column, avg: Column | float) -> Colu
 
 
 def _blocks(postings: DataFrame, docs: int, words: int, slice_docs: int) -> DataFrame:
-    """Blocks from (term, doc_id, tf, doc_len).  A block holds a part of one slice, so
-    none grows with the table, and a frequent term is spread over all slices."""
+    """Blocks from (term, doc_id, tf, doc_len), dealt to tasks as they are to be
+    stored.  A block holds a part of one slice, so none grows with the table, and a
+    frequent term is spread over all slices.  Postings are shuffled once: a task gets
+    parts of buckets, about ``TASK_WORDS`` words, and makes whole blocks of them."""
     weight = impact(F.col("tf"), F.col("doc_len"), max(1.0, words / docs))
-    return (postings.groupBy(
-        _bucket("term").alias("bucket"), "term",
-        F.pmod(F.xxhash64("doc_id"), F.lit(1 + docs // slice_docs)).alias("slice"),
-        F.floor(weight * BANDS).cast("int").alias("band")).agg(
-            F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"), F.min(F.col("doc_len") / F.col("tf")).alias("min_per_tf"),
-            F.collect_list(F.struct("doc_id", "tf", "doc_len")).alias("postings")))
+    slices = F.pmod(F.xxhash64("doc_id"), F.lit(1 + docs // slice_docs))
+    tasks = 1 + words // TASK_WORDS
+    part = F.pmod(F.xxhash64("term", slices), F.lit(1 + 2 * tasks // BUCKETS)).cast("int")
+    dealt = (postings.repartition(tasks, _bucket("term"), part)
+             .select("*", _bucket("term").alias("bucket"), part.alias("part"), slices.alias("slice"),
+                     F.floor(weight * BANDS).cast("int").alias("band")))
+    return (dealt.groupBy("bucket", "part", "term", "slice", "band").agg(
+        F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"), F.min(F.col("doc_len") / F.col("tf")).alias("min_per_tf"),
+        F.collect_list(F.struct("doc_id", "tf", "doc_len")).alias("postings")).drop("part"))
 
 
 def _write(blocks: DataFrame, keys: DataFrame, stats: DataFrame, index: str, whole: bool) -> None:
+    keys = keys.select("doc_id", _bucket("doc_id").alias("bucket")).repartition("bucket")
     rows = (blocks.withColumn("kind", F.lit("postings"))
-            .unionByName(keys.select("doc_id", _bucket("doc_id").alias("bucket"), F.lit("keys").alias("kind")),
-                         allowMissingColumns=True)
+            .unionByName(keys.withColumn("kind", F.lit("keys")), allowMissingColumns=True)
             .unionByName(stats.select("docs", "words", F.lit(0).alias("bucket"), F.lit("stats").alias("kind")),
                          allowMissingColumns=True))
-    laid = rows.repartitionByRange("kind", "bucket", "term", "slice").sortWithinPartitions(
-        "kind", "bucket", "term", "slice")
+    laid = rows.sortWithinPartitions("kind", "bucket", "term", "slice")
     (runs.replace if whole else runs.append)(laid, index, ["kind", "bucket"])
 
 
@@ -93,9 +98,9 @@ def unknown(docs: DataFrame, index: str, doc_id: str) -> DataFrame:
 def add(docs: DataFrame, index: str, doc_id: str, body: str, slice_docs: int = SLICE) -> None:
     """Indexes documents that are new, as one segment committed at once.  Of rows with
     one key the longest text counts (the first in text order on a tie)."""
-    fresh = keep_first(unknown(docs.where(F.col(doc_id).isNotNull()), index, doc_id), [doc_id],
-                       [F.length(body).desc_nulls_last(), F.col(body)])
-    fresh = stash(fresh.select(doc_id, body), "fresh")
+    fresh = stash(unknown(docs.where(F.col(doc_id).isNotNull()).select(doc_id, body), index, doc_id), "fresh")
+    if not fresh.groupBy(doc_id).count().where("count > 1").isEmpty():  # else no text is shuffled
+        fresh = stash(keep_first(fresh, [doc_id], [F.length(body).desc_nulls_last(), F.col(body)]), "fresh")
     lengths = stash(search.doc_lengths(fresh, doc_id, body), "lengths")
     stats = search.corpus_stats(lengths).withColumn("words", F.coalesce("words", F.lit(0)).cast("long"))
     n, words = stats.first()

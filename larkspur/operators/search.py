@@ -140,10 +140,21 @@ def words_of(docs: DataFrame, doc_id: str, body: str, keep: tuple[str, ...] = ()
 
 
 def build_postings(docs: DataFrame, doc_id: str, body: str) -> DataFrame:
-    """One row per (term, document): term frequency and document length.  The
-    terms of a document are counted inside its row's partition (partial
-    aggregation), so only distinct terms are shuffled."""
-    return words_of(docs, doc_id, body).groupBy("term", "doc_id", "doc_len").agg(F.count(F.lit(1)).alias("tf"))
+    """One row per (term, row of ``docs``): term frequency and document length.  The
+    terms of a row are counted inside it, from its sorted words, so nothing is
+    shuffled: a term occurs as often as the first places of it and of the next lie apart."""
+    def counted(words: Column) -> Column:
+        firsts = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: (i == 0) | (
+            F.get(words, i) != F.get(words, i - 1)))
+        return text.let(firsts, lambda at: F.transform(at, lambda start, j: F.struct(
+            F.get(words, start).alias("term"),
+            (F.coalesce(F.get(at, j + 1), F.size(words)) - start).cast("long").alias("tf"))))
+
+    words = F.sort_array(text.tokens(F.col(body), WORDS))
+    found = text.let(words, lambda w: F.when(F.size(w) > 0, F.struct(F.size(w).alias("doc_len"), counted(w).alias("terms"))))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), found.alias("_found"))
+    return rows.select("doc_id", F.col("_found.doc_len").alias("doc_len"), F.inline("_found.terms")).select(
+        "term", "doc_id", "doc_len", "tf")
 
 
 def doc_lengths(docs: DataFrame, doc_id: str, body: str) -> DataFrame:

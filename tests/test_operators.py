@@ -331,6 +331,34 @@ def test_index_equals_a_full_scan(spark, tmp_path):
         search.keyword_search(docs, asked, 10**6).select("query_id", "doc_id", "score", "rank"))
 
 
+def test_index_shuffles_postings_once(spark, monkeypatch):
+    """Terms are counted inside their row, and one exchange makes whole blocks."""
+    docs = spark.createDataFrame([(1, "b a B c"), (2, None), (3, ""), (4, " ?"), (5, "É a")], "review_id int, review_text string")
+    postings = search.build_postings(docs, "review_id", "review_text")
+    assert rows(postings.select("doc_id", "term", "tf", "doc_len")) == [
+        (1, "a", 1, 4), (1, "b", 2, 4), (1, "c", 1, 4), (5, "a", 1, 2), (5, "é", 1, 2)]
+    monkeypatch.setattr(inverted, "TASK_WORDS", 2000)  # several tasks, several parts of a bucket
+    docs = _corpus(spark, 3000)
+    postings = search.build_postings(docs, "review_id", "review_text")
+    assert "Exchange" not in postings._jdf.queryExecution().executedPlan().toString()
+    n, words = search.corpus_stats(search.doc_lengths(docs, "review_id", "review_text")).first()
+    blocks = inverted._blocks(postings, n, words, 32)
+    assert blocks._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert blocks.groupBy("term", "slice", "band").count().where("count > 1").isEmpty()
+    assert rows(blocks.select("term", F.inline("postings"))) == rows(postings.select("term", "doc_id", "tf", "doc_len"))
+
+
+def test_index_keeps_the_longest_of_repeated_documents(spark, tmp_path):
+    index = str(tmp_path / "index")
+    docs = spark.createDataFrame([(1, "a b"), (1, "a b c"), (1, "a b a"), (1, None), (2, None), (None, "a"), (3, "b"), (3, "b")],
+                                 "review_id int, review_text string")
+    inverted.add(docs, index, "review_id", "review_text")
+    got = inverted.segment_rows(spark, index, "postings").select("term", F.inline("postings"))
+    assert rows(got.select("doc_id", "term", "tf", "doc_len")) == [(1, "a", 2, 3), (1, "b", 1, 3), (3, "b", 1, 1)]
+    assert rows(inverted.segment_rows(spark, index, "stats").select("docs", "words")) == [(3, 4)]
+    assert rows(inverted.segment_rows(spark, index, "keys").select("doc_id")) == [(1,), (2,), (3,)]
+
+
 def test_search_opens_few_buckets_and_blocks(spark, tmp_path):
     index, docs = str(tmp_path / "index"), _corpus(spark, 3000)
     inverted.add(docs, index, "review_id", "review_text", slice_docs=32)
