@@ -92,28 +92,42 @@ MARK = "\x01"
 
 def summarise(body: Column, keep: int = 3) -> Column:
     """The ``keep`` sentences with the highest mean word frequency, in their original
-    order, all inside the row.  Word counts come from the sorted words: a word occurs
-    as often as the first places of it and of the next distinct word lie apart."""
+    order, all inside the row and by sorting only: words with their sentence are sorted,
+    a word occurs as often as its run is long, and those counts are sorted by sentence."""
     trimmed = F.regexp_replace(body, r"^\s+|\s+$", "")
     sentences = F.array_remove(F.split(F.regexp_replace(trimmed, SENTENCE_END, "$1" + MARK), MARK), "")
 
-    def words_of(s: Column) -> Column:
-        return F.regexp_extract_all(F.lower(s), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    def runs(array: Column, starts: Callable[[Column], Column], use: Callable[[Column, Column], Column]) -> Column:
+        """``use(place, length)`` of every run, given which places start one."""
+        firsts = F.filter(F.sequence(F.lit(0), F.size(array) - 1), starts)
+        return text.let(firsts, lambda at: F.transform(at, lambda first, j: text.let(
+            F.coalesce(F.get(at, j + 1), F.size(array)) - first, lambda n: use(first, n))))
+
+    def places(first: Column, n: Column) -> Column:
+        return F.sequence(first, first + n - 1)
 
     def scored(s: Column) -> Column:
-        parts = F.transform(s, words_of)
-        return text.let(F.array_sort(F.flatten(parts)), lambda every: text.let(
-            F.array_distinct(every), lambda known: text.let(
-                F.concat(F.transform(known, lambda w: F.array_position(every, w)),
-                         F.array(F.size(every).cast("bigint") + 1)),
-                lambda first: pick(s, F.transform(parts, lambda ws: mean(ws, known, first))))))
-
-    def mean(ws: Column, known: Column, first: Column) -> Column:
-        def times(w):
-            at = F.array_position(known, w).cast("int")
-            return F.element_at(first, at + 1) - F.element_at(first, at)
-        total = F.aggregate(ws, F.lit(0).cast("bigint"), lambda t, w: t + times(w))
-        return F.when(F.size(ws) == 0, F.lit(0.0)).otherwise(total / F.size(ws))
+        # the empty word, in each sentence once, stands for the sentence itself
+        words = F.flatten(F.transform(s, lambda x, i: F.transform(
+            F.concat(F.array(F.lit("")), F.regexp_extract_all(F.lower(x), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))),
+            lambda w: F.struct(w.alias("w"), i.alias("i")))))
+        return text.let(F.sort_array(words), lambda every: text.let(
+            F.sort_array(F.flatten(counts(every))), lambda each: pick(s, means(each))))
+
+    def counts(every: Column) -> Column:
+        """Per word the sentence (upper half) and count (lower half, 0 for the empty word)
+        of each of its places."""
+        def word(k):
+            return F.get(every, k)["w"]
+        return runs(every, lambda k: (k == 0) | (word(k) != word(k - 1)), lambda first, n: text.let(
+            F.when(word(first) == "", 0).otherwise(n).cast("bigint"), lambda times: F.transform(
+                places(first, n), lambda k: F.shiftleft(F.get(every, k)["i"].cast("bigint"), 32) + times)))
+
+    def means(each: Column) -> Column:
+        def count(k):
+            return F.get(each, k).bitwiseAND(F.lit((1 << 32) - 1))
+        return runs(each, lambda k: count(k) == 0, lambda first, n: F.when(n == 1, F.lit(0.0)).otherwise(
+            F.aggregate(places(first, n), F.lit(0).cast("bigint"), lambda t, k: t + count(k)) / (n - 1)))
 
     def pick(s: Column, scores: Column) -> Column:
         ranked = F.slice(F.array_sort(F.transform(scores, lambda v, i: F.struct((-v).alias("v"), i.alias("i")))), 1, keep)

@@ -1,5 +1,6 @@
 from collections import Counter
 import re
+import time
 import random
 from datetime import datetime
 
@@ -149,6 +150,17 @@ def test_summary_equals_brute_force(spark):
     assert "Python" not in plan.replace("PythonRDD", "") and plan.count("Scan") == 1
 
 
+def test_summary_of_a_long_text_is_quick(spark):
+    """100,000 words, most of them different: looking each up in the others takes minutes."""
+    rng = random.Random(9)
+    body = " ".join(" ".join(rng.choice([f"w{i}x{j}", f"common{j % 7}"]) for j in range(20)) + rng.choice([".", "!", "?"])
+                    for i in range(5000)) + " ... ?"
+    df = spark.createDataFrame([(1, body, 501)], "id int, t string, text_len int")
+    began = time.time()
+    assert enrich.with_summary(df, "t").first().review_summary == brute_summary(body)
+    assert time.time() - began < 20
+
+
 def test_parameters_are_checked(spark):
     for given, want in ((" b01g8jo5f2 ", "B01G8JO5F2"), ("B0123", None), ("A01G8JO5F2", None), (None, None)):
         assert one(spark, given, rules.valid_product_id) == want
