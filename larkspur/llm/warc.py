@@ -22,11 +22,12 @@ from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
 from uuid import UUID
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lookup_join, new_path, stash
+from .common import bitmap, in_bitmap, lookup_join, new_path, stash
 
 NO_ID = 1 << 64
 END = "\r\n\r\n"
@@ -82,21 +83,29 @@ def write(pages: DataFrame, folder: str, least: int = 0, records: int = 4000) ->
     columns = ["page_id", "url", "html"] + ["captured"] * ("captured" in pages.columns)
     pages = pages.select(*columns)
 
-    def measure(batches):
-        for b in batches:
-            html = [(x or "").encode() for x in b.column(2).to_pylist()]
-            out = [*b.columns, pa.array([digest(x) for x in html], pa.string()),
-                   pa.array([len(x) for x in html], pa.int64())]
-            yield pa.RecordBatch.from_arrays(out, [*columns, "digest", "size"])
+    def measure(bits=None):
+        def run(batches):
+            for b in batches:
+                html = [(x or "").encode() for x in b.column(2).to_pylist()]
+                names = [digest(x) for x in html]
+                mark = np.array([int.from_bytes(base64.b32decode(x)[:8]) for x in names], np.uint64).view(np.int64)
+                out = [*b.columns, pa.array(names, pa.string()), pa.array([len(x) for x in html], pa.int64()),
+                       pa.array(mark), pa.array(in_bitmap(bits.value, mark) if bits else np.ones(len(mark), bool))]
+                yield pa.RecordBatch.from_arrays(out, [*columns, "digest", "size", "mark", "again"])
+        return pages.mapInArrow(run, f"{pa_ddl(pages)}, digest string, size long, mark long, again boolean")
 
-    kind = pa_ddl(pages)
-    measured = pages.mapInArrow(measure, f"{kind}, digest string, size long")
     order = F.struct(F.col("page_id").isNull(), "page_id", "url")
-    first = stash(measured.where(F.col("size") >= least).groupBy("digest").agg(
-        F.min(order).alias("o"), F.count(F.lit(1)).alias("copies"))
-        .select("digest", F.col("o.page_id").alias("first"), F.col("o.url").alias("first_url"),
-                "copies"), "digests")
-    rows = lookup_join(measured, first, ["digest"], "copies")
+    first = stash(measure().where(F.col("size") >= least).groupBy("digest", "mark").agg(
+        F.min(order).alias("o"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+        .select("digest", "mark", F.col("o.page_id").alias("first"), F.col("o.url").alias("first_url"),
+                F.lit(True).alias("known"), "copies"), "digests")
+    # only pages whose payload may occur again are shuffled; any other is its own response
+    measured = measure(pages.sparkSession.sparkContext.broadcast(bitmap(first, "mark"))).drop("mark")
+    again = lookup_join(measured.where("again"), first.drop("mark"), ["digest"], "copies")
+    again = (again.withColumn("first", F.when(F.col("known"), F.col("first")).otherwise(F.col("page_id")))
+             .withColumn("first_url", F.when(F.col("known"), F.col("first_url")).otherwise(F.col("url"))))
+    alone = measured.where("not again").withColumns({"first": F.col("page_id"), "first_url": F.col("url"), "known": F.lit(False)})
+    rows = again.unionByName(alone).drop("again", "known")
     names = rows.columns
 
     def emit(batches):

@@ -204,6 +204,25 @@ def test_archives(spark):
     assert warc.round_trip(df.where("page_id = -5")).count() == 0
 
 
+def test_archives_shuffle_repeated_payloads_only(spark, tmp_path, monkeypatch):
+    html = [f"page {i}" for i in range(20)] + ["page 3", None, None]
+    df = spark.createDataFrame([(i, f"http://a.org/{i}", h) for i, h in enumerate(html)], "page_id long, url string, html string")
+    joined = []
+
+    def spy(left, *rest):
+        joined.extend(r.page_id for r in left.select("page_id").collect())
+        return lookup_join(left, *rest)
+
+    lookup_join = warc.lookup_join
+    monkeypatch.setattr(warc, "lookup_join", spy)
+    for least, revisits in ((0, {20: 3, 22: 21}), (1, {20: 3})):
+        joined.clear()
+        warc.write(df, str(tmp_path / f"w{least}"), least)
+        assert {3, 20} | set(revisits) <= set(joined) and len(joined) < 10
+        got = warc.captures(spark, str(tmp_path / f"w{least}")).collect()
+        assert len(got) == 23 and {r.page_id: r.refers_to for r in got if r.record_type == "revisit"} == revisits
+
+
 def test_loser_tree():
     for _ in range(200):
         runs = [sorted(RNG.randint(0, 9) for _ in range(RNG.randint(0, 6))) for _ in range(RNG.randint(0, 7))]
