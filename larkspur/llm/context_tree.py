@@ -58,16 +58,17 @@ def byte_grams(data: np.ndarray, limits: np.ndarray, depth: int) -> tuple[np.nda
     padded = np.full(begin[-1] + depth * len(length), END, np.uint8)
     shift = np.arange(len(length)) + depth * (np.arange(len(length)) + 1)
     padded[np.arange(len(data)) + np.repeat(shift, length)] = LOWER[data]
-    gram = np.zeros(begin[-1], np.int64)
-    at = np.arange(begin[-1]) + depth * np.repeat(np.arange(len(length)), length + 1)
+    every = np.zeros(max(len(padded) - depth, 0), np.int64)  # at each place, across texts too
     for i in range(depth + 1):
-        gram = (gram << 8) | padded[at + i]
+        every = (every << 8) | padded[i:i + len(every)]
+    gram = every[np.arange(begin[-1]) + depth * np.repeat(np.arange(len(length)), length + 1)]
     return gram, begin
 
 
-def tokens(data: np.ndarray, start: int, end: int) -> list[bytes]:
-    """Words of a text and its end, which is the empty word."""
-    return [*LOWER[data[start:end]].tobytes().split(), b""]
+def lower_texts(data: np.ndarray, limits: np.ndarray) -> list[bytes]:
+    """Texts between the limits, in lower case."""
+    low, at = LOWER[data[limits[0]:limits[-1]]].tobytes(), (limits - limits[0]).tolist()
+    return [low[a:b] for a, b in zip(at, at[1:])]
 
 
 def _lot_rows(depth):
@@ -119,12 +120,13 @@ def _lot_rows(depth):
                         held += len(key)
                     if held > 4_000_000:
                         grams, held = [merged()], 0
-                    for r in range(s, e):
-                        words = tokens(data, limits[r], limits[r + 1])
-                        if train[r]:
-                            seen.update(words)
-                        else:
-                            seen.update(dict.fromkeys([w for w in words if w not in seen], 0))
+                    # words of a text and its end, which is the empty word
+                    texts = lower_texts(data, limits[s:e + 1])
+                    seen.update(b" ".join([t for t, learn in zip(texts, train[s:e]) if learn]).split())
+                    seen[b""] += int(train[s:e].sum())
+                    for w in set(b" ".join([t for t, learn in zip(texts, train[s:e]) if not learn]).split()):
+                        if w not in seen:
+                            seen[w] = 0
         if lot is not None:
             yield from rows()
     return run
@@ -226,8 +228,9 @@ def _score_lots(depth, total, kinds):
                 for s, e in pieces(limits, 1 << 20):
                     gram, begin = byte_grams(data[limits[s]:limits[e]], limits[s:e + 1] - limits[s], depth)
                     score[s:e] = np.add.reduceat(lp[index.get_indexer(gram)], begin[:-1])
-                    for r in range(s, e):
-                        c = np.array([counts[w] for w in tokens(data, limits[r], limits[r + 1])])
+                    for r, t in enumerate(lower_texts(data, limits[s:e + 1]), s):
+                        words = [*t.split(), b""]
+                        c = np.fromiter(map(counts.__getitem__, words), np.int64, len(words))
                         n[r], known[r] = len(c), np.count_nonzero(c)
                         base[r] = np.log10((c + 1) / (total + kinds + 1)).sum()
                 yield pa.RecordBatch.from_arrays(
