@@ -10,9 +10,12 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..session import new_path, stash  # noqa: F401
+from . import words as W
 
 #: size of the bit maps that stand for a set of 64-bit values: 2^23 bits, 1 MB
 BITS = 23
+#: about how many values a task of ``deal`` gathers before it sends them on, and receives
+MEET = 1 << 20
 
 
 def table(spark, folder: str, name: str) -> DataFrame:
@@ -122,5 +125,54 @@ def components(edges: DataFrame) -> DataFrame:
         before = after
 
 
+def _dealt(runs, types: list, lots: int):
+    """Rows (lot, one binary per column) of runs of equally long arrays.  The first
+    column is the key: equal keys go to one lot."""
+    held, n = [], 0
+
+    def send():
+        columns = [np.concatenate(c) for c in zip(*held)]
+        lot = (W.mix(columns[0].view(W.U)) >> W.U(20)) % W.U(lots)
+        order = np.argsort(lot, kind="stable")
+        which, count = np.unique(lot, return_counts=True)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(which.astype(np.int32)), *[W.binary_lists(c[order], count) for c in columns]],
+            ["lot", *[f"c{i}" for i in range(len(types))]])
+
+    for run in runs:
+        held.append([np.ascontiguousarray(c, t) for c, t in zip(run, types)])
+        n += len(run[0])
+        if n >= MEET:
+            yield send()
+            held, n = [], 0
+    if n:
+        yield send()
+
+
+def _received(batches, types: list) -> list[np.ndarray]:
+    """All values of a task, column by column."""
+    parts = [[np.frombuffer(v.as_buffer(), t) for v in batch.column(i + 1)]
+             for batch in batches for i, t in enumerate(types)]
+    return [np.concatenate([np.zeros(0, t), *[v for p in parts[i::len(types)] for v in p]])
+            for i, t in enumerate(types)]
+
+
+def deal(df: DataFrame, runs, types: list, total: int) -> DataFrame:
+    """Shuffles ``total`` tuples by their first value, a 64-bit hash.  ``runs`` makes
+    tuples from the Arrow batches of ``df``, as arrays of the numpy ``types``.  The
+    values travel in blocks; ``receive`` takes them out.  The number of tasks grows
+    with ``total``, so that each receives about ``MEET`` tuples."""
+    tasks = max(1, -(-total // MEET))
+    schema = ", ".join(["lot int", *[f"c{i} binary" for i in range(len(types))]])
+    return (df.mapInArrow(lambda batches: _dealt(runs(batches), types, 8 * tasks), schema)
+            .repartition(tasks, "lot"))
+
+
+def receive(types: list, work):
+    """Function for ``mapInArrow``, or ``runs`` of a further ``deal``, over what
+    ``deal`` sent: ``work`` gets all columns of a task at once."""
+    return lambda batches: work(*_received(batches, types))
+
+
 def null_safe(name: str, kind: str = "string", empty: str = "") -> Column:
     return F.coalesce(F.col(f"`{name}`").cast(kind), F.lit(empty))

@@ -9,12 +9,17 @@ A document is its set of distinct word shingles.  Two documents link when
    shared passages out of the prefixes and counts only part of the shingles.
 2. Documents with equal sets form one class.  Linking sets must share a shingle
    among the first ``n - ceil(n * threshold) + 1`` of both (the prefix).  Classes
-   with identical prefix and size form one group; tokens of groups are joined.
-3. Star rounds: per token one leader is compared with the other classes of the
+   that share no token of their prefixes are done.
+3. Of the others all shingles are counted, and prefixes are taken again in that
+   exact order.  Shingles that no other class has now come first, so a changed
+   copy with more of its own than a link allows has nothing left to join, and
+   families of copies below the threshold do not meet pair by pair.  Classes with
+   identical shared prefix and size form one group.
+4. Star rounds: per token one leader is compared with the other classes of the
    bucket, so a family of near copies costs rows in proportion to its size.  The
-   first leader is the class with the fewest tokens of its own: the text that the
+   first leader is the class with the fewest shingles of its own: the text that the
    others are changed copies of.  Found links merge components.
-4. What is left: group pairs that share a token, may link by size and by the
+5. What is left: group pairs that share a token, may link by size and by the
    positions of a shared token, were it the first, and are not wholly in one component, are expanded to their
    members and verified.  Pairs inside one component need no check, as they
    cannot change the result; no other pair is left out.
@@ -33,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import bitmap, components, in_bitmap, lookup_join, stash, stash_with
+from .common import bitmap, components, deal, in_bitmap, lookup_join, receive, stash, stash_with
 
 CELLS = 24  # 2^24 cells of four bits in the table of repeated shingles, 16 MB as bytes
 STAR_ROUNDS = 2
@@ -122,34 +127,75 @@ def prefixes(docs: DataFrame, k: int, threshold: int) -> DataFrame:
         emit, "doc_id long, n int, gid long, prefix array<long>")
 
 
-def shared_tokens(sets: DataFrame) -> DataFrame:
-    """One row (token, set, size, position, prefix group) per token of a prefix
-    that some other set has in its prefix too (and a few more, by the bit map)."""
-    token = sets.where("n > 0").select("gid", F.explode("prefix").alias("t"))
-    bits = sets.sparkSession.sparkContext.broadcast(bitmap(
-        token.groupBy("t").agg(F.min("gid").alias("lo"), F.max("gid").alias("hi"))
-        .where("lo <> hi").select("t"), "t"))
-
-    def emit(batches):
+def active_classes(sets: DataFrame, total: int) -> DataFrame:
+    """gid of every class with a token of its prefix in the prefix of some other
+    class; a gid may come more than once.  ``total``: tokens in all prefixes."""
+    def runs(batches):
+        for batch in batches:
+            gid = batch.column(0).to_numpy()
+            _, once = np.unique(gid, return_index=True)
+            prefix = batch.column(1).take(pa.array(once))
+            yield (prefix.flatten().to_numpy(zero_copy_only=False),
+                   np.repeat(gid[once], np.diff(prefix.offsets.to_numpy())))
+
+    def work(t, gid):
+        order = np.lexsort((gid, t))
+        t, gid = t[order], gid[order]
+        other = (t[1:] == t[:-1]) & (gid[1:] != gid[:-1])
+        found = np.unique(np.concatenate([gid[1:][other], gid[:-1][other]]))
+        for i in range(0, len(found), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(found[i:i + 10_000])], ["gid"])
+
+    types = [np.int64, np.int64]
+    return (deal(sets.where("n > 0").select("gid", "prefix"), runs, types, total)
+            .mapInArrow(receive(types, work), "gid long"))
+
+
+def ordered_tokens(sets: DataFrame, threshold: int, total: int) -> DataFrame:
+    """Prefix tokens of the classes in ``sets`` in the exact order by frequency among
+    them, without those that no other class has: (token, class, size, position,
+    prefix group, share of the set that other classes have too).
+    ``total``: tokens in all sets."""
+    first = [np.uint64, np.int64, np.int32]
+    then = [np.int64, np.uint64, np.int32, np.int32]
+
+    def runs(batches):
         for batch in batches:
-            col = batch.column(2)
-            t = col.flatten().to_numpy(zero_copy_only=False)
-            count = np.diff(col.offsets.to_numpy()).astype(np.int64)
-            row = np.repeat(np.arange(len(count)), count)
-            pos = np.arange(len(t)) - (np.cumsum(count) - count)[row]
-            _, group = set_ids(row, t.view(W.U), len(count))
-            size = batch.column(1).to_numpy()
-            group = W.mix(group.view(W.U) + size.astype(W.U)).view(np.int64)
-            keep = in_bitmap(bits.value, t)
-            shared = (np.bincount(row[keep], minlength=len(count)) / np.maximum(count, 1)).astype(np.float32)
+            gid, held = batch.column(0).to_numpy(), batch.column(1)
+            h = np.concatenate([np.frombuffer(v.as_buffer(), W.U) for v in held])
+            n = np.array([len(v.as_buffer()) // 8 for v in held])
+            yield h, np.repeat(gid, n), np.repeat(n, n)
+
+    def count(h, gid, n):
+        order = np.argsort(h, kind="stable")
+        _, start, often = np.unique(h[order], return_index=True, return_counts=True)
+        often = np.repeat(often, often)
+        keep = often > 1
+        order = order[keep]
+        yield gid[order], h[order], n[order], often[keep]
+
+    def work(gid, h, n, often):
+        order = np.lexsort((h, often, gid))
+        gid, h, n = gid[order], h[order], n[order].astype(np.int64)
+        _, start, shared = np.unique(gid, return_index=True, return_counts=True)
+        row = np.repeat(np.arange(len(start)), shared)
+        own = (n[start] - shared)[row]
+        pos = own + np.arange(len(gid)) - start[row]
+        keep = pos < n - (threshold * n + 99) // 100 + 1
+        gid, h, n, pos, row, own = (x[keep] for x in (gid, h, n, pos, row, own))
+        # equal tokens at equal places of sets of equal size: the same partners
+        _, group = set_ids(row, h, len(start))
+        group = W.mix(group.view(W.U)[row] + W.mix(n.astype(W.U)) + own.astype(W.U)).view(np.int64)
+        part = (1 - own / n).astype(np.float32)
+        for i in range(0, len(gid), 10_000):
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in (t[keep], batch.column(0).to_numpy()[row[keep]],
-                                       size[row[keep]], pos[keep].astype(np.int32),
-                                       group[row[keep]], shared[row[keep]])],
+                [pa.array(x[i:i + 10_000]) for x in (h.view(np.int64), gid, n.astype(np.int32),
+                                                     pos.astype(np.int32), group, part)],
                 ["t", "gid", "n", "pos", "pg", "shared"])
 
-    return (sets.where("n > 0").select("gid", "n", "prefix")
-            .mapInArrow(emit, "t long, gid long, n int, pos int, pg long, shared float").distinct())
+    by_token = deal(sets.select("gid", "hashes"), runs, first, total)
+    return (deal(by_token, receive(first, count), then, total)
+            .mapInArrow(receive(then, work), "t long, gid long, n int, pos int, pg long, shared float"))
 
 
 def sets_of(docs: DataFrame, k: int, wanted: np.ndarray) -> DataFrame:
@@ -205,11 +251,8 @@ def _positions_fit(l: str, r: str, threshold: int):
     return F.expr(f"(100 + {threshold}) * ({most}) >= {threshold} * ({l}.n + {r}.n)")
 
 
-def links(docs: DataFrame, tokens: DataFrame, k: int, threshold: int) -> DataFrame | None:
+def links(sets: DataFrame, tokens: DataFrame, threshold: int) -> DataFrame | None:
     """Set ids with the component of all links among them; None without links."""
-    shared = (tokens.groupBy("t").agg(F.min("gid").alias("lo"), F.max("gid").alias("hi"))
-              .where("lo <> hi").select("t"))
-    sets = stash(sets_of(docs, k, bitmap(tokens.join(shared, "t").select("gid"), "gid")), "sets")
     checked = comp = None
     for number in range(STAR_ROUNDS + 1):
         rows = (tokens.withColumn("c", F.col("gid")) if comp is None else
@@ -231,11 +274,12 @@ def _stars(rows: DataFrame, number: int, threshold: int) -> DataFrame:
     # first the class with the largest share of shared tokens: copies have tokens of
     # their own where they were changed, the text they were made from has none
     first = -F.col("shared") if number == 0 else F.lit(0)
-    order = F.struct(first.alias("s"), F.xxhash64("gid", F.lit(number)).alias("o"), "gid", "n", "c")
+    order = F.struct(first.alias("s"), F.xxhash64("gid", F.lit(number)).alias("o"), "gid", "n", "pos", "c")
     lead = (rows.groupBy("t").agg(F.min(order).alias("l"), F.min("c").alias("lo"),
                                   F.max("c").alias("hi")).where("lo <> hi").select("t", "l"))
-    return (rows.join(lead, "t").where("c <> l.c").where(_sizes_fit("n", "l.n", threshold))
-            .select(F.col("l.gid").alias("a"), F.col("gid").alias("b")))
+    return (rows.alias("r").join(lead, "t").where("r.c <> l.c").where(_sizes_fit("r.n", "l.n", threshold))
+            .where(_positions_fit("l", "r", threshold))
+            .select(F.col("l.gid").alias("a"), F.col("r.gid").alias("b")))
 
 
 def _rest(rows: DataFrame, threshold: int) -> DataFrame:
@@ -262,9 +306,11 @@ def _rest(rows: DataFrame, threshold: int) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs``."""
-    sets = stash(prefixes(docs, k, threshold), "prefixes")
-    tokens = stash(shared_tokens(sets), "tokens")
-    comp = links(docs, tokens, k, threshold)
+    sets, seen = stash_with(prefixes(docs, k, threshold), "prefixes", total=F.sum(F.size("prefix")))
+    active = bitmap(active_classes(sets, seen["total"] or 0), "gid")
+    whole, seen = stash_with(sets_of(docs, k, active), "sets", total=F.sum(F.length("hashes")))
+    tokens = stash(ordered_tokens(whole, threshold, (seen["total"] or 0) // 8), "tokens")
+    comp = links(whole, tokens, threshold)
     classes = sets.where("n > 0").groupBy("gid").agg(
         F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies"))
     classes = stash(classes, "sizes")

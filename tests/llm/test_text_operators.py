@@ -73,6 +73,52 @@ def test_jaccard_family_of_near_copies(spark):
     assert {r.component_id for r in got.values()} == {0}
 
 
+def test_jaccard_compares_few_of_a_family_below_the_threshold(spark, monkeypatch):
+    # 100 copies of one text, each with nine words of its own: none links with another
+    # but for two pairs, so there is hardly anything to compare
+    rng, base, texts = random.Random(3), [f"w{i}" for i in range(240)], []
+    for i in range(100):
+        copy = list(base)
+        for at in rng.sample(range(0, 240, 4), 9):
+            copy[at] = f"z{i}-{at}"
+        texts.append(" ".join(copy))
+    texts += [texts[7] + " end", "start " + texts[30]]
+    compared, verify = [], jaccard.verify
+    monkeypatch.setattr(jaccard, "verify", lambda pairs, *more: (
+        compared.append(pairs.count()), verify(pairs, *more))[1])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = rows_of(jaccard.jaccard_components(df, 3, 90))
+    assert {i: r.component_id for i, r in got.items()} == {**{i: i for i in range(100)}, 100: 7, 101: 30}
+    assert sum(compared) <= len(texts)
+
+
+def test_jaccard_over_many_tasks(spark, docs, monkeypatch):
+    once = rows_of(jaccard.jaccard_components(docs, 3, 90))
+    monkeypatch.setattr(common, "MEET", 200)
+    assert rows_of(jaccard.jaccard_components(docs, 3, 90)) == once
+
+
+def test_deal(monkeypatch):
+    monkeypatch.setattr(common, "MEET", 30)
+    rng, types = np.random.default_rng(1), [np.uint64, np.int32]
+    key = rng.integers(0, 2**63, 40).astype(np.uint64)[rng.integers(0, 40, 100)]
+    value = np.arange(100, dtype=np.int32)
+    runs = [(key[i:i + 20], value[i:i + 20]) for i in range(0, 100, 20)] + [(key[:0], value[:0])]
+    blocks = list(common._dealt(runs, types, 5))
+    assert len(blocks) == 3
+    lot_of = {}
+    for block in blocks:
+        for lot, keys in zip(block.column(0).to_pylist(), block.column(1).to_pylist()):
+            for k in np.frombuffer(keys, np.uint64):
+                assert lot_of.setdefault(k, lot) == lot
+    assert 1 < len(set(lot_of.values())) <= 5
+    k, v = common._received(blocks, types)
+    order = np.argsort(v)
+    assert (v[order] == value).all() and (k[order] == key).all()
+    assert [len(x) for x in common._received([], types)] == [0, 0]
+    assert list(common._dealt([], types, 5)) == []
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 50)] + [(100, 103), (103, 101), (7, 7)]
     df = spark.createDataFrame(edges, "a long, b long").repartition(7)
