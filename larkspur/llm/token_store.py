@@ -12,6 +12,7 @@ follow each other in the order of a hash of their ids; null doc_ids come first.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -29,7 +30,18 @@ MAGIC = 0x31424B54
 HEADER = np.dtype([("magic", "<u4"), ("docs", "<u4"), ("ids", "<u8"), ("data", "<u8")])
 DOC = np.dtype([("id", "<i8"), ("null", "u1"), ("n", "<u4")])
 BLOCK_IDS, FILE_IDS = 1 << 16, 1 << 23
-AT_ONCE = 4096  # words whose encodings, of about a kilobyte, a task holds at once
+AT_ONCE, JOINED = 4096, 64  # words whose encodings a task holds at once, and words of one text
+MARK = "\x01"  # keeps the words of such a text apart
+
+#: kinds of bytes: white space, letter, digit, other, apostrophe, not ASCII
+KINDS = bytes(5 if c > 127 else 0 if not W.GRAPH[c] else 1 if chr(c).isalpha() else 2 if chr(c).isdigit()
+              else 4 if chr(c) == "'" else 3 for c in range(256))
+#: whether ``SPLIT`` always parts a byte of kind a from one of kind b, at 6 a + b; an
+#: apostrophe may belong to the letters after it
+PARTED = bytes(a != b and 0 < a < 5 and 0 < b < 5 and (a, b) not in ((3, 4), (4, 3), (4, 1))
+               for a in range(6) for b in range(6)).ljust(256, b"\0")
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 
 #: bytes of each of the four ids of a control byte
 LENGTHS = np.array([[1 + (c >> 2 * i & 3) for i in range(4)] for c in range(256)], np.int64)
@@ -66,6 +78,62 @@ def _tokenizer(path: str | None):
     return out, W.Store()
 
 
+@lru_cache(maxsize=2)
+def _kept_whole(path: str | None) -> list[bytes] | None:
+    """Lower-cased texts of the added tokens, if parts of words may be encoded by
+    themselves and in lower case wherever none of these occurs; else None."""
+    tokenizer = _tokenizer(path)[0]
+    added = tokenizer.get_added_tokens_decoder().values()
+    steps = [json.loads(x.__getstate__()) if x else {} for x in (tokenizer.normalizer, tokenizer.pre_tokenizer)]
+    first = (steps[1].get("pretokenizers") or [{}])[0]
+    if (steps[0].get("normalizers") != NORMALIZERS or any(t.normalized for t in added)
+            or first != {"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True}):
+        return None
+    return [W.LOWER[np.frombuffer(t.content.encode(), np.uint8)].tobytes() for t in added]
+
+
+def chunks(data: np.ndarray, limits: np.ndarray, path: str | None = None):
+    """Bytes of some rows, start and end of the chunks whose ids make up those of the
+    rows: words, and where the tokenizer allows it their runs of letters, digits and
+    other characters in lower case, of which there are fewer different ones."""
+    whole = _kept_whole(path)
+    if whole is not None:
+        text = data.tobytes().translate(W.LOWER.tobytes())
+        if not any(t in text for t in whole):
+            low = np.frombuffer(text, np.uint8)
+            kind = np.frombuffer(text.translate(KINDS), np.uint8)
+            cuts = np.frombuffer((kind[:-1] * np.uint8(6) + kind[1:]).tobytes().translate(PARTED), bool)
+            return low, *W.runs(low, np.concatenate([limits, np.flatnonzero(cuts) + 1]), W.GRAPH)
+    return data, *W.runs(data, limits, W.GRAPH)
+
+
+def _encoded(tokenizer, texts: list[str]) -> list[np.ndarray]:
+    return [np.array(x.ids, np.uint32) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def encode_words(tokenizer, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Number of ids of each word, and all ids.  Many words go to the tokenizer as one
+    text, each followed by ``MARK``, whose id tells where it ends.  Where words contain
+    that character, or the ids do not tell, words are encoded one by one."""
+    mark = tokenizer.encode(MARK, add_special_tokens=False).ids
+    count, flat = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+    for at in range(0, len(words), AT_ONCE):
+        some, ends = words[at:at + AT_ONCE], []
+        apart = f" {MARK} ".encode()
+        texts = [(apart.join(some[i:i + JOINED]) + apart).decode() for i in range(0, len(some), JOINED)]
+        if len(mark) == 1 and sum(t.count(MARK) for t in texts) == len(some):
+            ids = np.concatenate(_encoded(tokenizer, texts))
+            ends = np.flatnonzero(ids == mark[0])
+        if len(ends) == len(some):
+            count.append(np.diff(ends, prepend=-1) - 1)
+            flat.append(np.delete(ids, ends))
+        else:
+            found = _encoded(tokenizer, [w.decode() for w in some])
+            count.append(np.array([len(x) for x in found], np.int64))
+            flat.extend(found)
+    return np.concatenate(count), np.concatenate(flat)
+
+
 def id_type(path: str | None = None, end: int = 2) -> str:
     """Little-endian integers that hold every id of the vocabulary."""
     return "<u2" if max(end, _tokenizer(path)[0].get_vocab_size() - 1) < 1 << 16 else "<u4"
@@ -74,27 +142,20 @@ def id_type(path: str | None = None, end: int = 2) -> str:
 def token_ids(docs: DataFrame, path: str | None = None, end: int = 2) -> DataFrame:
     """doc_id and its ids with the end id, as little-endian integers of 16 bits, or 32
     where the vocabulary has more ids than that.  The
-    vocabulary must drop white space, as words between it are encoded one by one,
-    each new word of a task once."""
+    vocabulary must drop white space, as words between it are encoded by themselves,
+    each new one of a task once."""
     def emit(batches):
         tokenizer, store = _tokenizer(path)
         kind = id_type(path, end)
 
-        def encode(chunks):
-            count, flat = [], []
-            for at in range(0, len(chunks), AT_ONCE):
-                found = tokenizer.encode_batch_fast([c.decode() for c in chunks[at:at + AT_ONCE]],
-                                                    add_special_tokens=False)
-                ids = [x.ids for x in found]
-                count.append(np.array([len(x) for x in ids], np.int64))
-                flat.append(np.array([t for x in ids for t in x], np.uint32))
-            return np.concatenate(count), np.concatenate(flat)
+        def encode(words):
+            return encode_words(tokenizer, words)
 
         for batch in batches:
             data, limits = W.utf8(batch.column(1))
             for a, b in W.pieces(limits):
                 part, at = data[limits[a]:limits[b]], limits[a:b + 1] - limits[a]
-                start, stop = W.runs(part, at, W.GRAPH)
+                part, start, stop = chunks(part, at, path)
                 count, ids = store.ids(part, start, stop, encode)
                 row = np.searchsorted(at, start, "right") - 1
                 count = np.bincount(row, count, b - a).astype(np.int64)

@@ -115,6 +115,11 @@ def distinct(row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return row[new], h[new]
 
 
+def spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[bytes]:
+    raw = data.tobytes()
+    return [raw[s:e] for s, e in zip(start.tolist(), end.tolist())]
+
+
 def binary_lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     """Fixed-width values as one binary per row."""
     width = values.dtype.itemsize
@@ -194,9 +199,9 @@ class Store:
         new = where < 0
         if ((second[first][place] != second).any()
                 or (self.second[where[~new]] != second[first[~new]]).any()):
-            return encode([data[s:e].tobytes() for s, e in zip(start, end)])
+            return encode(spans(data, start, end))
         if new.any():
-            count, flat = encode([data[start[i]:end[i]].tobytes() for i in first[new]])
+            count, flat = encode(spans(data, start[first[new]], end[first[new]]))
             where[new] = self._put(distinct[new], second[first[new]], count, flat)
         where = where[place]
         count = self.count[where]

@@ -223,6 +223,51 @@ def test_token_files(docs, empty):
     assert token_store.round_trip(empty).count() == 0
 
 
+class _Direct:
+    """Stands for ``documents``; applies what it is mapped with to batches at hand."""
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, emit, _):
+        return lambda texts: [np.frombuffer(ids, "<u2").tolist() for b in emit(iter([pa.record_batch(
+            [pa.array(range(len(texts))), pa.array(texts, pa.string())], ["doc_id", "text"])]))
+            for ids in b.column(1).to_pylist()]
+
+
+def test_token_ids_of_parts_of_words():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    atoms = ["a", "B", "t", "LL", "re", "'", "'S", "don't", "1", "23", "²", ".", ",", "***", "<|endoftext|>", "<|ENDOFTEXT|>",
+             "<|", "|>", "\x01", "\0", "\x1c", "\x85", "\xa0", "é", "e\u0301", "\u0301", "\u0338", "=", ">", "ΑΣ", "İ",
+             "ſ", "\u212a", "\u037e", ";", "中", "😀", "\u1112", "\u1161", " ", " ", "\n"]
+    encode = token_store.token_ids(_Direct())
+    for _ in range(60):
+        some = RNG.sample([x for x in atoms if RNG.random() < 0.3 or x not in ("\x01", "<|endoftext|>", "<|ENDOFTEXT|>")], 12)
+        texts = ["".join(RNG.choice(some) for _ in range(RNG.randint(0, 30))) for _ in range(30)]
+        assert encode(texts) == [library.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+
+
+def test_token_ids_encode_few_texts(monkeypatch):
+    class Counting:
+        given = 0
+
+        def __getattr__(self, name):
+            return getattr(real, name)
+
+        def encode_batch_fast(self, texts, **options):
+            Counting.given += len(texts)
+            return real.encode_batch_fast(texts, **options)
+
+    real, store = token_store._tokenizer(None)
+    store.forget()
+    monkeypatch.setattr(token_store, "_tokenizer", lambda path: (Counting(), store))
+    words = ["".join(RNG.choices("bcdfg", k=9)) for _ in range(640)]
+    token_store.token_ids(_Direct())([" ".join(words), ", ".join(w.title() for w in words) + "!"])
+    assert Counting.given <= 2 * 640 / 64 and store.n <= 642  # was 1,920 texts and words
+
+
 def test_packing():
     values = np.array([0, 255, 256, 65535, 65536, (1 << 24) - 1, 1 << 24, (1 << 32) - 1, 7], np.uint32)
     control, data = token_store.pack(values)
