@@ -16,7 +16,9 @@ import json
 import os
 import re
 import zlib
+from array import array
 from functools import lru_cache
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,8 @@ KINDS = bytes(5 if c > 127 else 0 if not W.GRAPH[c] else 1 if chr(c).isalpha() e
 PARTED = bytes(a != b and 0 < a < 5 and 0 < b < 5 and (a, b) not in ((3, 4), (4, 3), (4, 1))
                for a in range(6) for b in range(6)).ljust(256, b"\0")
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PRETOKENIZERS = [{"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True},
+                 {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
 NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 
 #: bytes of each of the four ids of a control byte
@@ -49,21 +53,27 @@ LENGTHS = np.array([[1 + (c >> 2 * i & 3) for i in range(4)] for c in range(256)
 
 def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Control bytes and data bytes of unsigned 32-bit values."""
-    code = ((values > 0xFF).astype(np.uint8) + (values > 0xFFFF) + (values > 0xFFFFFF)).astype(np.uint8)
-    four = np.zeros((len(values) + 3) // 4 * 4, np.uint8)
-    four[:len(values)] = code
-    control = (four.reshape(-1, 4) << np.arange(0, 8, 2, dtype=np.uint8)).sum(1).astype(np.uint8)
-    parts = values.astype("<u4").view(np.uint8).reshape(-1, 4)
-    return control, parts[np.arange(4) <= code[:, None]]
+    longer = [np.flatnonzero(values > most) for most in (0xFF, 0xFFFF, 0xFFFFFF)]
+    size = np.zeros((len(values) + 3) // 4 * 4, np.uint8)
+    for at in longer:
+        size[at] += 1
+    control = size[::4] | size[1::4] << 2 | size[2::4] << 4 | size[3::4] << 6
+    size = size[:len(values)].astype(np.int64) + 1
+    first = np.cumsum(size) - size
+    data = np.zeros(int(size.sum()), np.uint8)
+    data[first] = values & 0xFF
+    for i, at in enumerate(longer, 1):
+        data[first[at] + i] = values[at] >> 8 * i & 0xFF
+    return control, data
 
 
 def unpack(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
     size = LENGTHS[control].ravel()[:n]
-    at = np.cumsum(size) - size
-    out = np.zeros(n, np.uint32)
-    for i in range(4):
-        more = size > i
-        out[more] |= data[at[more] + i].astype(np.uint32) << np.uint32(8 * i)
+    first = np.cumsum(size) - size
+    out = data[first].astype(np.uint32)
+    for i in range(1, 4):
+        at = np.flatnonzero(size > i)
+        out[at] |= data[first[at] + i].astype(np.uint32) << np.uint32(8 * i)
     return out
 
 
@@ -85,9 +95,8 @@ def _kept_whole(path: str | None) -> list[bytes] | None:
     tokenizer = _tokenizer(path)[0]
     added = tokenizer.get_added_tokens_decoder().values()
     steps = [json.loads(x.__getstate__()) if x else {} for x in (tokenizer.normalizer, tokenizer.pre_tokenizer)]
-    first = (steps[1].get("pretokenizers") or [{}])[0]
-    if (steps[0].get("normalizers") != NORMALIZERS or any(t.normalized for t in added)
-            or first != {"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True}):
+    if (steps[0].get("normalizers") != NORMALIZERS or steps[1].get("pretokenizers") != PRETOKENIZERS
+            or any(t.normalized or t.content.isalpha() for t in added)):
         return None
     return [W.LOWER[np.frombuffer(t.content.encode(), np.uint8)].tobytes() for t in added]
 
@@ -111,15 +120,15 @@ def _encoded(tokenizer, texts: list[str]) -> list[np.ndarray]:
     return [np.array(x.ids, np.uint32) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
-def encode_words(tokenizer, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Number of ids of each word, and all ids.  Many words go to the tokenizer as one
-    text, each followed by ``MARK``, whose id tells where it ends.  Where words contain
-    that character, or the ids do not tell, words are encoded one by one."""
+def _encode_joined(tokenizer, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Many words go to the tokenizer as one text, each followed by ``MARK``, whose id
+    tells where it ends.  Where words contain that character, or the ids do not tell,
+    words are encoded one by one."""
     mark = tokenizer.encode(MARK, add_special_tokens=False).ids
+    apart = f" {MARK} ".encode()
     count, flat = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
     for at in range(0, len(words), AT_ONCE):
         some, ends = words[at:at + AT_ONCE], []
-        apart = f" {MARK} ".encode()
         texts = [(apart.join(some[i:i + JOINED]) + apart).decode() for i in range(0, len(some), JOINED)]
         if len(mark) == 1 and sum(t.count(MARK) for t in texts) == len(some):
             ids = np.concatenate(_encoded(tokenizer, texts))
@@ -134,6 +143,28 @@ def encode_words(tokenizer, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate(count), np.concatenate(flat)
 
 
+def _encode_letters(tokenizer, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """For words that normalizer and pre-tokenizer leave as they are."""
+    tokenize, count, flat = tokenizer.model.tokenize, array("q"), array("I")
+    for word in words:
+        found = [t.id for t in tokenize(word.decode())]
+        count.append(len(found))
+        flat.extend(found)
+    return np.array(count, np.int64), np.array(flat, np.uint32)
+
+
+def encode_words(words: list[bytes], path: str | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Number of ids of each word, and all ids."""
+    tokenizer, known = _tokenizer(path)[0], _kept_whole(path) is not None
+    letters = np.array([known and w.isalpha() and w.islower() for w in words], bool)  # a to z
+    count = np.zeros(len(words), np.int64)
+    count[letters], ids = _encode_letters(tokenizer, list(compress(words, letters)))
+    count[~letters], others = _encode_joined(tokenizer, list(compress(words, ~letters)))
+    flat, mine = np.zeros(count.sum(), np.uint32), np.repeat(letters, count)
+    flat[mine], flat[~mine] = ids, others
+    return count, flat
+
+
 def id_type(path: str | None = None, end: int = 2) -> str:
     """Little-endian integers that hold every id of the vocabulary."""
     return "<u2" if max(end, _tokenizer(path)[0].get_vocab_size() - 1) < 1 << 16 else "<u4"
@@ -145,11 +176,11 @@ def token_ids(docs: DataFrame, path: str | None = None, end: int = 2) -> DataFra
     vocabulary must drop white space, as words between it are encoded by themselves,
     each new one of a task once."""
     def emit(batches):
-        tokenizer, store = _tokenizer(path)
+        store = _tokenizer(path)[1]
         kind = id_type(path, end)
 
         def encode(words):
-            return encode_words(tokenizer, words)
+            return encode_words(words, path)
 
         for batch in batches:
             data, limits = W.utf8(batch.column(1))
@@ -274,7 +305,7 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     spark = docs.sparkSession
     folder = new_path(spark, "token-store")
     interim = new_path(spark, "token-ids")
-    token_ids(docs, path).write.parquet(interim)
+    token_ids(docs, path).write.option("compression", "zstd").parquet(interim)
     write(spark.read.parquet(interim), folder, id_type(path))
     remove(spark, interim)
 

@@ -12,6 +12,8 @@ import pyarrow.compute as pc
 import xxhash
 
 U = np.uint64
+#: the first 0 to 8 bytes of a block
+FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], U)
 #: spans longer than this are hashed one by one
 STEP = 256
 
@@ -69,18 +71,18 @@ def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0)
     if len(data) < 8:
         data = np.concatenate([data, np.zeros(8 - len(data), np.uint8)])
     data = np.ascontiguousarray(data)
-    block = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
-    todo = np.flatnonzero((length > 0) & (length <= STEP))
+    block, last = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,)), len(data) - 8
+    fits = (length > 0) & (length <= STEP)
+    todo = slice(None) if fits.all() else np.flatnonzero(fits)
     at, left = start[todo], length[todo]
-    while len(todo):
+    while len(at):
         # a block that would pass the end of the data is read further left and shifted
-        back = np.maximum(at - (len(data) - 8), 0)
-        value = block[at - back] >> (back * 8).astype(U)
-        short = np.minimum(left, 8)
-        value &= U(0xFFFFFFFFFFFFFFFF) >> ((8 - short) * 8).astype(U)
+        value, over = block[np.minimum(at, last)], np.flatnonzero(at > last)
+        value[over] >>= ((at[over] - last) * 8).astype(U)
+        value &= FIRST[np.minimum(left, 8)]
         out[todo] = mix((out[todo] ^ value) * U(0x9E3779B97F4A7C15) + U(0x632BE59BD9B4E019))
-        more = left > 8
-        todo, at, left = todo[more], at[more] + 8, left[more] - 8
+        more = np.flatnonzero(left > 8)
+        todo, at, left = more if isinstance(todo, slice) else todo[more], at[more] + 8, left[more] - 8
     for i in np.flatnonzero(length > STEP):
         out[i] = U(xxhash.xxh64_intdigest(data[start[i]:end[i]].tobytes(), seed))
     return out

@@ -264,8 +264,11 @@ def test_token_ids_encode_few_texts(monkeypatch):
     store.forget()
     monkeypatch.setattr(token_store, "_tokenizer", lambda path: (Counting(), store))
     words = ["".join(RNG.choices("bcdfg", k=9)) for _ in range(640)]
-    token_store.token_ids(_Direct())([" ".join(words), ", ".join(w.title() for w in words) + "!"])
-    assert Counting.given <= 2 * 640 / 64 and store.n <= 642  # was 1,920 texts and words
+    encode = token_store.token_ids(_Direct())
+    assert encode([", ".join(w.title() for w in words) + "!", " ".join(words)])[0][-2:] == real.encode("!").ids + [2]
+    assert store.n <= 642 and Counting.given <= 1  # were 1,280 both
+    encode([" ".join("é" + w for w in words)])
+    assert Counting.given <= 11  # 640 more
 
 
 def test_packing():
